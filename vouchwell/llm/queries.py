@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchwell.llm import language, mixing, packing, simhash, substrings
+from vouchwell.llm import extraction, language, media, mixing, packing, quality, quoting, simhash, spotsigs, substrings
 from vouchwell.llm._shared import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,38 @@ def tokenizer_path(name: str = PACK_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.text_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col("caption").cast("long").alias("n_bytes"),
+        "media.payload_bytes",
+        "media.payload_sha256",
+        "media.tail_crc32",
+        "media.media_bytes",
+        "media.media_sha256",
+        "media.feature",
+    )
+
+
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("_row.page_id", "_row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op9_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quoting.format_messages(table(spark, sf_dir, "conversations"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.col("host").alias("source"), F.col("path").alias("lang"), "quality_score", "toxic_score", "rate_quality", "rate_toxic", "keep")
+
+
 def packed_pieces(docs: DataFrame) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path()).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "continued", "continues"
@@ -108,11 +140,16 @@ FROM picked
 """
 
 QUERIES = {
+    "op1_media": op1_media,
+    "op2_spotsigs": op2_spotsigs,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_extraction": op8_extraction,
+    "op9_quotation": op9_quotation,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
