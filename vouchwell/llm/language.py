@@ -16,6 +16,8 @@ tables give no row; without any labelled row all is ``und``.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +36,7 @@ EVIDENCE_SCALE = 1 / 3
 SMOOTHING = 0.5
 #: Rows that a parent level's shares count for in a host's or suffix's prior.
 PRIOR_ROWS = 20.0
-UNKNOWN_PRIOR = 1e-3
+UNKNOWN_PRIOR = 1e-4
 #: Hosts up to this count are broadcast with their priors.
 MAX_BROADCAST_HOSTS = 50_000
 SLAB_BYTES = 1 << 18
@@ -46,6 +48,17 @@ def trigram_buckets(raw: np.ndarray) -> np.ndarray:
     return (gram * np.uint32(2654435761)) >> np.uint32(16)
 
 
+# numbers, addresses and keys belong to no language
+_CODE = re.compile(r"[\d@]")
+_CODE_WORD = re.compile(r"(?<!\S)\S*[\d@]\S*")
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def prose(text: str) -> str:
+    """The text without the words that hold digits or an at sign."""
+    return _CODE_WORD.sub(" ", text) if _CODE.search(text) else text
+
+
 def _bytes(text: str) -> bytes:
     return b" " + text.lower().encode() + b" "
 
@@ -54,7 +67,7 @@ def _count_batches(batches):
     for batch in batches:
         counts: dict[str, np.ndarray] = {}
         for text, lang in zip(batch.column("text"), batch.column("label")):
-            raw = np.frombuffer(_bytes(text.as_py()), np.uint8)
+            raw = np.frombuffer(_bytes(prose(text.as_py())), np.uint8)
             held = counts.setdefault(lang.as_py(), np.zeros(BUCKETS, np.int64))
             held += np.bincount(trigram_buckets(raw), minlength=BUCKETS)
         for lang, held in counts.items():
@@ -88,15 +101,11 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
 
 
 def _score(table: np.ndarray):
-    import re
-
-    letter = re.compile(r"[^\W\d_]")
-
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = [prose(t) for t in batch.column("text").to_pylist()]
             out = np.zeros((len(texts), table.shape[1]))
-            at, lettered = 0, [letter.search(t) is not None for t in texts]
+            at, lettered = 0, [_LETTER.search(t) is not None for t in texts]
             while at < len(texts):
                 end, parts, size = at, [], 0
                 while end < len(texts) and (end == at or size < SLAB_BYTES):
@@ -213,7 +222,7 @@ def document_evidence(docs: DataFrame) -> DataFrame:
 def page_evidence(pages: DataFrame) -> DataFrame:
     """Web pages: the html element's lang, the URL's host and its last label, the text of the tags."""
     host = F.lower(F.try_parse_url(F.col("url"), F.lit("HOST")))
-    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
     said = F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
     return pages.select(
         "page_id",
