@@ -15,30 +15,39 @@ _SYMBOLS = 257  # 0 ends a string, bytes follow
 
 
 def rotation_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rotations of ``text`` sorted by their first ``depth`` symbols at least: prefix doubling,
-    seven symbols packed in the first key."""
-    key = np.zeros(len(text), np.int64)
+    """Rotations of ``text`` sorted by their first ``depth`` symbols at least (ties in any order):
+    prefix doubling, seven symbols packed in the first key. A rotation's rank is the first place of
+    its group; places whose group is down to one rotation are not sorted again."""
+    n = len(text)
+    key = np.zeros(n, np.int64)
     for i in range(7):
         key = key * 512 + np.roll(text, -i)
+    order = np.argsort(key)
+    key = key[order]
+    place = np.arange(n)
+    rank = np.empty(n, np.int64)
     step = 7
     while True:
-        order = np.argsort(key, kind="stable")
-        new = np.empty(len(key), bool)
-        new[0] = False
-        np.not_equal(key[order[1:]], key[order[:-1]], out=new[1:])
-        rank_sorted = np.cumsum(new)
-        if step >= depth or rank_sorted[-1] == len(key) - 1:
+        head = np.append(True, key[1:] != key[:-1])
+        first = place[np.maximum.accumulate(np.where(head, np.arange(len(place)), 0))]
+        rank[order[place]] = first
+        tied = ~head
+        tied[:-1] |= ~head[1:]
+        place = place[tied]
+        if step >= depth or not len(place):
             return order
-        rank = np.empty(len(key), np.int64)
-        rank[order] = rank_sorted
-        key = rank * (rank_sorted[-1] + 1) + np.roll(rank, -step)
+        who = order[place]
+        key = rank[who] * n + rank[(who + step) % n]
+        by = np.argsort(key)
+        order[place] = who[by]
+        key = key[by]
         step *= 2
 
 
 def long_prefixes(bwt: np.ndarray, length: int) -> np.ndarray:
     """Which rows share ``length`` symbols or more with the row before (row 0: never)."""
     n = len(bwt)
-    by_symbol = np.argsort(bwt, kind="stable")
+    by_symbol = np.argsort(bwt.astype(np.uint16), kind="stable")  # by radix
     step_back = np.empty(n, np.int64)
     step_back[by_symbol] = np.arange(n)
     places = bwt[by_symbol] * (n + 1) + by_symbol  # sorted; a search in it counts a symbol's rows

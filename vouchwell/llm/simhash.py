@@ -1,11 +1,12 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-Fingerprints are sorted by Gray rank, so neighbours in the order share long bit patterns. The order
-is cut into ranges; a range's common bits form an upper node, and inside a range nodes of a few
-children each factor the bits that all their members share. A search adds up differing bits from
-the top down and leaves a whole group as soon as the sum passes the limit. Equal fingerprints are
-one entry, so a group of copies of any size costs one row; a search reports links as a local
-spanning forest, never as all pairs of a group; components come from star steps over these links.
+Fingerprints are sorted by Gray rank, so neighbours in the order share long bit patterns. Nodes of a
+few neighbours each factor the bits that all their members share, level upon level. A search adds up
+differing bits from the top down and leaves a whole group of patterns as soon as the sum passes the
+limit. Equal fingerprints are one entry, so a group of copies of any size costs one row; a search
+reports links as a local spanning forest, never as all pairs of a group; components come from star
+steps over these links. Patterns meet in a task by a block of equal bits, so each is sent a fixed
+number of times, whatever the size of the corpus.
 
 Edge cases: a null, empty or blank text has fingerprint zero and is linked like any other; fewer
 than ``shingle`` words form one shingle; repeated rows share their component; a null ``doc_id`` is
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from vouchwell.llm._shared import materialize, packed, partitions, unpacked, whole_text
 from vouchwell.llm.components import connected_components
 
-#: Fingerprints of one Gray range, about.
-RANGE_ROWS = 50_000
-#: At most so many ranges: their upper nodes (24 bytes each) go to every task.
-MAX_RANGES = 65_536
+#: Patterns of one group, about.
+GROUP_ROWS = 50_000
+#: Patterns with one block value above which they are split further.
+CROWD = 20_000
 FANOUT = 8
 
 
@@ -73,15 +74,6 @@ def hex_bits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def gray_rank(fp: Column) -> Column:
-    """Rank of a bit pattern in the reflected Gray order, as a long that sorts like the unsigned
-    rank."""
-    rank = fp
-    for step in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, step))
-    return rank.bitwiseXOR(F.lit(-(1 << 63)))
-
-
 class GrayIndex:
     """Patterns (with the mask of their fixed bits) in Gray order, under nodes of shared bits.
 
@@ -136,68 +128,75 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def _cuts(n: int, parts: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of each of ``parts`` blocks of ``n`` bits."""
+    at = [n * i // parts for i in range(parts + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(at, at[1:])]
+
+
+def _bits(fp: Column, low: int, width: int) -> Column:
+    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _turned(fp: Column, by: int) -> Column:
+    """The bits turned right by ``by``."""
+    return F.shiftrightunsigned(fp, by).bitwiseOR(F.shiftleft(fp, 64 - by)) if by else fp
+
+
 def _links(limit: int, chunk: int = 1024):
-    """Links of one Gray range: its entries searched for by themselves and by what was sent here."""
+    """Links within one group of patterns that were turned alike: a search for each among all."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy().view(np.uint64)
-        own = rows["own"].to_numpy()
-        entries = fp[own]
-        rank = entries.copy()
+        turned = rows["turned"].to_numpy().view(np.uint64)
+        rank = turned.copy()
         for step in (1, 2, 4, 8, 16, 32):
             rank ^= rank >> np.uint64(step)
-        entries = entries[np.argsort(rank, kind="stable")]
-        index = GrayIndex(entries)
-        nodes = np.unique(fp)
-        root = np.arange(len(nodes))
-        place = np.searchsorted(nodes, entries)
-        for at in range(0, len(nodes), chunk):
-            q, e = index.search(nodes[at : at + chunk], limit)
-            a, b = q + at, place[e]
-            apart = a != b
+        order = np.argsort(rank, kind="stable")
+        fp, turned = fp[order], turned[order]
+        index = GrayIndex(turned)
+        root = np.arange(len(fp))
+        for at in range(0, len(fp), chunk):
+            q, e = index.search(turned[at : at + chunk], limit)
+            apart = q + at < e  # a pair once
             if apart.any():
-                root = forest(root[a[apart]], root[b[apart]], len(nodes))[root]
-        hung = root != np.arange(len(nodes))
-        return pd.DataFrame({"a": nodes[hung].view(np.int64), "b": nodes[root[hung]].view(np.int64)})
+                a, b = q[apart] + at, e[apart]
+                root = forest(root[a], root[b], len(fp))[root]
+        hung = root != np.arange(len(fp))
+        return pd.DataFrame({"a": fp[hung].view(np.int64), "b": fp[root[hung]].view(np.int64)})
 
     return run
 
 
 def near_links(distinct: DataFrame, limit: int = 2) -> DataFrame:
     """Edges (a, b) that connect all entries of ``distinct`` (column fp, no repeats) at most
-    ``limit`` bits apart, as a spanning forest of each Gray range and what reaches it."""
+    ``limit`` bits apart.
+
+    Two such patterns agree on one of limit + 1 blocks of their bits, so each pattern goes to one
+    group per block, turned so that the block's bits lead: in Gray order, patterns with the same
+    block are neighbours. A block value that more than CROWD patterns have is split by a block of
+    the remaining bits, on one of which its near patterns agree again.
+    """
     spark = distinct.sparkSession
-    ranges = min(MAX_RANGES, max(partitions(spark), distinct.count() // RANGE_ROWS + 1))
-    ranged = distinct.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(ranges, "rank")
-    placed = materialize(ranged.select("fp", F.spark_partition_id().alias("range")), "gray")
-    upper = (
-        placed.groupBy("range")
-        .agg(F.expr("bit_and(fp)").alias("all1"), F.expr("bit_or(fp)").alias("any1"))
-        .orderBy("range")
-        .collect()  # one row per range, MAX_RANGES at most
+    blocks = _cuts(64, limit + 1)
+    part = lambda i, low, width: F.struct(
+        F.lit(i).alias("block"), _bits(F.col("fp"), low, width).alias("value"), _turned(F.col("fp"), (low + width) % 64).alias("turned")
     )
-    if not upper:
-        return spark.createDataFrame([], "a long, b long")
-    names = np.array([r["range"] for r in upper], np.int32)
-    all1 = np.array([r["all1"] for r in upper], np.int64).view(np.uint64)
-    any1 = np.array([r["any1"] for r in upper], np.int64).view(np.uint64)
-    top = GrayIndex(all1, ~(all1 ^ any1))
-
-    def route(batches):
-        for batch in batches:
-            fp, home = (np.asarray(batch.column(c)) for c in ("fp", "range"))
-            for at in range(0, len(fp), 4096):
-                part = fp[at : at + 4096].view(np.uint64)
-                q, node = top.search(part, limit)
-                to, stay = names[node], home[at : at + 4096][q]
-                later = to >= stay  # a pair meets once, in the later range of the two
-                q, to, stay = q[later], to[later], stay[later]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[q].view(np.int64)), pa.array(to), pa.array(to == stay)], names=["fp", "range", "own"]
-                )
-
-    routed = placed.mapInArrow(route, "fp long, range int, own boolean")
-    return routed.groupBy("range").applyInPandas(_links(limit), "a long, b long")
+    dealt = distinct.select("fp", F.explode(F.array(*[part(i, *c) for i, c in enumerate(blocks)])).alias("p")).select("fp", "p.*")
+    crowds = dealt.groupBy("block", "value").count().filter(F.col("count") > CROWD).select(F.col("block").alias("_b"), F.col("value").alias("_v"))
+    crowds = materialize(crowds, "crowds")
+    if crowds.limit(1).count():
+        rest = 64 - blocks[0][1] - 1  # bits below the leading block, whose width may be one more
+        sub = F.array(*[F.struct(F.lit(j).alias("j"), _bits(F.col("turned"), low, width).alias("w")) for j, (low, width) in enumerate(_cuts(rest, limit + 1))])
+        whole = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("w")))
+        marked = dealt.join(crowds, (F.col("block") == F.col("_b")) & (F.col("value") == F.col("_v")), "left")
+        dealt = marked.withColumn("s", F.explode(F.when(F.col("_b").isNull(), whole).otherwise(sub)))
+        key = F.xxhash64("block", "value", "s.j", "s.w")
+    else:
+        key = F.xxhash64("block", "value")
+    groups = max(partitions(spark), distinct.count() // GROUP_ROWS + 1)
+    grouped = dealt.select("fp", "turned", (F.pmod(key, F.lit(groups)) * len(blocks) + F.col("block")).alias("group"))
+    return grouped.groupBy("group").applyInPandas(_links(limit), "a long, b long")
 
 
 def components(docs: DataFrame, limit: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
