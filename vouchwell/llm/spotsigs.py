@@ -90,7 +90,7 @@ def _compare(id_type: pa.DataType):
     def run(batches):
         held, rows = None, []
         for batch in batches:
-            for part, doc, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text"))):
+            for part, guest, doc, text in zip(*(batch.column(c).to_pylist() for c in ("part", "guest", "doc_id", "text"))):
                 found = signatures(text)
                 if held is not None and held[0] == part:
                     _, own_id, own, own_found = held
@@ -112,7 +112,8 @@ def _compare(id_type: pa.DataType):
                     if len(rows) >= 256:
                         yield batch_of(rows)
                         rows = []
-                held = (part, doc, text, found)
+                # a guest is only ever the next one: its own pair is made in its own range
+                held = None if guest else (part, doc, text, found)
         if rows:
             yield batch_of(rows)
 
@@ -120,7 +121,8 @@ def _compare(id_type: pa.DataType):
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
-    """Each document against its edited text and against the next document by descending id.
+    """Each document against its edited text and against the next document by descending id (a
+    whole number).
 
     Ids are cut into ranges at approximate quantiles; a range's first document also goes to the
     range before, and the very first to the last, so each task finds all its pairs in its own rows.
@@ -134,6 +136,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
         whole_text().alias("text"),
         F.xxhash64(whole_text()).alias("tie"),
         F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("inf"))).alias("place"),
+        F.bitwise_not(F.col("doc_id").cast("long")).alias("down"),  # exact where the double isn't
     )
     ranges = 4 * partitions(spark)
     at = [i / ranges for i in range(1, ranges)]
@@ -144,19 +147,19 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
         keyed = keyed.withColumn("part", F.col("_part").cast("int"))
     else:
         keyed = keyed.withColumn("part", F.lit(0))
-    order = F.struct("place", "tie")
+    order = F.struct("place", "down", "tie")
     heads = keyed.groupBy("part").agg(F.min(order).alias("head")).orderBy("part").collect()  # one row per range
     if not heads:
         return spark.createDataFrame([], _OUT.format(id=kind))
-    guests = [(r["part"], heads[i - 1]["part"], r["head"]["place"], r["head"]["tie"]) for i, r in enumerate(heads)]
-    guests = spark.createDataFrame(guests, "_own int, _before int, _place double, _tie long")
+    guests = [(r["part"], heads[i - 1]["part"], *r["head"]) for i, r in enumerate(heads)]
+    guests = spark.createDataFrame(guests, "_own int, _before int, _place double, _down long, _tie long")
     seen = keyed.join(F.broadcast(guests), F.col("part") == F.col("_own"))
-    first = (F.col("place") == F.col("_place")) & (F.col("tie") == F.col("_tie"))
+    first = (F.col("place") == F.col("_place")) & F.col("down").eqNullSafe(F.col("_down")) & (F.col("tie") == F.col("_tie"))
     stay = F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))
     go = F.struct(F.col("_before").alias("part"), F.lit(1).alias("guest"))
     dealt = seen.withColumn("to", F.explode(F.when(first, F.array(stay, go)).otherwise(F.array(stay))))
-    sent = dealt.select("to.part", "to.guest", "place", "tie", "doc_id", "text").repartition(partitions(spark), "part")
-    sent = sent.sortWithinPartitions("part", "guest", "place", "tie").select("part", "doc_id", "text")
+    sent = dealt.select("to.part", "to.guest", "place", "down", "tie", "doc_id", "text").repartition(partitions(spark), "part")
+    sent = sent.sortWithinPartitions("part", "guest", "place", "down", "tie").select("part", "guest", "doc_id", "text")
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return sent.mapInArrow(_compare(arrow_id), _OUT.format(id=kind))
 
