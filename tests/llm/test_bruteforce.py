@@ -163,8 +163,19 @@ def test_word_cache_equals_the_tokenizer(spark):
     path = queries.tokenizer_path()
     tokenizer, coder = Tokenizer.from_file(path), packing.WordIds(path)
     odd = ["", " ", "a\x1cb", "a\x85b\xa0c d　e", "﻿x ​ y", "don't  stop\n\n", "\U0001f600́ ẞß", "a\tb\x0bc\x0cd\re", "İ ı \x00 \x7f"]
+    odd += ["\x01", "a \x01 b", "x<|endoftext|>y z", "a\u2003b\u200bc", " \u0301e", "ΣΑΣ Σ"]
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, coder.dtype).tobytes() for t in odd]
-    assert coder.encode(odd) == want
+    assert coder.by_word and coder.encode(odd) == want
+
+
+def test_tokenizers_that_join_words_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    tokenizer, coder = Tokenizer.from_file(path), packing.WordIds(path)
+    texts = ["one two  three", "", " x\n\ny"]
+    assert not coder.by_word
+    assert coder.encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, coder.dtype).tobytes() for t in texts]
 
 
 @settings(deadline=None, max_examples=200)

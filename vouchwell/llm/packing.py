@@ -12,9 +12,11 @@ than a window continue in the next one, with the boundary flagged on both pieces
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,20 +26,24 @@ from vouchwell.llm._shared import materialize, whole_text
 #: Above this many input partitions the base offsets are joined by a shuffle, not broadcast.
 MAX_BROADCAST_BASES = 100_000
 #: Words that a worker remembers with their ids before it starts anew.
-WORD_CACHE = 400_000
-#: Characters of text that are split into words at a time.
-SLAB_CHARS = 1 << 20
+WORD_CACHE = 800_000
+#: Bytes of text that are split into words at a time.
+SLAB_BYTES = 1 << 23
+#: Words that go through the tokenizer as one text.
+WORDS_AT_ONCE = 2000
+_BREAK = "\x01"
+_PROBE = "one two's  Three\tfour\n5 six,seven . été 12ab\r\n(x) #y"
 
 
 class WordIds:
     """Token ids of whole texts, each distinct word going through the tokenizer once.
 
-    It holds for tokenizers that never join text across white space. Python's ``split`` also cuts
-    at U+001C..U+001F, which such tokenizers keep, so texts with these go through whole.
+    Texts are split at ASCII white space and their words numbered by Arrow; new words are joined to
+    one text with a mark between them that the tokenizer keeps apart, so its cost per call is shared.
+    That holds for tokenizers that never join text across white space; a probe tells, and texts go
+    through any other tokenizer whole.
     """
 
-    _ODD = tuple(map(chr, range(0x1C, 0x20)))
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -45,37 +51,64 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        mark = self._raw([f" {_BREAK} "])[0]
+        self.mark = np.frombuffer(mark, self.dtype)[0]
+        self.by_word = len(mark) == self.dtype.itemsize and b"".join(self._raw(_PROBE.split())) == self._raw([_PROBE])[0]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         out: list[bytes] = []
-        at = 0
+        at, ends = 0, np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
         while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= SLAB_CHARS):
-                chars += len(texts[end])
-                end += 1
-            out += self._slab(texts[at:end])
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + SLAB_BYTES, side="right")))
+            slab = texts.slice(at, end - at)
+            out += self._slab(slab) if self.by_word else self._raw(slab.to_pylist())
             at = end
         return out
 
-    def _slab(self, texts: list[str]) -> list[bytes]:
-        whole = [any(c in t for c in self._ODD) for t in texts]
-        words = [[] if odd else t.split() for t, odd in zip(texts, whole)]
-        if len(self.known) > WORD_CACHE:
+    def _slab(self, texts: pa.Array) -> list[bytes]:
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        ids = pa.array(self._words(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        place = np.append(0, np.cumsum(np.asarray(pc.binary_length(ids), np.int64)))
+        ends = place[np.append(0, np.cumsum(np.asarray(pc.list_value_length(words), np.int64)))].tolist()
+        joined = memoryview(ids.buffers()[2] or b"")
+        return [bytes(joined[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        if len(self.known) + len(words) > WORD_CACHE:
             self.known.clear()
         known = self.known
-        new = list(set().union(*words) - known.keys())
-        if new:
-            known.update(zip(new, self._raw(new)))
-        get = known.__getitem__
-        return [
-            self._raw([t])[0] if odd else b"".join(map(get, w))
-            for t, w, odd in zip(texts, words, whole)
-        ]
+        new = [w for w in words if w not in known]
+        for at in range(0, len(new), 16 * WORDS_AT_ONCE):
+            self._learn(new[at : at + 16 * WORDS_AT_ONCE])
+        return [known[w] for w in words]
+
+    def _learn(self, new: list[str]) -> None:
+        odd = [w for w in new if _BREAK in w]
+        new = [w for w in new if _BREAK not in w] if odd else new
+        groups = [new[i : i + WORDS_AT_ONCE] for i in range(0, len(new), WORDS_AT_ONCE)]
+        width = self.dtype.itemsize
+        for group, raw in zip(groups, self._raw([f" {_BREAK} ".join(g) for g in groups])):
+            cut = np.flatnonzero(np.frombuffer(raw, self.dtype) == self.mark) * width
+            if len(cut) + 1 == len(group):
+                cut = cut.tolist()
+                self.known.update((w, raw[a:b]) for w, a, b in zip(group, [0, *(c + width for c in cut)], [*cut, len(raw)]))
+            else:
+                odd += group
+        if odd:
+            self.known.update(zip(odd, self._raw(odd)))
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The worker's own, kept from task to task."""
+    return WordIds(path)
 
 
 _TOKEN_SCHEMA = "pid int, local_start long, doc_id {id}, n long, ids binary"
@@ -83,11 +116,11 @@ _TOKEN_SCHEMA = "pid int, local_start long, doc_id {id}, n long, ids binary"
 
 def _tokenize(path: str, end_id: int, out: pa.Schema):
     def run(batches):
-        coder, start = WordIds(path), 0
+        coder, start = word_ids(path), 0
         width, tail = coder.dtype.itemsize, np.array([end_id], coder.dtype).tobytes()
         pid = TaskContext.get().partitionId()
         for batch in batches:
-            ids = [x + tail for x in coder.encode(batch.column("text").to_pylist())]
+            ids = [x + tail for x in coder.encode(batch.column("text"))]
             n = np.array([len(x) // width for x in ids], np.int64)
             ends = start + np.cumsum(n)
             yield pa.RecordBatch.from_arrays(
