@@ -164,6 +164,7 @@ def test_word_cache_equals_the_tokenizer(spark):
     tokenizer, coder = Tokenizer.from_file(path), packing.WordIds(path)
     odd = ["", " ", "a\x1cb", "a\x85b\xa0c d　e", "﻿x ​ y", "don't  stop\n\n", "\U0001f600́ ẞß", "a\tb\x0bc\x0cd\re", "İ ı \x00 \x7f"]
     odd += ["\x01", "a \x01 b", "x<|endoftext|>y z", "a\u2003b\u200bc", " \u0301e", "ΣΑΣ Σ"]
+    odd += ["A<|ENDOFTEXT|>b <|EndOfText|>", "İ. I. é. É, e\u0301. x.y..z,.'s it's. o'.s A,B ß. ÿ,\u0301 1.5, Ü.", "word." * 50]
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, coder.dtype).tobytes() for t in odd]
     assert coder.by_word and coder.encode(odd) == want
 
@@ -179,7 +180,7 @@ def test_tokenizers_that_join_words_get_whole_texts():
 
 
 @settings(deadline=None, max_examples=200)
-@given(st.text(max_size=80))
+@given(st.one_of(st.text(max_size=80), st.text("aEé.,' s_-{[~$\u0301İß1\t\u2003<|", max_size=60)))
 def test_word_cache_on_any_text(text):
     path = queries.tokenizer_path()
     coder = _coder(path)

@@ -12,6 +12,7 @@ than a window continue in the next one, with the boundary flagged on both pieces
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -26,12 +27,15 @@ from vouchwell.llm._shared import materialize, whole_text
 #: Above this many input partitions the base offsets are joined by a shuffle, not broadcast.
 MAX_BROADCAST_BASES = 100_000
 #: Words that a worker remembers with their ids before it starts anew.
-WORD_CACHE = 800_000
+WORD_CACHE = 1_500_000
 #: Bytes of text that are split into words at a time.
 SLAB_BYTES = 1 << 23
 #: Words that go through the tokenizer as one text.
 WORDS_AT_ONCE = 2000
 _BREAK = "\x01"
+# ASCII marks (but the apostrophe, which may begin an ending) after a plain letter
+_MARKS = r"!-&(-/:-@\[-`{-~"
+_MARKED = f"([a-zß-öø-ÿ])([{_MARKS}])"
 _PROBE = "one two's  Three\tfour\n5 six,seven . été 12ab\r\n(x) #y"
 
 
@@ -41,7 +45,9 @@ class WordIds:
     Texts are split at ASCII white space and their words numbered by Arrow; new words are joined to
     one text with a mark between them that the tokenizer keeps apart, so its cost per call is shared.
     That holds for tokenizers that never join text across white space; a probe tells, and texts go
-    through any other tokenizer whole.
+    through any other tokenizer whole. Where it also tells that ASCII case and the marks after a
+    word make no difference to the word's ids, words are counted without them. Texts that
+    hold one of the tokenizer's added tokens, in any case, go through it whole.
     """
 
     def __init__(self, path: str):
@@ -53,7 +59,12 @@ class WordIds:
         self.known: dict[str, bytes] = {}
         mark = self._raw([f" {_BREAK} "])[0]
         self.mark = np.frombuffer(mark, self.dtype)[0]
-        self.by_word = len(mark) == self.dtype.itemsize and b"".join(self._raw(_PROBE.split())) == self._raw([_PROBE])[0]
+        same = lambda parts, whole: b"".join(self._raw(parts)) == self._raw([whole])[0]
+        self.by_word = len(mark) == self.dtype.itemsize and same(_PROBE.split(), _PROBE)
+        self.lowers = same([_PROBE.upper()], _PROBE)
+        marks = re.findall(f"[{_MARKS}]", "".join(map(chr, range(33, 127))))
+        self.parts = same([x for m in marks for x in ("ab", f"{m}cd", "é", m * 2)], " ".join(f"ab{m}cd é{m}{m}" for m in marks))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -72,6 +83,19 @@ class WordIds:
         return out
 
     def _slab(self, texts: pa.Array) -> list[bytes]:
+        whole = pa.array([False] * len(texts))
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token, ignore_case=True))
+        out = self._by_word(pc.if_else(whole, "", texts) if whole.true_count else texts)
+        for i in np.flatnonzero(whole) if whole.true_count else ():
+            out[i] = self._raw([texts[int(i)].as_py()])[0]
+        return out
+
+    def _by_word(self, texts: pa.Array) -> list[bytes]:
+        if self.lowers:
+            texts = pc.ascii_lower(texts)
+            if self.parts:
+                texts = pc.replace_substring_regex(texts, _MARKED, r"\1 \2")
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
         ids = pa.array(self._words(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
