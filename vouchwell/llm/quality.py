@@ -1,12 +1,13 @@
 """Quality classifier: hierarchical empirical Bayes.
 
-A word-presence model gives each document a Bayes factor (how much its text speaks for the label).
+A logistic model of present words and of the text's make-up (length, repetition, marks, lines) gives
+each document a Bayes factor: how much its text speaks for the label.
 The document's prior comes from where it stands: grouped sums of the classifier's probabilities give
 rates per path, host and corpus; a host's rate is shrunk towards the corpus's and a path's towards
 its host's, each by a strength that the method of moments finds in the spread of the rates, so
 sparse sites stay near the global prior. Posterior odds = odds of the path's rate x Bayes factor.
 
-The word model and its calibration are fitted on a bounded sample (``SAMPLE_ROWS``) of the labelled
+The text model is fitted on a bounded sample (``SAMPLE_ROWS``) of the labelled
 rows, those with the lowest hash of their id; every text is scored whole, and the rates cover all
 rows.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,11 @@ from vouchwell.llm._shared import materialize, whole_text
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 8000
 BUCKETS = 1 << 18
-#: Words whose share differs between the classes by fewer standard errors are left out.
+#: Features whose share differs between the classes by fewer standard errors are left out, and of the
+#: others all but the MAX_FEATURES that differ most.
 LEAST_Z = 4.0
-MAX_LOG_ODDS = 6.0
+MAX_FEATURES = 512
+RIDGE = 1.0
 #: Bounds of the shrinkage strength, in rows.
 STRENGTHS = (5.0, 10_000.0)
 MAX_BROADCAST_SITES = 50_000
@@ -40,14 +44,31 @@ MAX_BROADCAST_SITES = 50_000
 _WORD = re.compile(r"\w+|[^\w\s]+")
 
 
+def shapes(words: list[str], text: str) -> list[bytes]:
+    """What the text is made of, each share in tenths."""
+    n, counts, lines = len(words), Counter(words), text.split("\n")
+    if not n:
+        return []
+    size = n.bit_length()
+    share = lambda test: 10 * sum(k for w, k in counts.items() if test(w)) // n
+    return [
+        b"\0size%d" % size,
+        b"\0distinct%d:%d" % (size, 10 * len(counts) // n),
+        b"\0most%d" % (10 * max(counts.values()) // n),
+        b"\0marks%d" % share(lambda w: not w[0].isalnum()),
+        b"\0upper%d" % share(lambda w: len(w) > 1 and w.isupper()),
+        b"\0digits%d" % share(str.isdigit),
+        b"\0lines%d" % (10 * len(set(lines)) // len(lines)),
+        b"\0letters%d" % min(20, sum(len(w) * k for w, k in counts.items()) // n),
+    ]
+
+
 def features(text: str) -> np.ndarray:
-    """Hash buckets of the distinct words, runs of marks, and shapes of words in the text."""
-    words = set(_WORD.findall(text))
-    found = {zlib.crc32(w.lower().encode()) for w in words}
-    if words:
-        upper = sum(w.isupper() and len(w) > 1 for w in words)
-        found.add(zlib.crc32(b"\0upper%d" % (10 * upper // len(words))))
-    return np.fromiter(found, np.int64, len(found)) & (BUCKETS - 1)
+    """Hash buckets of the distinct words and runs of marks, and of the text's shapes."""
+    words = _WORD.findall(text)
+    found = {zlib.crc32(w.lower().encode()) for w in set(words)}
+    found.update(map(zlib.crc32, shapes(words, text)))
+    return np.unique(np.fromiter(found, np.int64, len(found)) & (BUCKETS - 1))
 
 
 def _presence_batches(batches):
@@ -55,7 +76,7 @@ def _presence_batches(batches):
         counts: dict[int, np.ndarray] = {}
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
             held = counts.setdefault(y, np.zeros(BUCKETS, np.int32))
-            held[np.unique(features(text))] += 1
+            held[features(text)] += 1
         for y, held in counts.items():
             at = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays(
@@ -63,44 +84,42 @@ def _presence_batches(batches):
             )
 
 
-def word_weights(n0: np.ndarray, n1: np.ndarray, docs0: int, docs1: int) -> np.ndarray:
-    """Log odds of the label per present word, 0 where the classes do not clearly differ."""
+def telling(n0: np.ndarray, n1: np.ndarray, docs0: int, docs1: int) -> np.ndarray:
+    """The buckets whose presence differs most between the classes, in standard errors."""
     p0, p1 = (n0 + 0.5) / (docs0 + 1), (n1 + 0.5) / (docs1 + 1)
     pooled = (n0 + n1 + 1) / (docs0 + docs1 + 2)
-    z = (p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / max(docs0, 1) + 1 / max(docs1, 1)))
-    odds = np.log(p1 / p0)
-    return np.where(np.abs(z) >= LEAST_Z, np.clip(odds, -MAX_LOG_ODDS, MAX_LOG_ODDS), 0).astype(np.float32)
+    z = np.abs(p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / docs0 + 1 / docs1))
+    order = np.argsort(-z, kind="stable")[:MAX_FEATURES]
+    return np.sort(order[z[order] >= LEAST_Z])
 
 
-def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit with a weak ridge, by Newton steps."""
-    x = np.stack([score, np.ones_like(score)], axis=1)
-    w = np.zeros(2)
-    ridge = np.diag([1e-2, 1e-3])
-    for _ in range(50):
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a ridge-penalised logistic fit by Newton steps; the last column isn't penalised."""
+    w = np.zeros(x.shape[1])
+    ridge = np.full(x.shape[1], RIDGE)
+    ridge[-1] = 1e-3
+    for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        w += np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 class Model:
-    """Weights per bucket; ``slope`` and ``offset`` turn their sum into log odds; ``base`` is the
-    sample's own log odds, taken out again to leave the Bayes factor."""
+    """Weights per bucket and an offset give log odds; ``base`` is the sample's own log odds, taken
+    out again to leave the Bayes factor."""
 
-    def __init__(self, weights: np.ndarray, slope: float, offset: float, base: float):
-        self.weights, self.slope, self.offset, self.base = weights, slope, offset, base
+    def __init__(self, weights: np.ndarray, offset: float, base: float):
+        self.weights, self.offset, self.base = weights, offset, base
 
-    def log_bayes_factor(self, text: str) -> float:
-        if not text.strip():
-            return 0.0
-        return self.slope * float(self.weights[features(text)].sum()) + self.offset - self.base
+    def log_bayes_factor(self, at: np.ndarray) -> float:
+        return float(self.weights[at].sum()) + self.offset - self.base
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """The word model of one 0/1 label; None where the sample lacks one of its values."""
+    """The text model of one 0/1 label; None where the sample lacks one of its values."""
     usable = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("y"))
     picked = usable.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     sample = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(whole_text().alias("text"), "y")
@@ -112,19 +131,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = SAMPL
     counted = sample.mapInArrow(_presence_batches, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n"))
     for r in counted.collect():  # 2 x BUCKETS rows at most
         counts[r["y"], r["bucket"]] = r["n"]
-    weights = word_weights(counts[0], counts[1], sizes[0], sizes[1])
-    raw = Model(weights, 1.0, 0.0, 0.0)
-    scored = sample.mapInArrow(_raw_scores(raw), "score double, y int").collect()  # sample_rows rows
-    score, y = (np.array([r[c] for r in scored], float) for c in ("score", "y"))
-    slope, offset = calibrate(score, y)
-    return Model(weights, slope, offset, float(np.log(sizes[1] / sizes[0])))
+    chosen = telling(counts[0], counts[1], sizes[0], sizes[1])
+    held = sample.mapInArrow(_held(chosen), "at array<int>, y int").collect()  # sample_rows rows
+    x = np.zeros((len(held), len(chosen) + 1))
+    x[:, -1] = 1
+    for row, r in zip(x, held):
+        row[r["at"]] = 1
+    w = logistic(x, np.array([r["y"] for r in held], float))
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[chosen] = w[:-1]
+    return Model(weights, float(w[-1]), float(np.log(sizes[1] / sizes[0])))
+
 
+def _held(chosen: np.ndarray):
+    """Places in ``chosen`` of the features that each text has."""
 
-def _raw_scores(model: Model):
     def run(batches):
         for batch in batches:
-            out = [float(model.weights[features(t)].sum()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column("y")], names=["score", "y"])
+            out = [np.flatnonzero(np.isin(chosen, features(t), assume_unique=True)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column("y")], names=["at", "y"])
 
     return run
 
@@ -140,7 +165,7 @@ def _evidence(models: dict[str, Model | None]):
                 at = features(t)
                 for n, m in models.items():
                     if m is not None:
-                        cols[n][i] = m.slope * float(m.weights[at].sum()) + m.offset - m.base
+                        cols[n][i] = m.log_bayes_factor(at)
             keep = ["doc_id", "host", "path"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(c) for c in cols.values()]], names=[*keep, *cols])
 
