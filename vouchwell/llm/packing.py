@@ -27,9 +27,9 @@ from vouchwell.llm._shared import materialize, whole_text
 #: Above this many input partitions the base offsets are joined by a shuffle, not broadcast.
 MAX_BROADCAST_BASES = 100_000
 #: Words that a worker remembers with their ids before it starts anew.
-WORD_CACHE = 1_500_000
+WORD_CACHE = 400_000
 #: Bytes of text that are split into words at a time.
-SLAB_BYTES = 1 << 23
+SLAB_BYTES = 1 << 22
 #: Words that go through the tokenizer as one text.
 WORDS_AT_ONCE = 2000
 _BREAK = "\x01"
