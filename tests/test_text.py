@@ -45,25 +45,25 @@ def test_canonical_is_idempotent(spark, odd_texts):
     assert applied(spark, [(t,) for t in once], "t string", T.normalize(F.col("t"))) == once
 
 
-@pytest.mark.parametrize(
-    ("quote", "found"),
-    [
-        ("built the harbour bridge", True),
-        ("BUILT THE\n harbour   Bridge", True),
-        ("“built the harbour bridge.”", True),
-        ("...built the harbour bridge…", True),
-        ("the harbour bridge in Lund, with care", True),
-        ("the harbour bridge in Lund with care", False),  # the comma inside is kept
-        ("built the harbor bridge", False),
-        ("She built the harbour bridge with care", False),  # two passages spliced
-        ("bridge", False),  # too short
-        ("", False),
-        (None, False),
-    ],
-)
-def test_verify_span(spark, quote, found):
+VERIFY_SPAN = [
+    ("built the harbour bridge", True),
+    ("BUILT THE\n harbour   Bridge", True),
+    ("“built the harbour bridge.”", True),
+    ("...built the harbour bridge…", True),
+    ("the harbour bridge in Lund, with care", True),
+    ("the harbour bridge in Lund with care", False),  # the comma inside is kept
+    ("built the harbor bridge", False),
+    ("She built the harbour bridge with care", False),  # two passages spliced
+    ("bridge", False),  # too short
+    ("", False),
+    (None, False),
+]
+
+
+def test_verify_span(spark):
     text = "In 2010 she built the harbour\nbridge in Lund, with care. Then she rested."
-    assert applied(spark, [(quote, text)], "q string, t string", T.verify_span(F.col("q"), F.col("t"))) == [found]
+    got = applied(spark, [(quote, text) for quote, _ in VERIFY_SPAN], "q string, t string", T.verify_span(F.col("q"), F.col("t")))
+    assert list(zip([quote for quote, _ in VERIFY_SPAN], got)) == VERIFY_SPAN
 
 
 def test_planted_passages_verify(spark):
@@ -88,26 +88,26 @@ def test_entities(spark):
     assert applied(spark, rows, "t string", unescape_html(F.col("t"))) == [html.unescape(rows[0][0]), None]
 
 
-@pytest.mark.parametrize(
-    ("claim", "quote", "rule"),
-    [
-        ("Wants to teach", "I want to teach one day", "ok"),
-        ("Seeking a research post", "Wrote papers on soil", "intent"),
-        ("Left banking", "Worked in banking", "departure"),
-        ("Left banking", "I left banking", "ok"),
-        ("Managed ten people", "Worked with ten people", "leadership"),
-        ("Burned out by audits", "Did audits for years", "consequence"),
-        ("Sold 1,000 boats", "sold 1000 boats", "ok"),
-        ("Sold 30 boats in 07", "sold 30 boats in 7", "numbers"),
-        ("", "anything", "empty"),
-        ("anything", None, "empty"),
-        ("Seeking to leave and lead 9", "nothing of it", "intent"),  # the first rule that fails
-        ("The tour was cancelled", "no tour took place", "leadership"),  # substrings count
-    ],
-)
-def test_gate(spark, claim, quote, rule):
-    got = applied(spark, [(claim, quote)], "c string, q string", gate(F.col("c"), F.col("q")))[0]
-    assert (got.rule, got.ok) == (rule, rule == "ok")
+GATE = [
+    ("Wants to teach", "I want to teach one day", "ok"),
+    ("Seeking a research post", "Wrote papers on soil", "intent"),
+    ("Left banking", "Worked in banking", "departure"),
+    ("Left banking", "I left banking", "ok"),
+    ("Managed ten people", "Worked with ten people", "leadership"),
+    ("Burned out by audits", "Did audits for years", "consequence"),
+    ("Sold 1,000 boats", "sold 1000 boats", "ok"),
+    ("Sold 30 boats in 07", "sold 30 boats in 7", "numbers"),
+    ("", "anything", "empty"),
+    ("anything", None, "empty"),
+    ("Seeking to leave and lead 9", "nothing of it", "intent"),  # the first rule that fails
+    ("The tour was cancelled", "no tour took place", "leadership"),  # substrings count
+]
+
+
+def test_gate(spark):
+    got = applied(spark, [case[:2] for case in GATE], "c string, q string", gate(F.col("c"), F.col("q")))
+    assert [(*case[:2], g.rule) for case, g in zip(GATE, got)] == GATE
+    assert all(g.ok == (g.rule == "ok") for g in got)
 
 
 def test_gate_on_whole_words(spark):
@@ -121,25 +121,25 @@ def test_numbers(spark):
     assert got == [(["1000", "07", "7"], ["07", "1000"])]
 
 
-@pytest.mark.parametrize(
-    ("text", "kind"),
-    [
-        ("Hi Ada, a note", "salutation"),
-        ("first line\n  dear all", "salutation"),
-        ("with\nBest,\nM", "sign-off"),
-        ("Kind regards", "sign-off"),
-        ("I'd love to chat about it", "second-person pitch"),
-        ("Would you be open to it?", "second-person pitch"),
-        ("I'm reaching out since", "outreach opener"),
-        ("I came across your work", "outreach opener"),
-        ("Let me know if you agree", "second-person pitch"),
-        ("Ask about the move; say what the role lacks.", None),
-        ("The best, by far", None),
-        (None, None),
-    ],
-)
-def test_guard(spark, text, kind):
-    assert applied(spark, [(text,)], "t string", sendable_kind(F.col("t"))) == [kind]
+GUARD = [
+    ("Hi Ada, a note", "salutation"),
+    ("first line\n  dear all", "salutation"),
+    ("with\nBest,\nM", "sign-off"),
+    ("Kind regards", "sign-off"),
+    ("I'd love to chat about it", "second-person pitch"),
+    ("Would you be open to it?", "second-person pitch"),
+    ("I'm reaching out since", "outreach opener"),
+    ("I came across your work", "outreach opener"),
+    ("Let me know if you agree", "second-person pitch"),
+    ("Ask about the move; say what the role lacks.", None),
+    ("The best, by far", None),
+    (None, None),
+]
+
+
+def test_guard(spark):
+    got = applied(spark, [(text,) for text, _ in GUARD], "t string", sendable_kind(F.col("t")))
+    assert list(zip([text for text, _ in GUARD], got)) == GUARD
 
 
 def test_guard_exempts_quotes(spark):
@@ -148,20 +148,20 @@ def test_guard_exempts_quotes(spark):
     assert got == [(None, "It rests on:  [quoted] .")]
 
 
-@pytest.mark.parametrize(
-    ("text", "reason", "evidence"),
-    [
-        ("linkedin.com/in/ada-x and LINKEDIN.com/in/bo_y a@b.org c@d.org", "handles", ["linkedin.com/in/ada-x", "linkedin.com/in/bo_y"]),
-        ("Mail a@b.org or C@d.org", "emails", ["a@b.org", "c@d.org"]),
-        ("a@b.org A@B.org", None, []),
-        ("Experience\nx\nEducation:\ny\nexperience\nz\neducation", "sections", ["education", "experience"]),
-        ("Experience\nx\nexperience\ny", None, []),
-        (None, None, []),
-    ],
-)
-def test_one_person(spark, text, reason, evidence):
-    got = applied(spark, [(text,)], "t string", one_person(F.col("t")))[0]
-    assert (got.ok, got.reason, got.evidence) == (reason is None, reason, evidence)
+ONE_PERSON = [
+    ("linkedin.com/in/ada-x and LINKEDIN.com/in/bo_y a@b.org c@d.org", "handles", ["linkedin.com/in/ada-x", "linkedin.com/in/bo_y"]),
+    ("Mail a@b.org or C@d.org", "emails", ["a@b.org", "c@d.org"]),
+    ("a@b.org A@B.org", None, []),
+    ("Experience\nx\nEducation:\ny\nexperience\nz\neducation", "sections", ["education", "experience"]),
+    ("Experience\nx\nexperience\ny", None, []),
+    (None, None, []),
+]
+
+
+def test_one_person(spark):
+    got = applied(spark, [(text,) for text, *_ in ONE_PERSON], "t string", one_person(F.col("t")))
+    assert [(text, g.reason, g.evidence) for (text, *_), g in zip(ONE_PERSON, got)] == ONE_PERSON
+    assert all(g.ok == (g.reason is None) for g in got)
 
 
 def test_overlap(spark):
