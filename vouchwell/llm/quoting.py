@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from vouchwell.llm._shared import materialize
 
 QUOTE = r"^[ \t]*>"
-_PREFIX = r"^([ \t]*>)+[ \t]?"
+_PREFIX = r"^[ \t>]*>[ \t]?"  # no repeated group: Java's stack would grow with the marks
 _ANNOUNCES = r"(?i)^[ \t]*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)[ \t]*:[ \t]*$"
 #: Normalised lines shorter than this say too little to be a link by themselves.
 LEAST_LINE = 12
