@@ -33,24 +33,33 @@ CROWD = 20_000
 FANOUT = 8
 
 
-def simhash(text: str, shingle: int = 3, seed: int = 42) -> int:
+def shingle_hashes(text: str, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """One hash per shingle, in the text's order."""
     import xxhash
 
     words = text.encode().lower().split()  # bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words), initial=-1))[1:]
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(flat, seed)
+        return np.array([xxhash.xxh64_intdigest(flat, seed)], np.uint64)
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
     n = len(words) - shingle + 1
-    h = np.fromiter((digest(flat[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :])), np.uint64, n)
+    return np.fromiter((digest(flat[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :])), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 8192):
+    for at in range(0, len(h), 8192):
         ones += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def simhash(text: str, shingle: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def _fingerprint_batches(shingle: int, seed: int):
@@ -212,11 +221,17 @@ def components(docs: DataFrame, limit: int = 2, shingle: int = 3, seed: int = 42
     return prints.join(by_fp, prints["fp"] == by_fp["_fp"]).drop("_fp")
 
 
-def keep_one(docs: DataFrame, limit: int = 2) -> DataFrame:
-    """The documents of which each component keeps one: the one with the smallest id. Documents
-    without id, in components without any, are kept once per distinct text."""
+def keep_named(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents after which the components of ``found`` (doc_id, component_id) are named.
+    Documents without id, in components without any, are kept once per distinct text."""
     slim = packed(docs, "doc_id", "text")
-    kept = components(docs, limit).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
     chosen = slim.join(kept, slim["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
     once = chosen.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
     return once.select(*unpacked(docs, "doc_id", "text"))
+
+
+def keep_one(docs: DataFrame, limit: int = 2) -> DataFrame:
+    """The documents of which each component keeps one: the one with the smallest id. Documents
+    without id, in components without any, are kept once per distinct text."""
+    return keep_named(docs, components(docs, limit))
