@@ -3,8 +3,12 @@
 Every text run has a path of tags (with classes) from the root. Per path, text length and
 punctuation are summed and divided by the number of runs on the path; the two ratios are fused,
 smoothed over the runs in page order, and paths above a share of the scores' spread are content.
-The element that holds the bulk of the content runs is the article; all its blocks are taken but
-those in elements that say that they are something else (navigation, adverts, comments, forms).
+The smallest element that holds all content runs is the article, or the ``article`` element around
+it; all its blocks are taken but those in elements that say that they are something else
+(navigation, adverts, comments, forms). Within the article, words of a class or id say so only of an
+element with most of its text off the content paths or in links, and never of headings and headers.
+Where only the page's body holds all content, the bulk's element, other content runs and the title
+are taken.
 
 Edge cases: null or empty html, and pages without text, give the empty string; unclosed tags end
 where the standard lets them; repeated rows are extracted each; an empty table gives no row; extra
@@ -25,7 +29,7 @@ from vouchwell.llm.markup import INLINE, RAW, VOID, attributes, closed_by, token
 
 #: A path is content from this share of the standard deviation of the runs' smoothed scores on.
 THRESHOLD = 0.5
-#: The article is the deepest element with at least this share of the content.
+#: The bulk's element is the deepest with at least this share of the content.
 ARTICLE_SHARE = 0.7
 #: An element that names itself furniture is believed below this share of the page's text.
 FURNITURE_SHARE = 0.5
@@ -41,6 +45,8 @@ _WORDS = frozenset(
     "widgets popup modal overlay copyright skip hidden outbrain taboola".split()
 )
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption ul ol dl".split())
+_HEADINGS = frozenset("header hgroup h1 h2 h3 h4 h5 h6".split())
+_WHOLE = frozenset("# html body".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?¡¿،。，、；：！？…]")
 
@@ -52,6 +58,10 @@ def _is_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if "none" in attrs.get("style", "") and re.search(r"display\s*:\s*none", attrs["style"]):
         return True
+    return False
+
+
+def _is_named(attrs: dict[str, str]) -> bool:
     named = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attrs.get('class', '')} {attrs.get('id', '')}")
     return not _WORDS.isdisjoint(_SPLIT.split(named.lower()))
 
@@ -61,6 +71,7 @@ class _Page:
 
     def __init__(self, page: str):
         self.parent, self.tag, self.path, self.furniture = [-1], ["#"], ["#"], [False]
+        self.named, self.within = [False], [False]  # by a class or id word; in an article or main element
         self.runs: list[tuple[int, int, str, bool]] = []  # element, block, text, in a link
         stack, names, block = [0], ["#"], 0
         article = 0
@@ -89,6 +100,8 @@ class _Page:
             self.tag.append(value)
             self.path.append(f"{self.path[up]}/{value}" + (f".{attrs['class'].strip()}" if attrs.get("class") else ""))
             self.furniture.append(_is_furniture(value, attrs, article > 0))
+            self.named.append(_is_named(attrs))
+            self.within.append(article > 0)
             if value in RAW:
                 continue
             stack.append(len(self.parent) - 1)
@@ -103,20 +116,8 @@ def _gathered(parent: list[int], own: np.ndarray) -> np.ndarray:
     return total
 
 
-def extract(html: str) -> str:
-    page = _Page(html)
-    words = [(e, b, t, a, len("".join(t.split()))) for e, b, t, a in page.runs]
-    n = len(page.parent)
-    own = np.zeros(n, np.int64)
-    for e, _, _, _, size in words:
-        own[e] += size
-    held = _gathered(page.parent, own)
-    out = [False] * n
-    for i in range(1, n):
-        out[i] = out[page.parent[i]] or (page.furniture[i] and held[i] < FURNITURE_SHARE * held[0])
-    live = [w for w in words if not out[w[0]] and w[4]]
-    if not live:
-        return ""
+def _content(page: _Page, live: list) -> set[str]:
+    """The paths above the threshold."""
     sums = defaultdict(lambda: [0, 0, 0, 0])
     for e, _, text, link, size in live:
         s = sums[page.path[e]]
@@ -132,19 +133,95 @@ def extract(html: str) -> str:
     for (e, *_), s in zip(live, smooth):
         by_path[page.path[e]].append(s)
     limit = min(THRESHOLD * smooth.std(), max(map(np.mean, by_path.values())))
-    content = {p for p, s in by_path.items() if np.mean(s) >= limit}
-    chosen = np.zeros(n, np.int64)
+    return {p for p, s in by_path.items() if np.mean(s) >= limit}
+
+
+def _deepest(page: _Page, weight: np.ndarray, share: float) -> int:
+    found = 0
+    for i in range(1, len(page.parent)):  # a child comes after its parent
+        if page.parent[i] == found and weight[i] >= share * weight[0] and page.tag[i] not in _LEAVES and page.tag[i] not in INLINE:
+            found = i
+    return found
+
+
+def _below(page: _Page, top: int) -> list[bool]:
+    inside = [i == top for i in range(len(page.parent))]
+    for i in range(top + 1, len(inside)):
+        inside[i] = inside[page.parent[i]]
+    return inside
+
+
+def _up(page: _Page, i: int) -> list[int]:
+    found = [i]
+    while page.parent[found[-1]] >= 0:
+        found.append(page.parent[found[-1]])
+    return found
+
+
+def _article(page: _Page, live: list, content: set[str]) -> tuple[int, np.ndarray]:
+    """The smallest element with all content, or the article element around it, and the content's
+    size below each element."""
+    chosen = np.zeros(len(page.parent), np.int64)
     for e, _, _, _, size in live:
         if page.path[e] in content:
             chosen[e] += size
     weight = _gathered(page.parent, chosen)
-    article = 0
-    for i in range(1, n):  # a child comes after its parent
-        if page.parent[i] == article and weight[i] >= ARTICLE_SHARE * weight[0] and page.tag[i] not in _LEAVES and page.tag[i] not in INLINE:
-            article = i
-    inside = [i == article for i in range(n)]
-    for i in range(article + 1, n):
-        inside[i] = inside[page.parent[i]]
+    found = _deepest(page, weight, 1)
+    for kind in ("article", "main"):
+        around = [i for i in _up(page, found) if page.tag[i] == kind]
+        if around:
+            return around[-1], weight
+    titles = {i for e, *_ in live for i in _up(page, e) if page.tag[i] == "h1"}
+    line = _up(page, found)
+    wide = max((line.index(next(i for i in _up(page, t) if i in line)) for t in titles), default=0)
+    return (found if page.tag[line[wide]] in _WHOLE else line[wide]), weight
+
+
+def extract(html: str) -> str:
+    page = _Page(html)
+    words = [(e, b, t, a, len("".join(t.split()))) for e, b, t, a in page.runs]
+    n = len(page.parent)
+    own = np.zeros(n, np.int64)
+    for e, _, _, _, size in words:
+        own[e] += size
+    held = _gathered(page.parent, own)
+
+    def left_out(marked: list[bool]) -> list[bool]:
+        out = [False] * n
+        for i in range(1, n):
+            out[i] = out[page.parent[i]] or (marked[i] and held[i] < FURNITURE_SHARE * held[0])
+        return out
+
+    def runs(out: list[bool]) -> list:
+        return [w for w in words if not out[w[0]] and w[4]]
+
+    marked = [f or (m and not w) for f, m, w in zip(page.furniture, page.named, page.within)]
+    strict = [f or m for f, m in zip(page.furniture, page.named)]
+    live = runs(left_out(strict)) or runs(left_out(marked))
+    if not live:
+        return ""
+    article, _ = _article(page, live, _content(page, live))
+    inside = _below(page, article) if page.tag[article] not in _WHOLE else page.within
+    marked = [f or (m and not i) for f, m, i in zip(page.furniture, page.named, inside)]
+    live = runs(left_out(marked))
+    if not live:
+        return ""
+    content = _content(page, live)
+    off = np.zeros(n, np.int64)
+    for e, _, _, link, size in live:
+        off[e] += size * (link or page.path[e] not in content)
+    off = _gathered(page.parent, off)
+    for i in range(1, n):
+        if page.named[i] and inside[i] and page.tag[i] not in _HEADINGS and 2 * off[i] > held[i]:
+            marked[i] = True
+    out = left_out(marked)
+    live = runs(out) or live
+    article, weight = _article(page, live, content)
+    inside = _below(page, article)
+    if page.tag[article] in _WHOLE:
+        inside = _below(page, _deepest(page, weight, ARTICLE_SHARE))
+        for e, *_ in live:
+            inside[e] = inside[e] or page.path[e] in content or any(page.tag[i] == "h1" for i in _up(page, e))
     blocks: dict[int, list[str]] = {}
     for e, b, text, _, _ in words:
         if inside[e] and not out[e]:
