@@ -24,3 +24,11 @@ def test_sections_of_unequal_length(tag):
     parts = [f"<section><h2>S{k}</h2>" + "".join(f"<p>{LONG * 2}{k}{i}</p>" for i in range(m)) + "</section>" for k, m in enumerate((1, 9, 1))]
     want = [line for k, m in enumerate((1, 9, 1)) for line in [f"S{k}", *[f"{LONG * 2}{k}{i}" for i in range(m)]]]
     assert got(f"<{tag}>{''.join(parts)}</{tag}>") == want
+
+
+def test_class_words_within_an_article():
+    body = "".join(f"<p>{LONG * 2}{i}</p>" for i in range(4))
+    more = f'<h2 id="related-work">Related work</h2><section id="discussion"><p>{LONG * 2}d</p></section><div class="notice-text"><p>{LONG * 2}n</p></div>'
+    links = '<div class="related"><a href="/a">Another story</a> <a href="/b">One more story</a></div>'
+    lines = got(f'<article><header class="entry-header"><h1>Title</h1></header>{body}{more}{links}</article>')
+    assert lines == ["Title", *[f"{LONG * 2}{i}" for i in range(4)], "Related work", f"{LONG * 2}d", f"{LONG * 2}n"]
