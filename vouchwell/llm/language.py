@@ -6,8 +6,9 @@ the corpus's declarations agree with its texts; and the prior of the host, smoot
 address suffix and that towards the whole corpus. Host, suffix and declaration counts are grouped
 sums of text posteriors, so a hot host is pre-aggregated in every task.
 
-The trigram models are fitted on a bounded sample (``SAMPLE_ROWS``) of labelled rows, those with
-the lowest hash of their id; scoring reads every text whole, and the counts cover all rows.
+Every label that any row has is a language. Its trigram model is fitted on a bounded sample
+(``SAMPLE_ROWS`` of its own rows, those with the lowest hash of their id), so a rare language has
+all its rows in it; scoring reads every text whole, and the counts cover all rows.
 
 Edge cases: a null, empty or letterless text has no language (``und``) and is rejected; null host,
 suffix or declaration add no evidence beyond the level above; repeated rows are scored each; empty
@@ -20,16 +21,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouchwell.llm._shared import materialize, packed, unpacked, whole_text
 
 UNKNOWN = "und"
-#: Labelled rows that the text models are fitted on, at most.
-SAMPLE_ROWS = 4000
-#: Languages at most; the rarest in the sample are left out.
-MAX_LANGUAGES = 64
+#: Labelled rows of each language that its text model is fitted on, at most. Spark cuts to such a
+#: rank in each task up to spark.sql.optimizer.windowGroupLimitThreshold, 1,000 unless set.
+SAMPLE_ROWS = 1000
 BUCKETS = 1 << 16
 #: Trigrams overlap: three of them are worth about one independent observation.
 EVIDENCE_SCALE = 1 / 3
@@ -39,7 +39,8 @@ PRIOR_ROWS = 20.0
 UNKNOWN_PRIOR = 1e-4
 #: Hosts up to this count are broadcast with their priors.
 MAX_BROADCAST_HOSTS = 50_000
-SLAB_BYTES = 1 << 18
+#: Trigrams times models that are looked up at once.
+SLAB_CELLS = 1 << 21
 
 
 def trigram_buckets(raw: np.ndarray) -> np.ndarray:
@@ -82,25 +83,28 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
     """Languages, and the log likelihood of each trigram bucket under each and under the background
     (last column). ``labelled``: doc_id, text, label."""
     usable = labelled.filter("label is not null and text is not null and length(text) > 0")
-    ids = usable.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("_h")).orderBy("_h", "_id").limit(sample_rows)
-    sample = usable.join(F.broadcast(ids.select("_id").distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    slim = usable.select(F.col("label").alias("_label"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.xxhash64("doc_id").alias("_h"))
+    along = Window.partitionBy("_label").orderBy("_h", "_id", "_text")
+    ids = slim.withColumn("_n", F.row_number().over(along)).filter(F.col("_n") <= sample_rows).select("_label", "_id", "_text").distinct()
+    same = (F.col("label") == F.col("_label")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
+    sample = usable.join(F.broadcast(materialize(ids, "sample")), same, "left_semi")  # sample_rows a language
     counted = sample.select("text", "label").mapInArrow(_count_batches, "label string, bucket int, n long")
-    rows = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()  # languages x buckets at most
-    total: dict[str, int] = {}
-    for r in rows:
-        total[r["label"]] = total.get(r["label"], 0) + r["n"]
-    names = sorted(sorted(total, key=lambda x: (-total[x], x))[:MAX_LANGUAGES])
+    rows = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets at most
+    coded = rows.column("label").combine_chunks().dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    names = sorted(found)
     counts = np.zeros((BUCKETS, len(names)))
-    place = {x: i for i, x in enumerate(names)}
-    for r in rows:
-        if r["label"] in place:
-            counts[r["bucket"], place[r["label"]]] = r["n"]
+    if names:
+        place = np.array([names.index(x) for x in found])
+        counts[rows.column("bucket").to_numpy(), place[coded.indices.to_numpy()]] = rows.column("n").to_numpy()
     likely = (counts + SMOOTHING / 64) / (counts.sum(0) + SMOOTHING / 64 * BUCKETS)
     background = np.full((BUCKETS, 1), 1 / BUCKETS)
     return names, np.log(np.concatenate([likely, background], axis=1)).astype(np.float32)
 
 
 def _score(table: np.ndarray):
+    slab = SLAB_CELLS // table.shape[1] + 1
+
     def run(batches):
         for batch in batches:
             texts = [prose(t) for t in batch.column("text").to_pylist()]
@@ -108,16 +112,21 @@ def _score(table: np.ndarray):
             at, lettered = 0, [_LETTER.search(t) is not None for t in texts]
             while at < len(texts):
                 end, parts, size = at, [], 0
-                while end < len(texts) and (end == at or size < SLAB_BYTES):
+                while end < len(texts) and (end == at or size < slab):
                     parts.append(_bytes(texts[end]))
                     size += len(parts[-1])
                     end += 1
                 ends = np.cumsum([len(p) for p in parts])
                 grams = trigram_buckets(np.frombuffer(b"".join(parts) + b"  ", np.uint8))
-                grams[ends - 1], grams[ends - 2] = 0, 0
-                rows = table[grams]
-                rows[ends - 1], rows[ends - 2] = 0, 0  # trigrams across two texts
-                out[at:end] = np.add.reduceat(rows, np.append(0, ends[:-1]), axis=0, dtype=np.float64)
+                within = np.ones(len(grams), bool)
+                within[ends - 1] = within[ends - 2] = False  # trigrams across two texts
+                starts = np.append(0, ends[:-1])
+                for low in range(0, len(grams), slab):
+                    rows = table[grams[low : low + slab]]
+                    rows[~within[low : low + slab]] = 0
+                    first, last = np.searchsorted(ends, [low, low + len(rows) - 1], "right")
+                    cuts = np.maximum(starts[first : last + 1] - low, 0)
+                    out[at + first : at + last + 1] += np.add.reduceat(rows, cuts, axis=0, dtype=np.float64)
                 at = end
             flat = pa.array(out.ravel())
             yield pa.RecordBatch.from_arrays(
