@@ -130,10 +130,11 @@ def test_arc_confidence(spark):
 
 def test_drop_classes():
     hay = "the quick brown fox jumps over the lazy dog and runs away into the woods"
-    assert drops.classify("short", hay) == (1.0, "too_short")
-    assert drops.classify("quick brown fox jumps above all things", hay)[1] == "near_miss"
-    assert drops.classify("the quick red fox leaps over a lazy dog", hay)[1] in ("near_miss", "paraphrase")
-    assert drops.classify("zzzz yyyy xxxx 1234 5678", hay)[1] == "fabricated"
+    asked = ["short", "quick brown fox jumps above all things", "the quikc brwon fxo jumsp over teh lzay dog", "zzzz yyyy xxxx 1234 5678"]
+    got = drops.verdicts(asked, hay)
+    assert got[0] == {"overlap": 1.0, "reason": "too_short"}
+    assert [v["reason"] for v in got] == ["too_short", "near_miss", "paraphrase", "fabricated"]
+    assert drops.verdicts(["the quick brown fox"], "") == [{"overlap": 0.0, "reason": "fabricated"}]
 
 
 def fits(spark, confidence, content):
@@ -198,11 +199,11 @@ def test_prompts(spark):
     profiles, responses = tables(spark, response())
     prompt = prompts.story_prompts(profiles).collect()[0].prompt
     assert "2005-2010: Baker — Corner Bakery\n2010-present: Teacher — North School" in prompt
-    assert "Candidate: Ada" in prompt and "Known roles" not in prompt and PROFILE in prompt
+    assert "[who]\nAda" in prompt and "[roles]" not in prompt and f"=\n{PROFILE}\n=" in prompt
     arcs = pipeline.verify(profiles, responses).arcs
     roles = spark.createDataFrame([(1, "Baker", "Sourdough baker wanted", None)], "role_id long, title string, raw_description string, company_context string")
     asked = prompts.fit_prompts(arcs, roles, fit.pair_up(profiles, roles)).collect()
-    assert len(asked) == 1 and "Left baking [confidence 0.9]" in asked[0].prompt and "Context" not in asked[0].prompt
+    assert len(asked) == 1 and "0.9 | Left baking | " in asked[0].prompt and "[where]" not in asked[0].prompt
 
 
 @pytest.mark.parametrize(

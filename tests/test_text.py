@@ -170,3 +170,23 @@ def test_overlap(spark):
     assert got[0][1] == ["want", "python", "c++", "chemistry.", "maps", "too."]  # a full stop sticks
     assert (got[0][0].matched, got[0][0].matched_count, got[0][0].role_term_count, got[0][0].ratio) == (["c++", "chemistry.", "python"], 3, 6, 0.5)
     assert (got[1][0].matched_count, got[1][0].ratio) == (0, 0.0)
+
+
+LONG = 1_000_000
+
+
+def test_very_long_texts_take_seconds(spark):
+    """Characters that a pattern could retry from every place, or recurse on, a million of them."""
+    from vouchwell.functions.responses import json_object
+    from vouchwell.functions.timeline import spans
+    from vouchwell.operators.profile_lines import is_furniture
+
+    blanks = f"a{' ' * LONG}b"
+    assert applied(spark, [(blanks,), ("." * LONG + "a" + "." * LONG + "b",), (f"January{' ' * LONG}x 2010 -",), ("1" + " " * LONG + "x",)], "t string",
+                   F.length(T.strip(F.col("t"))), F.length(T.canonical(F.col("t"))), F.size(spans(F.col("t"))), is_furniture(F.col("t"))) == [
+        (LONG + 2, 3, 0, False), (2 * LONG + 2, LONG + 2, 0, False), (LONG + 15, 14, 0, False), (LONG + 2, 3, 0, False)
+    ]
+    plain, escapes = "x" * LONG, '\\"' * (LONG // 2)
+    rows = [(f'{{"a": "{body}"{end}',) for body in (plain, escapes) for end in ("}", "")] + [(f'{{"a": "{escapes}',)]
+    got = applied(spark, rows, "t string", json_object(F.col("t"))["failure"])
+    assert got == [None, "unterminated", None, "unterminated", "unterminated"]

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from vouchwell.functions.lexicon import AMBIGUOUS
 from vouchwell.functions.text import strip
 
-# a string, a brace, a quotation mark that opens a string without end, or other text
-_PARTS = r'"(?:[^"\\]|\\.)*"|[{}]|"|[^"{}]+'
+# a string, a brace, a string without end and all after it, or other text; possessive, since Java's
+# stack would grow with the characters of a string
+_PARTS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}]|".*|[^"{}]+'
 
 
 def json_object(content: Column) -> Column:
@@ -17,16 +18,16 @@ def json_object(content: Column) -> Column:
     "unterminated" or "malformed"."""
     at = F.instr(content, F.lit("{"))
     rest = F.substring(content, at, F.length(content))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"), F.lit(False).alias("open"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
 
     def step(s, part):
         depth = s["depth"] + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
-        stopped = s["done"] | s["open"]
-        return F.struct(
-            F.when(stopped, s["depth"]).otherwise(depth).alias("depth"),
-            F.when(stopped, s["size"]).otherwise(s["size"] + F.length(part)).alias("size"),
-            (s["done"] | (~s["open"] & (part == "}") & (depth == 0))).alias("done"),
-            (s["open"] | (~s["done"] & (part == '"'))).alias("open"),
+        return F.when(s["done"], s).otherwise(
+            F.struct(
+                depth.alias("depth"),
+                (s["size"] + F.length(part)).alias("size"),
+                ((part == "}") & (depth == 0)).alias("done"),
+            )
         )
 
     scan = F.aggregate(F.regexp_extract_all(rest, F.lit("(?s)" + _PARTS), F.lit(0)), start, step)

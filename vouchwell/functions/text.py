@@ -12,30 +12,46 @@ from pyspark.sql import functions as F
 # White space, trimmed marks and limits that the results depend on.
 SPACE_CLASS = r"\t-\r\x{1c}-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE = f"[{SPACE_CLASS}]"
+OTHER_SPACE = f"[{SPACE_CLASS}&&[^ ]]"
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TRIMMED_MARKS = " \t\r\n\"'“”‘’.,;:-—–"
-ELLIPSIS = r"^(\.\.\.|…)+|(\.\.\.|…)+$"
+ELLIPSES = r"^(?:\.\.\.|…)++"  # possessive: Java's stack would grow with the marks
 MIN_SPAN_CHARS = 12
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside another lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Without leading and trailing Unicode white space."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+", " ")
+    """Runs of white space as one space; the single spaces that a text mostly has are left alone."""
+    return F.regexp_replace(text, f" {SPACE}++|{OTHER_SPACE}{SPACE}*+", " ")
 
 
 def normalize(text: Column) -> Column:
     """Straight quotes, single spaces, no spaces at the ends; null counts as empty."""
-    straight = F.translate(F.coalesce(text, F.lit("")), "’‘“”", "''\"\"")
+    some = F.coalesce(text, F.lit(""))
+    straight = F.when(some.rlike("[’‘“”]"), F.translate(some, "’‘“”", "''\"\"")).otherwise(some)
     return F.btrim(collapse(straight))
 
 
+def _without_ellipses(text: Column) -> Column:
+    """Without ellipses at the ends. The end is read backwards, so that no run of full stops is
+    tried from each of its places."""
+    ahead = lambda t: F.regexp_replace(t, ELLIPSES, "")
+    return F.when(F.endswith(text, F.lit("...")) | F.endswith(text, F.lit("…")), F.reverse(ahead(F.reverse(ahead(text))))).otherwise(ahead(text))
+
+
 def canonical(span: Column) -> Column:
     """Normalised, without ellipses and marks at the ends, in lower case."""
-    return F.lower(F.btrim(F.regexp_replace(normalize(span), ELLIPSIS, ""), F.lit(TRIMMED_MARKS)))
+    return F.lower(F.btrim(_without_ellipses(normalize(span)), F.lit(TRIMMED_MARKS)))
 
 
 def haystack(raw_text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vouchwell.functions.lexicon import NOT_A_LABEL, SUFFIXES, WEAK_WORDS
-from vouchwell.functions.text import SPACE, SPACE_CLASS, collapse, lines, strip
+from vouchwell.functions.text import SPACE, SPACE_CLASS, collapse, let, lines, strip
 
 # The forms of a date line.
 MONTHS = (
@@ -19,14 +19,19 @@ MONTHS = (
 )
 OPEN_WORDS = "Present|Current|Now|Today|Ongoing"
 _YEAR = r"(?:19|20)[0-9]{2}"
-_BEFORE_YEAR = rf"(?:(?:{MONTHS}){SPACE}+|[0-9]{{1,2}}[/.][0-9]{{1,2}}[/.]|[0-9]{{1,2}}[/.])?{SPACE}*"
-_TO = rf"{SPACE}*(?:[-–—]|to|until){SPACE}*"
-_CLOSE = rf"[{SPACE_CLASS})\]·•]*$"
-RANGE = rf"(?iu)^[{SPACE_CLASS}·•\-–(\[]*{_BEFORE_YEAR}({_YEAR}){_TO}{_BEFORE_YEAR}({_YEAR}|{OPEN_WORDS}){_CLOSE}"
-SINCE = rf"(?iu)^[{SPACE_CLASS}·•(\[]*(?:since|from){SPACE}+{_BEFORE_YEAR}({_YEAR}){_CLOSE}"
-INLINE = rf"(?iu)^(.{{3,90}}?)[,;·•{SPACE_CLASS}]+{_BEFORE_YEAR}({_YEAR}){_TO}{_BEFORE_YEAR}({_YEAR}|{OPEN_WORDS}){_CLOSE}"
+# possessive white space: a long run of it isn't parted in every way between two neighbours
+_BEFORE_YEAR = rf"(?:(?:{MONTHS}){SPACE}++|[0-9]{{1,2}}[/.][0-9]{{1,2}}[/.]|[0-9]{{1,2}}[/.])?{SPACE}*+"
+_TO = rf"{SPACE}*+(?:[-–—]|to|until){SPACE}*+"
+_CLOSE = rf"[{SPACE_CLASS})\]·•]*+$"
+RANGE = rf"(?iu)^[{SPACE_CLASS}·•\-–(\[]*+{_BEFORE_YEAR}({_YEAR}){_TO}{_BEFORE_YEAR}({_YEAR}|{OPEN_WORDS}){_CLOSE}"
+SINCE = rf"(?iu)^[{SPACE_CLASS}·•(\[]*+(?:since|from){SPACE}++{_BEFORE_YEAR}({_YEAR}){_CLOSE}"
+INLINE = rf"(?iu)^(.{{3,90}}?)[,;·•{SPACE_CLASS}]++{_BEFORE_YEAR}({_YEAR}){_TO}{_BEFORE_YEAR}({_YEAR}|{OPEN_WORDS}){_CLOSE}"
 MAX_LABEL_CHARS = 90
 LABEL_LINES = 2
+#: Lines above a date that are looked at first; all of them only where these don't settle its label.
+NEAR_LINES = 16
+#: What a text with a dated span holds somewhere.
+ANY_YEAR = rf"{_YEAR}|'[0-9]{{2}}"
 MIN_STEM = 3
 OPEN_END = 9999
 
@@ -62,20 +67,18 @@ def _label_above(every: Column, i: Column) -> Column:
             .otherwise(F.struct(F.concat(F.array(line), out).alias("out"), F.lit(False).alias("stop")))
         )
 
-    above = F.reverse(F.slice(every, F.lit(1), i))
-    return F.array_join(F.aggregate(above, start, step, lambda s: s["out"]), " — ")
-
-
-def _year(text: Column) -> Column:
-    return F.try_element_at(F.array(text.try_cast("int")), F.lit(1))
+    scan = lambda first, n: F.aggregate(F.reverse(F.slice(every, first, n)), start, step)
+    n = F.least(i, F.lit(NEAR_LINES))
+    near = lambda s: F.when(s["stop"] | (F.size(s["out"]) >= LABEL_LINES) | (n == i), s).otherwise(scan(F.lit(1), i))
+    return let(scan(i - n + 1, n), lambda s: F.array_join(near(s)["out"], " — "))
 
 
 def spans(text: Column) -> Column:
     """All dated spans: a range line or a since line under its label, or a role and its years on
     one line. A range or since line without a label gives none."""
-    every = lines(F.coalesce(text, F.lit("")))
+    every = lines(F.when(F.coalesce(text, F.lit("")).rlike(ANY_YEAR), text).otherwise(F.lit("")))
 
-    def of_line(raw, i):
+    def of_line(every, raw, i):
         bare = four_digit_years(strip(raw))
         end = lambda group, pattern: F.regexp_extract(bare, pattern, group).try_cast("int")
         inline = F.btrim(F.regexp_extract(bare, INLINE, 1), F.lit(" ,;·•-–"))
@@ -84,16 +87,17 @@ def spans(text: Column) -> Column:
         )
         above = _label_above(every, i)
         return (
-            F.when(bare.rlike(RANGE), span(above, end(1, RANGE), end(2, RANGE)))
+            F.when(~raw.rlike(ANY_YEAR), F.lit(None).cast(SPAN))
+            .when(bare.rlike(RANGE), span(above, end(1, RANGE), end(2, RANGE)))
             .when(bare.rlike(SINCE), span(above, end(1, SINCE), F.lit(None)))
             .when(
                 bare.rlike(INLINE) & ~F.lower(inline).isin(_NO_LABEL), span(inline, end(2, INLINE), end(3, INLINE))
             )
         )
 
-    dated = F.filter(F.transform(every, of_line), lambda s: s.isNotNull() & (s["label"] != ""))
+    found = let(every, lambda all_: F.transform(all_, lambda raw, i: of_line(all_, raw, i)))
     keyed = F.transform(
-        dated, lambda s: F.struct(s["start"].alias("a"), F.coalesce(s["end"], F.lit(OPEN_END)).alias("b"), s["line"].alias("c"), s.alias("s"))
+        F.filter(found, lambda s: s.isNotNull() & (s["label"] != "")), lambda s: F.struct(s["start"].alias("a"), F.coalesce(s["end"], F.lit(OPEN_END)).alias("b"), s["line"].alias("c"), s.alias("s"))
     )
     return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
@@ -127,10 +131,19 @@ def same_word(a: Column, b: Column) -> Column:
     return (a == b) | (stem(a) == stem(b))
 
 
+def with_stems(found: Column) -> Column:
+    """Spans with the stems of their labels, for a row whose spans are asked more than once."""
+    return F.transform(found, lambda s: F.struct(s["label"], s["start"], s["end"], s["line"], stems(s["label"]).alias("stems")))
+
+
 def matching(text: Column, found: Column) -> Column:
     """The spans whose label shares a distinctive word with the text."""
-    asked = stems(text)
-    return F.filter(found, lambda s: F.arrays_overlap(stems(s["label"]), asked))
+    return F.filter(found, lambda s: F.arrays_overlap(stems(s["label"]), stems(text)))
+
+
+def _meeting(text: Column, stemmed: Column) -> Column:
+    """``matching`` on spans that carry their stems."""
+    return let(stems(text), lambda asked: F.filter(stemmed, lambda s: F.arrays_overlap(s["stems"], asked)))
 
 
 def owning_span(quote: Column, found: Column, text: Column) -> Column:
@@ -143,28 +156,44 @@ def owning_span(quote: Column, found: Column, text: Column) -> Column:
     return F.when(F.size(above) > 0, latest["span"])
 
 
-def proves_departure(quote: Column, found: Column, text: Column) -> Column:
-    """Did the quote's role end, and another span start at or after its end?"""
-    owner = owning_span(quote, found, text)
-    candidates = F.when(owner.isNotNull(), F.array(owner)).otherwise(matching(quote, found))
+def departure_shown(quote: Column, stemmed: Column, text: Column) -> Column:
+    """``proves_departure`` on spans that carry their stems."""
+    candidates = lambda owner: F.when(owner.isNotNull(), F.array(owner)).otherwise(_meeting(quote, stemmed))
     followed = lambda s: F.exists(
-        found, lambda o: (o["line"] != s["line"]) & F.coalesce(o["start"] >= s["end"], F.lit(False))
+        stemmed, lambda o: (o["line"] != s["line"]) & F.coalesce(o["start"] >= s["end"], F.lit(False))
     )
-    return F.coalesce(F.exists(candidates, lambda s: s["end"].isNotNull() & followed(s)), F.lit(False))
+    shown = let(owning_span(quote, stemmed, text), lambda o: F.exists(candidates(o), lambda s: s["end"].isNotNull() & followed(s)))
+    return F.coalesce(shown, F.lit(False))
+
+
+def proves_departure(quote: Column, found: Column, text: Column) -> Column:
+    """Did the quote's role end, and another span start at or after its end?"""
+    return let(with_stems(found), lambda s: departure_shown(quote, s, text))
 
 
 _MOVE = r"(?U)\bfrom\b(.+?)\b(?:to|into|toward|towards)\b(.+)"
 
 
+def stated_move(claim: Column, stemmed: Column) -> Column:
+    """``direction`` on spans that carry their stems."""
+
+    def of(said):
+        first = lambda group: F.array_min(
+            F.transform(_meeting(F.regexp_extract(said, _MOVE, group), stemmed), lambda s: s["start"])
+        )
+        ends = let(
+            F.struct(first(1).alias("before"), first(2).alias("after")),
+            lambda d: F.when(d["before"].isNotNull() & d["after"].isNotNull(), d),
+        )
+        return F.when(F.contains(said, F.lit("from")), ends)
+
+    return let(F.concat(F.lit(" "), collapse(F.lower(F.coalesce(claim, F.lit("")))), F.lit(" ")), of)
+
+
 def direction(claim: Column, found: Column) -> Column:
     """STRUCT<before, after>: the earliest starts of what a claimed move names on each side; null
     where the claim states no move between two things in the record."""
-    said = F.concat(F.lit(" "), collapse(F.lower(F.coalesce(claim, F.lit("")))), F.lit(" "))
-    first = lambda group: F.array_min(
-        F.transform(matching(F.regexp_extract(said, _MOVE, group), found), lambda s: s["start"])
-    )
-    before, after = first(1), first(2)
-    return F.when(before.isNotNull() & after.isNotNull(), F.struct(before.alias("before"), after.alias("after")))
+    return let(with_stems(found), lambda s: stated_move(claim, s))
 
 
 def confirms_order(claim: Column, found: Column) -> Column:

@@ -1,7 +1,8 @@
 """Claims of recorded responses: read, gated in order, kept or dropped with the reason.
 
-Responses meet their profile by key once; the profile's haystack and spans are computed once per
-profile, before its claims are exploded, and ride along in the row, so the gates need no shuffle.
+Responses meet their profile by key once. After that nothing is joined, grouped or shuffled: a
+profile's claims stay an array in its row and are gated there, against a haystack and spans that are
+computed once per profile. Kept claims, dropped claims and arcs are read off that array.
 """
 
 from __future__ import annotations
@@ -13,16 +14,16 @@ from vouchwell.functions import responses as R
 from vouchwell.functions.confidence import arc_confidence, beat_confidence, drop_rate
 from vouchwell.functions.gate import gate
 from vouchwell.functions.identity import one_person
-from vouchwell.functions.text import canonical, haystack, is_verbatim, strip, strip_thinking, tidy_quote
-from vouchwell.functions.timeline import confirms_order, contradicts_order, proves_departure, spans
-from vouchwell.operators.drops import classify_drops
+from vouchwell.functions.text import canonical, haystack, is_verbatim, let, strip, strip_thinking, tidy_quote
+from vouchwell.functions.timeline import departure_shown, spans, stated_move, with_stems
+from vouchwell.operators.drops import drop_verdicts
 
 KINDS = ("departures", "pursuits")
 
 
 def read_responses(profiles: DataFrame, responses: DataFrame) -> DataFrame:
     """Profiles with their response's data, failure ("no_object", "unterminated", "malformed",
-    "no_throughline", "no_response" or null), haystack and spans."""
+    "no_throughline", "no_response" or null), throughline, haystack and spans."""
     joined = profiles.join(responses.select("profile_id", "content"), "profile_id", "left")
     parsed = joined.withColumn("_j", R.json_object(strip_thinking(F.col("content"))))
     throughline = strip(R.as_text(R.field(F.col("_j.data"), "throughline")))
@@ -32,13 +33,14 @@ def read_responses(profiles: DataFrame, responses: DataFrame) -> DataFrame:
         .withColumn("failure", F.coalesce(failure, F.when(F.col("throughline") == "", F.lit("no_throughline"))))
         .withColumn("data", F.col("_j.data"))
         .withColumn("hay", haystack(F.col("raw_text")))
-        .withColumn("spans", spans(F.col("raw_text")))
+        .withColumn("spans", with_stems(spans(F.col("raw_text"))))
         .drop("_j", "content")
     )
 
 
-def proposed_claims(read: DataFrame) -> DataFrame:
-    """One row per claim: kind, pos, description, evidence, reported (confidence as a double)."""
+def proposed(data: Column) -> Column:
+    """The claims of a response: kind, pos, description, evidence, needle (canonical evidence) and
+    reported (confidence as a double)."""
     beat = lambda kind: lambda x, i: F.struct(
         F.lit(kind).alias("kind"),
         i.alias("pos"),
@@ -46,53 +48,89 @@ def proposed_claims(read: DataFrame) -> DataFrame:
         R.as_text(R.field(x, "evidence")).alias("evidence"),
         R.number(R.field(x, "confidence")).alias("reported"),
     )
-    every = F.concat(*[F.transform(R.objects(F.col("data"), k), beat(k)) for k in KINDS])
-    usable = read.filter("failure is null")
-    return usable.select("profile_id", "raw_text", "hay", "spans", F.explode(every).alias("c")).select(
-        "profile_id", "raw_text", "hay", "spans", "c.*"
+    every = F.concat(*[F.transform(R.objects(data, k), beat(k)) for k in KINDS])
+    return F.transform(every, lambda c: c.withField("needle", canonical(c["evidence"])))
+
+
+def judged(claim: Column, hay: Column, stemmed: Column, raw_text: Column, whole_words: bool) -> Column:
+    """``claim`` with outcome ("kept", "unverified", "contradicts_dates" or "unsupported"), and the
+    gate's rule and missing numbers for one that stands in the text. A claim of departure that its
+    quote doesn't voice stands if the record's dates prove it; later rules aren't asked then."""
+    said, quote = claim["description"], claim["evidence"]
+    stands = (said != "") & is_verbatim(claim["needle"], hay)
+    asked = F.when(
+        stands, F.struct(gate(said, quote, whole_words=whole_words).alias("gate"), stated_move(said, stemmed).alias("move"))
     )
 
-
-def gated(claims: DataFrame, whole_words: bool = False) -> DataFrame:
-    """``claims`` with outcome: "kept", "unverified", "contradicts_dates" or "unsupported", and the
-    gate's rule. A claim of departure that its quote doesn't voice stands if the record's dates
-    prove it; the gate's later rules aren't asked then."""
-    claim, quote = F.col("description"), F.col("evidence")
-    verdict = gate(claim, quote, whole_words=whole_words)
-    rescued = (F.col("rule") == "departure") & (
-        proves_departure(quote, F.col("spans"), F.col("raw_text")) | confirms_order(claim, F.col("spans"))
-    )
-    outcome = (
-        F.when((claim == "") | ~is_verbatim(canonical(quote), F.col("hay")), F.lit("unverified"))
-        .when(contradicts_order(claim, F.col("spans")), F.lit("contradicts_dates"))
-        .when((F.col("rule") == "ok") | rescued, F.lit("kept"))
-        .otherwise(F.lit("unsupported"))
+    def outcome(a):
+        before, after = a["move"]["before"], a["move"]["after"]
+        rescued = lambda: (a["gate"]["rule"] == "departure") & (
+            F.coalesce(before < after, F.lit(False)) | departure_shown(quote, stemmed, raw_text)
+        )
+        verdict = (
+            F.when(a.isNull(), F.lit("unverified"))
+            .when(after < before, F.lit("contradicts_dates"))
+            .when(a["gate"]["ok"] | rescued(), F.lit("kept"))
+            .otherwise(F.lit("unsupported"))
+        )
+        return F.struct(
+            *[claim[c].alias(c) for c in ("kind", "pos", "description", "evidence", "reported", "needle")],
+            verdict.alias("outcome"),
+            a["gate"]["rule"].alias("rule"),
+            a["gate"]["missing"].alias("missing"),
+        )
+
+    return let(asked, outcome)
+
+
+def gated(read: DataFrame, whole_words: bool = False) -> DataFrame:
+    """``read`` with claims, the array of judged claims; null where the response wasn't usable."""
+    claims = F.when(F.col("failure").isNull(), proposed(F.col("data")))
+    return read.withColumn("_claims", claims).withColumn(
+        "claims", F.transform("_claims", lambda c: judged(c, F.col("hay"), F.col("spans"), F.col("raw_text"), whole_words))
+    ).drop("_claims")
+
+
+def _kept(claims: Column) -> Column:
+    beat = lambda c: F.struct(
+        c["kind"].alias("kind"),
+        c["pos"].alias("pos"),
+        c["description"].alias("description"),
+        tidy_quote(c["evidence"]).alias("evidence"),
+        beat_confidence(c["reported"], c["evidence"]).alias("confidence"),
     )
-    tested = claims.withColumn("_g", verdict).withColumn("rule", F.col("_g.rule")).withColumn("missing", F.col("_g.missing"))
-    return tested.withColumn("outcome", outcome).drop("_g")
+    return F.transform(F.filter(claims, lambda c: c["outcome"] == "kept"), beat)
+
+
+def _rows(df: DataFrame, array: str) -> DataFrame:
+    """A row per element. The outer form, since the plain one would have Spark compute the array a
+    second time in a filter of its own."""
+    return df.select("profile_id", F.explode_outer(array).alias("_c")).filter("_c is not null").select("profile_id", "_c.*")
 
 
 def kept_claims(tested: DataFrame) -> DataFrame:
-    return tested.filter("outcome = 'kept'").select(
-        "profile_id",
-        "kind",
-        "pos",
-        "description",
-        tidy_quote(F.col("evidence")).alias("evidence"),
-        beat_confidence(F.col("reported"), F.col("evidence")).alias("confidence"),
-    )
+    return _rows(tested.select("profile_id", _kept(F.col("claims")).alias("_k")), "_k")
 
 
 def dropped_claims(tested: DataFrame) -> DataFrame:
-    """Every claim that isn't kept, with overlap and reason; the likeness search runs on unverified
-    claims alone."""
-    columns = ["profile_id", "kind", "pos", "description", "evidence", "overlap", "reason", "rule", "missing"]
-    searched = classify_drops(tested.filter("outcome = 'unverified'")).withColumn("rule", F.lit(None).cast("string"))
-    known = tested.filter("outcome in ('contradicts_dates', 'unsupported')").select(
-        "*", F.lit(1.0).alias("overlap"), F.col("outcome").alias("reason")
+    """Every claim that isn't kept, with overlap and reason. The likeness search gets a profile's
+    unverified claims in one call, and only these."""
+    unverified = F.filter("claims", lambda c: c["outcome"] == "unverified")
+    rest = F.filter("claims", lambda c: c["outcome"].isin("contradicts_dates", "unsupported"))
+    row = lambda c, overlap, reason: F.struct(
+        *[c[x].alias(x) for x in ("kind", "pos", "description", "evidence")],
+        overlap.alias("overlap"),
+        reason.alias("reason"),
+        c["rule"].alias("rule"),
+        c["missing"].alias("missing"),
     )
-    none = F.lit(None).cast("array<string>")
-    return searched.withColumn("missing", none).select(*columns).unionByName(known.select(*columns))
+    parts = tested.filter("failure is null").select("profile_id", "hay", unverified.alias("_u"), rest.alias("_r"))
+    searched = parts.select("profile_id", "_u", "_r", drop_verdicts(F.transform("_u", lambda c: c["needle"]), F.col("hay")).alias("_v"))
+    every = F.concat(
+        F.zip_with("_u", "_v", lambda c, v: row(c, v["overlap"], v["reason"])),
+        F.transform("_r", lambda c: row(c, F.lit(1.0), c["outcome"])),
+    )
+    return _rows(searched.select("profile_id", every.alias("_d")), "_d")
 
 
 def verified_quotes(raw: Column, hay: Column, claim: Column) -> Column:
@@ -102,34 +140,37 @@ def verified_quotes(raw: Column, hay: Column, claim: Column) -> Column:
     return F.array_distinct(F.transform(good, tidy_quote))
 
 
-def arcs(read: DataFrame, kept: DataFrame, tested: DataFrame) -> DataFrame:
+def arcs(tested: DataFrame) -> DataFrame:
     """One row per profile with a usable response: headline texts with their verified quotes, kept
     beats by kind, counts, warnings and the derived confidence."""
-    beat = F.struct("pos", "description", "evidence", "confidence")
-    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, beat))).alias(kind)
-    per_kept = kept.groupBy("profile_id").agg(
-        *[of(k) for k in KINDS],
-        F.count("*").alias("kept"),
-        F.count_distinct(canonical(F.col("evidence"))).alias("distinct_quotes"),
-        F.avg("confidence").alias("mean_confidence"),
+    data = F.col("data")
+    tension = F.coalesce(strip(R.as_text(R.field(data, "unresolved_tension"))), F.lit(""))
+    base = tested.filter("failure is null").select(
+        "profile_id", "data", "hay", "throughline",
+        tension.alias("unresolved_tension"), one_person(F.col("raw_text")).alias("who"), F.size("claims").alias("proposed"), _kept(F.col("claims")).alias("beats"),
+    )
+    of = lambda kind: F.transform(
+        F.filter("beats", lambda b: b["kind"] == kind), lambda b: F.struct(*[b[c].alias(c) for c in ("pos", "description", "evidence", "confidence")])
+    )
+    total = F.aggregate("beats", F.lit(0.0), lambda a, b: a + b["confidence"])
+    counted = base.select(
+        "*",
+        F.size("beats").alias("kept"),
+        F.size(F.array_distinct(F.transform("beats", lambda b: canonical(b["evidence"])))).alias("distinct_quotes"),
+        total.alias("total"),
     )
-    per_claim = tested.groupBy("profile_id").agg(F.count("*").alias("proposed"))
-    base = read.filter("failure is null").join(per_claim, "profile_id", "left").join(per_kept, "profile_id", "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    tension = F.coalesce(strip(R.as_text(R.field(F.col("data"), "unresolved_tension"))), F.lit(""))
-    beats = lambda kind: F.coalesce(F.col(kind), F.array().cast(per_kept.schema[kind].dataType)).alias(kind)
-    who = one_person(F.col("raw_text"))
-    out = base.withColumn("unresolved_tension", tension).select(
+    none = F.array().cast("array<struct<ok: boolean, reason: string, evidence: array<string>>>")
+    out = counted.select(
         "profile_id",
         "throughline",
         "unresolved_tension",
-        verified_quotes(R.strings(F.col("data"), "throughline_evidence"), F.col("hay"), F.col("throughline")).alias("throughline_evidence"),
-        verified_quotes(R.strings(F.col("data"), "tension_evidence"), F.col("hay"), F.col("unresolved_tension")).alias("tension_evidence"),
-        *[beats(k) for k in KINDS],
-        n("proposed").alias("proposed"),
-        n("kept").alias("kept"),
-        drop_rate(n("proposed") - n("kept"), n("proposed")).alias("drop_rate"),
-        F.when(~who["ok"], F.array(who)).otherwise(F.array().cast("array<struct<ok: boolean, reason: string, evidence: array<string>>>")).alias("warnings"),
-        arc_confidence(n("kept"), n("proposed"), n("distinct_quotes"), F.coalesce("mean_confidence", F.lit(0.0))).alias("confidence"),
+        verified_quotes(R.strings(data, "throughline_evidence"), F.col("hay"), F.col("throughline")).alias("throughline_evidence"),
+        verified_quotes(R.strings(data, "tension_evidence"), F.col("hay"), F.col("unresolved_tension")).alias("tension_evidence"),
+        *[of(k).alias(k) for k in KINDS],
+        "proposed",
+        "kept",
+        drop_rate(F.col("proposed") - F.col("kept"), F.col("proposed")).alias("drop_rate"),
+        F.when(~F.col("who.ok"), F.array("who")).otherwise(none).alias("warnings"),
+        arc_confidence(F.col("kept"), F.col("proposed"), F.col("distinct_quotes"), F.coalesce(F.col("total") / F.nullif("kept", F.lit(0)), F.lit(0.0))).alias("confidence"),
     )
     return out.withColumn("throughline_anchored", F.size("throughline_evidence") > 0).withColumn("tension_anchored", F.size("tension_evidence") > 0)

@@ -1,21 +1,68 @@
 """Which quotes stand word for word in which documents.
 
-Keyed (the quote names its document) it is an equi-join and a substring test. Unkeyed, a quote that
-stands in a document shares its first characters with it, so quotes and documents meet on the hash
-of a gram: every true match has at least the least span length, which makes the prefilter lossless.
-Only the grams that begin some quote leave the documents, and a match is found at the first gram's
-place, so the join's rows are the candidates, not the pairs of all documents and quotes.
+Keyed (the quote names its document) it is an equi-join and a substring test. Unkeyed, a document
+that holds a quote holds all of its 12-byte grams, so quotes and documents meet on one gram of the
+quote, the one with the least hash: every true match has at least the least span length, which makes
+it lossless, and quotes that begin alike still have keys of their own. Each task looks a document's
+grams up in a bitmap of the quotes' keys; only documents with a hit go on, with the text in the row,
+to the join and the substring test.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vouchwell.functions.text import MIN_SPAN_CHARS, canonical, haystack, is_verbatim
 
-#: Quotes up to this count (a few hundred bytes each) are broadcast and tested directly.
-MAX_BROADCAST_QUOTES = 2_000
+#: The bitmap of quote keys has 2 to this number of bits, whatever the number of quotes.
+BITMAP_BITS = 22
+#: Bytes of text whose grams are hashed at a time.
+SLAB_BYTES = 1 << 20
+_MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9], np.uint64)
+
+
+def gram_hashes(raw: bytes) -> np.ndarray:
+    """A hash per gram of MIN_SPAN_CHARS bytes (three words of four)."""
+    if len(raw) < MIN_SPAN_CHARS:
+        return np.zeros(0, np.uint64)
+    x = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    word = (x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)).astype(np.uint64)
+    n = len(raw) - MIN_SPAN_CHARS + 1
+    h = (word[:n] + np.uint64(1)) * _MIX[0] ^ (word[4 : 4 + n] + np.uint64(1)) * _MIX[1] ^ (word[8 : 8 + n] + np.uint64(1)) * _MIX[2]
+    return (h ^ (h >> np.uint64(31))) * _MIX[1]
+
+
+def _key_batches(batches):
+    for batch in batches:
+        keys = [int(gram_hashes(t.as_py().encode()).min()) for t in batch.column("needle")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_q"), batch.column("needle"), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["_q", "needle", "gram"]
+        )
+
+
+def _hit_batches(bitmap: np.ndarray):
+    shift = np.uint64(64 - BITMAP_BITS)
+
+    def hits(raw: bytes) -> np.ndarray:
+        found = []
+        for at in range(0, len(raw), SLAB_BYTES):
+            h = gram_hashes(raw[at : at + SLAB_BYTES + MIN_SPAN_CHARS - 1])
+            found.append(h[bitmap[h >> shift]])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            found = [hits(t.as_py().encode()) for t in batch.column("hay")]
+            ends = pa.array(np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32))
+            flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+            grams = pa.ListArray.from_arrays(ends, pa.array(flat))
+            whole = pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("hay"), grams], names=["_d", "hay", "grams"])
+            yield whole.filter(pa.array(np.diff(np.asarray(ends)) > 0))
+
+    return run
 
 
 def verify_keyed(claims: DataFrame, profiles: DataFrame, key: str = "profile_id", evidence: str = "evidence", text: str = "raw_text") -> DataFrame:
@@ -27,24 +74,15 @@ def verify_keyed(claims: DataFrame, profiles: DataFrame, key: str = "profile_id"
 
 
 def find_quotes(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: str, doc_id: str, text: str) -> DataFrame:
-    """(quote_id, doc_id) of every verbatim occurrence, in any document."""
-    needles = quotes.select(F.col(quote_id).alias("_q"), canonical(F.col(quote)).alias("needle"))
-    needles = needles.filter(F.length("needle") >= MIN_SPAN_CHARS)
+    """(quote_id, doc_id) of every quote and document where the quote stands in the document, a row
+    per pair of rows: repeated rows and null ids count as rows of their own."""
+    kinds = {c: t.schema[c].dataType.simpleString() for t, c in ((quotes, quote_id), (docs, doc_id))}
+    needles = quotes.select(F.col(quote_id).alias("_q"), canonical(F.col(quote)).alias("needle")).filter(F.length("needle") >= MIN_SPAN_CHARS)
+    keyed = needles.mapInArrow(_key_batches, f"_q {kinds[quote_id]}, needle string, gram long")
+    places = keyed.select(F.shiftrightunsigned("gram", 64 - BITMAP_BITS).cast("int").alias("p")).distinct()
+    bitmap = np.zeros(1 << BITMAP_BITS, bool)
+    bitmap[places.toArrow().column("p").to_numpy()] = True  # 2**BITMAP_BITS rows at most
     hays = docs.select(F.col(doc_id).alias("_d"), haystack(F.col(text)).alias("hay"))
-    if needles.limit(MAX_BROADCAST_QUOTES + 1).count() <= MAX_BROADCAST_QUOTES:
-        found = hays.join(F.broadcast(needles), F.contains("hay", F.col("needle")))
-        return found.select(F.col("_q").alias(quote_id), F.col("_d").alias(doc_id))
-    return find_by_gram(needles, hays).select(F.col("_q").alias(quote_id), F.col("_d").alias(doc_id))
-
-
-def find_by_gram(needles: DataFrame, hays: DataFrame) -> DataFrame:
-    """The same for any number of quotes: equi-join on the hash of the first characters."""
-    n = MIN_SPAN_CHARS
-    keyed = needles.withColumn("gram", F.xxhash64(F.substring("needle", 1, n)))
-    starts = F.sequence(F.lit(1), F.length("hay") - n + 1)
-    grams = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.col("hay").substr(i, F.lit(n)))))
-    long_ = hays.filter(F.length("hay") >= n)
-    apart = long_.select("_d", F.explode(grams).alias("gram"))
-    asked = apart.join(keyed.select("gram", "_q"), "gram").select("_d", "_q")
-    with_needle = asked.join(needles, "_q")
-    return with_needle.join(long_, "_d").filter(F.contains("hay", F.col("needle"))).select("_q", "_d")
+    hit = hays.mapInArrow(_hit_batches(bitmap), f"_d {kinds[doc_id]}, hay string, grams array<long>")
+    met = hit.select("_d", "hay", F.explode("grams").alias("gram")).join(keyed, "gram")
+    return met.filter(F.contains("hay", F.col("needle"))).select(F.col("_q").alias(quote_id), F.col("_d").alias(doc_id))

@@ -16,7 +16,7 @@ from vouchwell.sources.decode import unescape_html
 # What furniture looks like.
 PROSE_WORDS = 8
 PHONE_DIGITS = 9
-PHONE = rf"^{SPACE}*\+?[0-9][0-9{SPACE_CLASS}().-]{{7,}}{SPACE}*$"
+PHONE = rf"^{SPACE}*\+?[0-9][0-9{SPACE_CLASS}().-]{{7,}}$"
 FURNITURE = (
     rf"(?iu)^{SPACE}*page{SPACE}+[0-9]+{SPACE}+of{SPACE}+[0-9]+{SPACE}*$",
     rf"^{SPACE}*[0-9]{{1,3}}{SPACE}*$",

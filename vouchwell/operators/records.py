@@ -16,11 +16,16 @@ def differences(before: DataFrame, now: DataFrame, key: str, value: str) -> Data
     return a.join(b, key, "full_outer").filter(~F.col("before").eqNullSafe(F.col("now")))
 
 
-def flatten_json(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """key, path (dotted) and value of a JSON object's fields, down to two levels of nesting."""
-    top = rows.select(F.col(key), F.explode(F.from_json(body, "map<string, string>")).alias("p1", "v1"))
-    deep = top.select(key, "p1", "v1", F.explode_outer(F.from_json("v1", "map<string, string>")).alias("p2", "v2"))
-    return deep.select(key, F.concat_ws(".", "p1", "p2").alias("path"), F.when(F.col("p2").isNull(), F.col("v1")).otherwise(F.col("v2")).alias("value"))
+def flatten_json(rows: DataFrame, key: str, body: str, levels: int = 8) -> DataFrame:
+    """key, path (dotted) and value of a JSON object's fields, down to ``levels`` levels of nesting."""
+    parts = lambda c: F.from_json(c, "map<string, string>")
+    flat = rows.select(F.col(key), F.explode(parts(F.col(body))).alias("path", "value"))
+    for _ in range(levels - 1):
+        inner = F.when(F.col("value").startswith("{"), parts(F.col("value")))
+        flat = flat.select(key, "path", "value", F.explode_outer(inner).alias("_p", "_v")).select(
+            key, F.concat_ws(".", "path", "_p").alias("path"), F.when(F.col("_p").isNull(), F.col("value")).otherwise(F.col("_v")).alias("value")
+        )
+    return flat
 
 
 def condition_rollup(graded: DataFrame) -> DataFrame:
@@ -70,13 +75,15 @@ def owner_before(points: DataFrame, spans: DataFrame, key: str, at: str, start:
 
 def later_start_exists(spans: DataFrame, key: str, start: str, end: str, span_id: str) -> DataFrame:
     """``spans`` with followed: does another span of the key start at or after this one's end? Two
-    latest starts per key answer it for all its spans."""
+    latest starts per key answer it for all its spans. Spans with a null key, id, start or end stay;
+    those without a key or an end are never followed."""
     top = spans.groupBy(key).agg(
         F.max(F.struct(F.col(start).alias("s"), F.col(span_id).alias("i"))).alias("a"),
     )
-    first = spans.join(top, key)
-    other = first.filter(F.col(span_id) != F.col("a.i")).groupBy(key).agg(F.max(start).alias("_second"))
-    best = F.when(F.col(span_id) != F.col("a.i"), F.col("a.s")).otherwise(F.col("_second"))
+    first = spans.join(top, key, "left")
+    differs = ~F.col(span_id).eqNullSafe(F.col("a.i"))
+    other = first.filter(differs).groupBy(key).agg(F.max(start).alias("_second"))
+    best = F.when(differs, F.col("a.s")).otherwise(F.col("_second"))
     joined = first.join(other, key, "left")
     return joined.withColumn("followed", F.coalesce(best >= F.col(end), F.lit(False))).select(*spans.columns, "followed")
 

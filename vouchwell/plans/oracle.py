@@ -10,6 +10,7 @@ from vouchwell.operators import profile_lines as pl
 from vouchwell.plans.queries import TURN_MODES
 
 SPACE = text.SPACE
+_ELLIPSES = r"^(\.\.\.|…)+|(\.\.\.|…)+$"
 _C = text.SPACE_CLASS
 
 
@@ -35,7 +36,7 @@ def _normal(x: str) -> str:
 
 
 def _canonical(x: str) -> str:
-    bare = f"regexp_replace({_normal(x)}, {_q(text.ELLIPSIS)}, '', 'g')"
+    bare = f"regexp_replace({_normal(x)}, {_q(_ELLIPSES)}, '', 'g')"
     return f"lower(trim({bare}, {_q(text.TRIMMED_MARKS)}))"
 
 

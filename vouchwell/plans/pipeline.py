@@ -26,11 +26,10 @@ def verify(profiles: DataFrame, responses: DataFrame, whole_words: bool = False)
     """Arcs with their kept claims, every dropped claim with its reason, and the profiles whose
     response couldn't be used."""
     read = claims.read_responses(profiles, responses)
-    tested = claims.gated(claims.proposed_claims(read), whole_words)
-    kept = claims.kept_claims(tested)
+    tested = claims.gated(read, whole_words)
     return Run(
-        arcs=claims.arcs(read, kept, tested),
-        kept=kept,
+        arcs=claims.arcs(tested),
+        kept=claims.kept_claims(tested),
         drops=claims.dropped_claims(tested),
         failures=read.filter("failure is not null").select("profile_id", "failure"),
     )

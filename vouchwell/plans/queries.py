@@ -20,43 +20,54 @@ from vouchwell.sources import intake
 TURN_MODES = (("alpha", ("thing", "edth")), ("beta", ("ation", "lich")), ("gamma", ("eaux", "ción")))
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns or "*")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, where the file's layout would leave most of them idle: a table of a
+    few splits is dealt out anew, a larger one is read as it lies."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents", "doc_id", "text", *more))
 
 
 def verify_containment(spark, sf_dir):
     """Benchmark passages that stand word for word in documents."""
-    return containment.find_quotes(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+    return containment.find_quotes(read(spark, sf_dir, "benchmark"), texts(spark, sf_dir), "item_id", "text", "doc_id", "text")
 
 
 def canonical_text(spark, sf_dir):
     """P1, P2, P15 of whole texts, as digests."""
-    d = read(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     t = F.col("text")
     return d.select("doc_id", F.md5(normalize(t)).alias("normal"), F.md5(canonical(t)).alias("canonical"), F.md5(tidy_quote(t)).alias("tidy"))
 
 
 def intake_floor(spark, sf_dir):
     """Trimmed lengths and refusals."""
-    d = read(spark, sf_dir, "documents").select("doc_id", strip(F.coalesce("text", F.lit(""))).alias("t"))
+    d = texts(spark, sf_dir).select("doc_id", strip(F.coalesce("text", F.lit(""))).alias("t"))
     return d.select("doc_id", F.length("t").cast("long").alias("n"), intake.refusal(F.col("t"), intake.MIN_PROFILE_CHARS).alias("reason"))
 
 
 def derived_titles(spark, sf_dir):
     """A title from the first line."""
-    d = read(spark, sf_dir, "documents").select("doc_id", strip("text").alias("t")).filter("t <> ''")
+    d = texts(spark, sf_dir).select("doc_id", strip("text").alias("t")).filter("t <> ''")
     return d.select("doc_id", intake.derive_title(F.col("t")).alias("title"))
 
 
 def line_classes(spark, sf_dir):
     """Lines kept, removed and skipped per document."""
-    c = profile_lines.classify_lines(read(spark, sf_dir, "documents"), "doc_id", "text", unescape=False)
+    c = profile_lines.classify_lines(texts(spark, sf_dir), "doc_id", "text", unescape=False)
     return c.groupBy("doc_id", "action").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
 def html_plain(spark, sf_dir):
     """Page text the plain way, as a digest, with its floor."""
-    p = read(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("t"))
+    p = spread(read(spark, sf_dir, "pages", "page_id", "html")).select("page_id", html_text(F.col("html")).alias("t"))
     return p.select("page_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"), (F.length("t") >= 80).alias("readable"))
 
 
@@ -93,20 +104,20 @@ def overlap_turns(spark, sf_dir):
 
 def source_emails(spark, sf_dir):
     """Distinct addresses by source."""
-    d = read(spark, sf_dir, "documents").select("source", F.explode(emails(F.coalesce("text", F.lit("")))).alias("email"))
+    d = texts(spark, sf_dir, "source").select("source", F.explode(emails(F.coalesce("text", F.lit("")))).alias("email"))
     return d.groupBy("source").agg(F.count_distinct("email").alias("emails"), F.count("*").alias("mentions"))
 
 
 def repeated_lines(spark, sf_dir):
     """A5: lines that stand twice or more in a document."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(lines(F.coalesce("text", F.lit("")))).alias("line"))
+    d = texts(spark, sf_dir).select("doc_id", F.explode(lines(F.coalesce("text", F.lit("")))).alias("line"))
     n = d.filter(strip("line") != "").groupBy("doc_id", "line").count().filter("count > 1")
     return n.groupBy("doc_id").agg(F.count("*").alias("repeated"), F.sum("count").alias("copies"))
 
 
 def number_sets(spark, sf_dir):
     """P5: the distinct numbers of each document."""
-    d = read(spark, sf_dir, "documents").select("doc_id", numbers(F.coalesce("text", F.lit(""))).alias("n")).filter(F.size("n") > 0)
+    d = texts(spark, sf_dir).select("doc_id", numbers(F.coalesce("text", F.lit(""))).alias("n")).filter(F.size("n") > 0)
     return d.select("doc_id", F.size("n").cast("long").alias("numbers"), F.array_join(F.array_sort("n"), " ").alias("sorted"))
 
 
@@ -197,7 +208,7 @@ def supplier_units(spark, sf_dir):
 def _made_responses(spark, sf_dir):
     """Profiles and recorded responses made from documents: a verbatim quote, an invented one and a
     quote too short."""
-    d = read(spark, sf_dir, "documents").filter(F.length("text") >= intake.MIN_PROFILE_CHARS)
+    d = texts(spark, sf_dir).filter(F.length("text") >= intake.MIN_PROFILE_CHARS)
     none = F.lit(None)
     p = d.select(
         F.col("doc_id").alias("profile_id"), F.col("text").alias("raw_text"), none.cast("string").alias("name"), none.cast("array<string>").alias("known_roles"), none.cast("string").alias("source_notes")
