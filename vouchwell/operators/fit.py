@@ -18,13 +18,17 @@ def pair_up(profiles: DataFrame, roles: DataFrame) -> DataFrame:
     return profiles.select("profile_id").crossJoin(roles.select("role_id"))
 
 
-def assess(arcs: DataFrame, roles: DataFrame, profiles: DataFrame, fit_responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+def assess(
+    arcs: DataFrame, roles: DataFrame, profiles: DataFrame, fit_responses: DataFrame, carry: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
     """(fits, failures) of responses (profile_id, role_id, content). A fit has continues_arc (null:
     no clear answer), reasoning, risk_flags, withheld (a verdict was there but didn't stand) and
-    skill_overlap."""
+    skill_overlap, and the columns of arcs and profiles that ``carry`` names."""
+    kept = [c for c in carry if c in arcs.columns]
+    more = [c for c in carry if c in profiles.columns]
     joined = (
-        fit_responses.join(arcs.select("profile_id", F.col("confidence").alias("arc_confidence")), "profile_id")
-        .join(profiles.select("profile_id", "raw_text"), "profile_id")
+        fit_responses.join(arcs.select("profile_id", F.col("confidence").alias("arc_confidence"), *kept), "profile_id")
+        .join(profiles.select("profile_id", "raw_text", *more), "profile_id")
         .join(roles.select("role_id", "raw_description"), "role_id")
         .withColumn("_j", R.json_object(strip_thinking(F.col("content"))))
     )
@@ -51,6 +55,7 @@ def assess(arcs: DataFrame, roles: DataFrame, profiles: DataFrame, fit_responses
             F.when(withheld, F.array_prepend("flags", notice)).otherwise(F.col("flags")).alias("risk_flags"),
             withheld.alias("withheld"),
             skill_overlap(F.col("raw_text"), F.col("raw_description")).alias("skill_overlap"),
+            *carry,
         )
     )
     return fits, read.filter("failure is not null").select("profile_id", "role_id", "failure")

@@ -178,8 +178,11 @@ FROM spans GROUP BY o_custkey""",
 WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), s AS (SELECT * FROM events WHERE event_type = 'signup')
 SELECT p.event_id, p.user_id, s.event_id AS owner_id FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.ts >= s.ts""",
     "evidence_rollup": """
-SELECT source, count(*) AS proposed, count(*) FILTER (quality = 1) AS kept, count(DISTINCT lang) FILTER (quality = 1) AS distinct_kept,
-       CAST(sum(n_chars) FILTER (quality = 1) AS BIGINT) AS chars_kept FROM documents JOIN labels USING (doc_id) GROUP BY source""",
+WITH s AS (SELECT source, count(*) AS proposed, count(*) FILTER (quality = 1) AS kept, count(DISTINCT lang) FILTER (quality = 1) AS langs
+  FROM documents JOIN labels USING (doc_id) GROUP BY source)
+SELECT source, proposed, kept,
+       CASE WHEN kept > 0 THEN round_even(kept / proposed::DOUBLE * least(1.0::DOUBLE, langs / 4.0::DOUBLE) * 0.875::DOUBLE, 2) ELSE 0.0::DOUBLE END AS confidence,
+       round_even((proposed - kept) / proposed::DOUBLE, 3) AS drop_rate FROM s""",
     "condition_rollup": """
 WITH r AS (SELECT lang AS condition, source, count(*) AS claims, count(*) FILTER (quality = 1) AS good FROM documents JOIN labels USING (doc_id) GROUP BY ALL)
 SELECT condition, CAST(sum(claims) AS BIGINT) AS claims, CAST(sum(good) AS BIGINT) AS verbatim, CAST(sum(claims - good) AS BIGINT) AS fabricated,
@@ -193,9 +196,6 @@ SELECT user_id, event_id, event_type FROM r WHERE n = 1 ORDER BY ts DESC, user_i
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.v AS before, b.v AS now
 FROM (SELECT doc_id, CAST(quality AS BIGINT) AS v FROM labels) a FULL JOIN (SELECT doc_id, CAST(n_chars > 500 AS BIGINT) AS v FROM documents) b USING (doc_id)
 WHERE a.v IS DISTINCT FROM b.v""",
-    "supplier_units": """
-SELECT kind, nation, count(*) AS n FROM (SELECT 'customer' AS kind, c_nationkey AS nation FROM customer
-  UNION ALL SELECT 'supplier', s_nationkey FROM supplier) GROUP BY ALL""",
     "dated_spans": f"""
 WITH {_SPANS} SELECT o_custkey, o_orderstatus, c_name AS label, start, "end", CAST(1 AS INT) AS line
 FROM spans JOIN customer ON o_custkey = c_custkey""",

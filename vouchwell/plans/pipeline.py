@@ -38,6 +38,7 @@ def verify(profiles: DataFrame, responses: DataFrame, whole_words: bool = False)
 def run(profiles: DataFrame, responses: DataFrame, roles: DataFrame, fit_responses: DataFrame, whole_words: bool = False) -> Run:
     """``verify``, and for each pair with a recorded fit response the verdict and the brief."""
     out = verify(profiles, responses, whole_words)
-    out.fits, out.fit_failures = fit.assess(out.arcs, roles, profiles, fit_responses)
-    out.briefs = brief.build_briefs(profiles, out.arcs, out.fits)
+    fits, out.fit_failures = fit.assess(out.arcs, roles, profiles, fit_responses, carry=brief.SAYS)
+    out.fits = fits.drop(*brief.SAYS)
+    out.briefs = brief.briefs_of(fits)  # from the same rows: arcs are computed once
     return out

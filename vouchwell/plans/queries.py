@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchwell.functions import timeline
+from vouchwell.functions import responses, timeline
+from vouchwell.functions.confidence import arc_confidence, drop_rate
 from vouchwell.functions.gate import gate, numbers
 from vouchwell.functions.guard import sendable_kind
 from vouchwell.functions.identity import emails
@@ -109,7 +110,7 @@ def source_emails(spark, sf_dir):
 
 
 def repeated_lines(spark, sf_dir):
-    """A5: lines that stand twice or more in a document."""
+    """Lines that stand twice or more in a document."""
     d = texts(spark, sf_dir).select("doc_id", F.explode(lines(F.coalesce("text", F.lit("")))).alias("line"))
     n = d.filter(strip("line") != "").groupBy("doc_id", "line").count().filter("count > 1")
     return n.groupBy("doc_id").agg(F.count("*").alias("repeated"), F.sum("count").alias("copies"))
@@ -129,9 +130,11 @@ def stem_counts(spark, sf_dir):
 
 
 def event_props(spark, sf_dir):
-    """P20: a field of the events' JSON, by type."""
-    e = read(spark, sf_dir, "events").select("event_type", F.from_json("props", "k long").alias("p"))
-    return e.groupBy("event_type").agg(F.count("p.k").alias("n"), F.sum("p.k").alias("total"), F.min("p.k").alias("least"), F.max("p.k").alias("most"))
+    """P20: a field of the first object in the events' JSON, by type."""
+    j = responses.json_object(F.concat(F.lit("props: "), F.col("props"), F.lit(" as sent")))
+    e = read(spark, sf_dir, "events", "event_type", "props").select("event_type", j.alias("j"))
+    e = e.select("event_type", responses.number(responses.field(F.col("j.data"), "k")).cast("long").alias("k"))
+    return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.min("k").alias("least"), F.max("k").alias("most"))
 
 
 def _order_spans(spark, sf_dir):
@@ -141,19 +144,19 @@ def _order_spans(spark, sf_dir):
 
 
 def span_followed(spark, sf_dir):
-    """Does another span of the customer start at or after this one's end?"""
+    """Does another span of the customer start at or after this one's end?"""
     return records.later_start_exists(_order_spans(spark, sf_dir), "o_custkey", "start", "end", "o_orderstatus")
 
 
 def span_summaries(spark, sf_dir):
-    """Each customer's spans in order, as text."""
+    """Each customer's spans in order, as text."""
     s = F.struct("start", "end", F.col("o_orderstatus").alias("label"))
     c = _order_spans(spark, sf_dir).groupBy("o_custkey").agg(F.array_sort(F.collect_list(s)).alias("spans"))
     return c.select("o_custkey", timeline.summary(F.col("spans")).alias("summary"))
 
 
 def event_owner(spark, sf_dir):
-    """The user's last signup at or before each purchase."""
+    """The user's last signup at or before each purchase."""
     e = read(spark, sf_dir, "events")
     points = e.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
     owners = e.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("owner_id"))
@@ -161,15 +164,14 @@ def event_owner(spark, sf_dir):
 
 
 def evidence_rollup(spark, sf_dir):
-    """A1-A3: kept, distinct and mean by source, as integers and sums."""
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    """A1, A2: share that held x coverage x mean confidence, and the drop rate, by source."""
+    d = read(spark, sf_dir, "documents", "doc_id", "source", "lang").join(read(spark, sf_dir, "labels"), "doc_id")
     kept = F.col("quality") == 1
-    return d.groupBy("source").agg(
-        F.count("*").alias("proposed"),
-        F.count_if(kept).alias("kept"),
-        F.count_distinct(F.when(kept, F.col("lang"))).alias("distinct_kept"),
-        F.sum(F.when(kept, F.col("n_chars"))).alias("chars_kept"),
+    per = d.groupBy("source").agg(
+        F.count("*").alias("proposed"), F.count_if(kept).alias("kept"), F.count_distinct(F.when(kept, F.col("lang"))).alias("distinct_kept")
     )
+    p, k = F.col("proposed"), F.col("kept")
+    return per.select("source", "proposed", "kept", arc_confidence(k, p, F.col("distinct_kept"), F.lit(0.875)).alias("confidence"), drop_rate(p - k, p).alias("drop_rate"))
 
 
 def condition_rollup(spark, sf_dir):
@@ -180,7 +182,7 @@ def condition_rollup(spark, sf_dir):
 
 
 def region_text(spark, sf_dir):
-    """The nations of a region as one ordered text."""
+    """Rows of a group as one ordered text: the nations of a region."""
     n = read(spark, sf_dir, "nation")
     return records.group_text(n, "n_regionkey", "n_nationkey", "n_name", ", ")
 
@@ -198,13 +200,6 @@ def label_differences(spark, sf_dir):
     return records.differences(a, b, "doc_id", "v")
 
 
-def supplier_units(spark, sf_dir):
-    """Two relations under one kind column, counted."""
-    c = read(spark, sf_dir, "customer").select(F.lit("customer").alias("kind"), F.col("c_nationkey").alias("nation"))
-    s = read(spark, sf_dir, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_nationkey").alias("nation"))
-    return c.unionByName(s).groupBy("kind", "nation").agg(F.count("*").alias("n"))
-
-
 def _made_responses(spark, sf_dir):
     """Profiles and recorded responses made from documents: a verbatim quote, an invented one and a
     quote too short."""
@@ -270,7 +265,6 @@ QUERIES = {
         region_text,
         latest_events,
         label_differences,
-        supplier_units,
         claim_verification,
         claim_drops,
         dated_spans,
