@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
-from vouchwell.llm import extraction, language, media, mixing, packing, quality, queries, quoting, simhash, spotsigs, substrings
+from vouchwell.llm import extraction, language, media, mixing, near_copies, packing, quality, queries, quoting, simhash, spotsigs, substrings
 
 CLASHES = ["size", "bytes", "row", "key", "part", "rank", "kept", "copies", "fp", "_rest", "_size", "_id", "label", "host", "n_bytes"]
 LONG = "the quick brown fox jumps over the lazy dog " * 9000
@@ -68,7 +68,7 @@ def test_empty_table(spark, name):
 def test_rows_per_document(spark):
     docs = odd_documents(spark)
     n = docs.count()
-    for name in ("substrings", "simhash", "language", "mixing", "quality", "spotsigs"):
+    for name in ("media", "substrings", "simhash", "language", "mixing", "quality", "spotsigs"):
         assert OPERATORS[name](docs).count() == n, name
 
 
@@ -95,3 +95,27 @@ def test_pipeline_on_odd_rows(spark):
         docs = stage(spark, docs, "")
         assert docs.columns == odd_documents(spark).columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    odd_documents(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_one, near_copies.keep_one])
+def test_null_ids_are_kept_once_at_most(spark, keep):
+    a, b, c = ("the quick brown fox jumps over the lazy dog today", "an altogether different text on boats and their harbours", "a third one of some other matter, say bread")
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (2, c), (2, c)]
+    got = sorted((r.doc_id or 0, r.text) for r in keep(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, a), (0, b), (2, c)])
+
+
+def test_repeated_rows_are_drawn_one_by_one(spark):
+    """Sources of equal rows come within one document of their target."""
+    rows = [(i % n, "four words of text " * 4, s) for s, n in (("a", 1), ("b", 3), ("c", 400), ("d", 1)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for seed in (1, 2, 3):
+        got = mixing.mix(docs, seed=seed).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("_copies") * 16).alias("taken"), F.first("_target").alias("target")).collect()
+        assert {r.source: r["n"] for r in got} == dict.fromkeys("abcd", 400)
+        for r in got:
+            assert abs(r.taken - r.target) <= 16, r

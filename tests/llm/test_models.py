@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vouchwell.llm import extraction, language, quality, queries, quoting
+from vouchwell.llm._shared import materialize
 
 DATA = "/root/testdata/sf0.01"
 
@@ -182,7 +183,7 @@ def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, texts = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialize(stage(spark, docs, DATA), name)
+        docs = materialize(stage(spark, docs, DATA), name)
         assert docs.columns == columns
         texts[name] = {r.doc_id: r.text for r in docs.collect()}
     a, b, c, d = texts.values()

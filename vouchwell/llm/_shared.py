@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, a local master gets a temporary folder; a cluster is refused,
-    because its executors could not read each other's files.
+    Where the session names none, a session whose executors are threads of the driver gets a folder
+    in its warehouse; a cluster is refused, because its executors could not read each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="vouchwell-")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/vouchwell-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -40,12 +41,41 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+    for tables in _watched:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Lists that note what is materialised while ``settled`` runs.
+_watched: list[list[str]] = []
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> tuple[DataFrame, str]:
+    """What ``make`` gives, written, and its folder. The tables materialised on the way there go as
+    soon as it is written, so that a long run's steps don't pile up."""
+    tables: list[str] = []
+    _watched.append(tables)
+    try:
+        out = materialize(make(), tag)
+    finally:
+        _watched.remove(tables)
+    for path in tables[:-1]:
+        discard(spark, path)
+    return out, tables[-1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    place, system = _place(spark, path)
+    system.delete(place, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,8 +7,8 @@ and its caption. The join's key is the digest's bytes, dealt out anew on both si
 adaptive execution may split the references to a hot payload.
 
 Edge cases: null or empty html gives an empty sequence; a reference without a digest, or to a
-payload that isn't there, keeps its place with null media; repeated rows give one sequence per
-distinct (id, html); an empty table gives no row; extra columns are ignored.
+payload that isn't there, keeps its place with null media; repeated rows give a sequence each; an
+empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -182,11 +182,10 @@ def resolve(sequences: DataFrame, payloads: DataFrame) -> DataFrame:
     keyed = apart.withColumn("_digest", F.unhex("item.digest"))
     joined = keyed.join(known, F.col("_digest") == F.col("_key"), "left")
     item = F.struct("item.*", "media")
-    return (
-        joined.groupBy("id", "_seq")
-        .agg(F.array_sort(F.collect_set(F.when(F.col("item").isNotNull(), item))).alias("items"))
-        .select("id", "items")
-    )
+    whole = joined.groupBy("id", "_seq").agg(F.array_sort(F.collect_set(F.when(F.col("item").isNotNull(), item))).alias("items"), F.count("*").alias("n"))
+    # equal rows are gathered as one: every item came once per row, an empty sequence as one null
+    rows = (F.col("n") / F.greatest(F.size("items"), F.lit(1))).cast("int")
+    return whole.withColumn("_row", F.explode(F.sequence(F.lit(1), rows))).select("id", "items")
 
 
 def padded(text: Column) -> Column:

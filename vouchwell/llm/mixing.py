@@ -1,14 +1,20 @@
 """Mixing sources to target weights: Pareto order sampling.
 
 Every document's expected number of copies is its source's target over its source's size. The whole
-part is allocated for certain; for the rest, documents are ranked by random odds divided by
-inclusion odds, and the lowest ranks are taken until the source's words are spent. The cut is found
-in two levels: words are summed per (source, rank bin) with map-side combining, so that a source
-with a third of all rows is never ordered in one task; only the bin with the cut is ordered.
+part is allocated for certain. The rest is a sample of a fixed number of words: each document has
+inclusion odds of its own, those of its source times the root of the mean size over its size, so that
+long texts, which would spend the words on few documents, come in less often; documents are ranked by
+random odds divided by inclusion odds, and the lowest ranks are taken until the words are spent. One
+document more is taken where it fills what is left up to the target better than nothing would.
+
+The cut is found in two levels: words are summed per (source, rank bin) with map-side combining, with
+as many bins as the root of the source's documents, and only the bin with the cut is ordered. So a
+source with a third of all rows is never ordered in one task, at any size.
 
 Edge cases: null and empty texts have size 0 and are never taken; a null source is a source of its
-own, ordered last; repeated rows are sampled each on their own, ties broken by a hash of the text;
-an empty table gives no row; extra columns are dropped.
+own, ordered last; repeated rows are drawn each on their own, by their turn among equal rows; equal
+or null ids are told apart by their texts; an empty table gives no row; extra columns are dropped by
+``mix`` and kept by ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -20,20 +26,22 @@ from vouchwell.llm._shared import WORD, materialize, packed, unpacked, whole_tex
 
 #: The weights that the sources take in turn.
 WEIGHTS = (5, 2, 1)
-#: Rank bins: equal steps of the uniform draw that orders a source's documents.
-BINS = 4096
 _HEX = 12
+#: Above this many rows of small tables (a row per source, or per repeated row) they are joined by a
+#: shuffle, not broadcast.
+MAX_BROADCAST_ROWS = 50_000
 
 
 def uniform(seed: int) -> Column:
-    """A draw from (0, 1) fixed by document id and seed."""
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
-    return (F.conv(F.substring(digest, 1, _HEX), 16, 10).cast("double") + 0.5) / float(16**_HEX)
+    """A draw from (0, 1) fixed by seed, document id, text and turn among equal rows."""
+    said = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(seed)), F.col("tie"), F.col("turn").cast("string")]
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", *said)), 1, _HEX), 16, 10).cast("double") + 0.5) / float(16**_HEX)
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> DataFrame:
-    """Per source: size and target. ``share`` of all words is dealt by weight; a target stops at
-    ``most`` times its source's size and the excess is dealt again by weight.
+    """Per source: size, number of documents with words, and target. ``share`` of all words is dealt
+    by weight; a target stops at ``most`` times its source's size and the excess is dealt again by
+    weight.
 
     The level ``t`` with sum(min(most * size, t * weight)) = share * total is found in closed form:
     in order of cap per weight, a source is full while its cap lies below the level that the
@@ -48,7 +56,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     level = (F.lit(share) * F.col("total") - F.col("filled")) / F.col("open_weight")
     return (
         sizes.groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
+        .agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("worded"))
         .withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int")))
         .withColumn("cap", F.lit(most) * F.col("source_size"))
         .withColumn("ratio", F.col("cap") / F.col("weight"))
@@ -59,37 +67,69 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
         .select(
             "source",
             "source_size",
+            "worded",
             F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("weight")), F.col("cap")).alias("target"),
         )
     )
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    words = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count(F.col("text"), F.lit(WORD)))
-    return packed(docs, "doc_id", "text", "source").select(
-        "*",
-        words.cast("long").alias("_size"),
-        uniform(seed).alias("_u"),
-        F.xxhash64(whole_text()).alias("_tie"),
-    )
+def _bounded(small: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has no more than MAX_BROADCAST_ROWS rows."""
+    return F.broadcast(small) if small.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else small
+
+
+def _with_source(df: DataFrame, per_source: DataFrame, how: str) -> DataFrame:
+    """Join on the source, null to null."""
+    small = _bounded(per_source.withColumnRenamed("source", "_source"))
+    return df.join(small, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
+
+
+def repeats(sizes: DataFrame) -> DataFrame:
+    """_at (the row) and again (its turn from 1 on) of the rows with the same id and text as another,
+    but the first of each group. Rows are numbered within their input task and tasks by their counts
+    before, so a group of any size is dealt with in parts."""
+    group = ["_id", "_tie"]
+    some = sizes.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).count().filter("count > 1").drop("count")
+    some = _bounded(materialize(some, "repeated"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))
+    rows = sizes.join(some, same).select("row", *group, F.shiftright("row", 33).alias("task"))  # ids of a task share their upper bits
+    before = Window.partitionBy(*group).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*group, "task").count().withColumn("held", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    counts = _bounded(materialize(counts.select(F.col("_id").alias("_i"), F.col("_tie").alias("_t"), F.col("task").alias("_k"), "held"), "held"))
+    within = F.row_number().over(Window.partitionBy(*group, "task").orderBy("row"))
+    met = rows.withColumn("n", within).join(counts, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t")) & (F.col("task") == F.col("_k")))
+    turned = met.select(F.col("row").alias("_at"), (F.col("held") + F.col("n") - 1).alias("again")).filter("again > 0")
+    return _bounded(materialize(turned, "turns"))
+
+
+def _rank() -> Column:
+    """Random odds over inclusion odds; ties are ordered by document, text and turn."""
+    odds = F.col("inclusion") / (1 - F.col("inclusion")) * F.sqrt(F.col("source_size") / F.col("worded") / F.col("size"))
+    return F.struct(((F.col("u") / (1 - F.col("u"))) / odds).alias("rank"), F.col("doc_id"), F.col("tie"), F.col("turn"))
+
 
+def _bin(rank: Column) -> Column:
+    """Which of the source's bins a rank falls in: each step of the formula keeps the ranks' order."""
+    middle = (1 - F.col("inclusion")) / F.col("inclusion")
+    return F.floor(F.col("bins") / (1 + middle / rank)).cast("long")
 
-def sampling_plan(sized: DataFrame, share: float, most: float, weights, bins: int) -> DataFrame:
+
+def sampling_plan(drawn: DataFrame, share: float, most: float, weights) -> DataFrame:
     """One row per source: target, certain copies, inclusion odds, and the last rank taken."""
-    targets = source_targets(sized, share, most, weights)
+    targets = source_targets(drawn, share, most, weights)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per_source = materialize(
         targets.withColumn("sure", F.floor(expected + 1e-12).cast("long"))
         .withColumn("inclusion", F.greatest(expected - F.col("sure"), F.lit(0.0)))
-        .withColumn("want", F.col("target") - F.col("sure") * F.col("source_size")),
+        .withColumn("want", F.col("target") - F.col("sure") * F.col("source_size"))
+        .withColumn("bins", F.ceil(F.sqrt(F.col("worded").cast("double")))),
         "targets",
     )
-    drawn = _with_source(sized, per_source.filter("inclusion > 0"), "inner").select(
-        "source", "want", "size", _rank().alias("key"), F.floor(F.col("u") * bins).cast("int").alias("bin")
-    )
+    ranked = _with_source(drawn.filter("size > 0"), per_source.filter("inclusion > 0"), "inner").withColumn("key", _rank())
+    ranked = ranked.select("source", "want", "size", "key", _bin(F.col("key.rank")).alias("bin"))
     run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     cut_bins = (
-        drawn.groupBy("source", "bin")
+        ranked.groupBy("source", "bin")
         .agg(F.sum("size").alias("in_bin"), F.max("want").alias("bin_want"))
         .withColumn("held", F.sum("in_bin").over(run) - F.col("in_bin"))
         .filter((F.col("held") < F.col("bin_want")) & (F.col("held") + F.col("in_bin") >= F.col("bin_want")))
@@ -98,7 +138,7 @@ def sampling_plan(sized: DataFrame, share: float, most: float, weights, bins: in
     cut_bins = materialize(cut_bins, "cuts")
     exact = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     last = (
-        _with_source(drawn, cut_bins, "inner")
+        _with_source(ranked, cut_bins, "inner")
         .filter(F.col("bin") == F.col("cut_bin"))
         .withColumn("upto", F.col("held") + F.sum("size").over(exact))
         .filter(F.col("upto") <= F.col("want"))
@@ -109,76 +149,54 @@ def sampling_plan(sized: DataFrame, share: float, most: float, weights, bins: in
     # one more document, the one that fills the gap up to the target best
     gap = F.col("want") - F.coalesce("spent", "held")
     top = (
-        _with_source(drawn, cut, "inner")
+        _with_source(ranked, cut, "inner")
         .filter("bin > cut_bin or (bin = cut_bin and (last_key is null or key > last_key))")
         .filter(F.abs(gap - F.col("size")) < gap)
         .groupBy("source")
         .agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("off"), "key")).alias("best"))
         .select("source", F.col("best.key").alias("top_key"))
     )
-    plan = _with_source(_with_source(per_source, cut, "left"), materialize(top, "top"), "left")
-    return materialize(plan, "plan")
-
-
-def _rank() -> Column:
-    """Random odds over inclusion odds, ties ordered by document and text."""
-    odds = F.col("inclusion") / (1 - F.col("inclusion"))
-    return F.struct(((F.col("u") / (1 - F.col("u"))) / odds).alias("rank"), F.col("doc_id"), F.col("tie"))
-
-
-#: Above this many sources the per-source tables are joined by a shuffle.
-MAX_BROADCAST_SOURCES = 50_000
+    return materialize(_with_source(_with_source(per_source, cut, "left"), materialize(top, "top"), "left"), "plan")
 
 
-def _with_source(df: DataFrame, per_source: DataFrame, how: str) -> DataFrame:
-    """Join on the source, null to null, broadcasting only a counted small side."""
-    small = per_source.withColumnRenamed("source", "_source")
-    if small.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-        small = F.broadcast(small)
-    return df.join(small, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
-
-
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, seed: int = 7, bins: int = BINS) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, seed: int = 7) -> DataFrame:
     """doc_id, text, source, the other columns in the struct _rest, and _size, _source_size,
     _target and _copies.
 
-    With odds U/(1-U) over f/(1-f) and f the same for a source's documents, the ranks of a source
-    follow U; across sources f differs, which makes the sample unequal. Ranks are taken while the
-    words stay within the target; then one document more, the one that fills the gap best. Texts stay where they are: the
-    decision needs only the broadcast row of the document's source.
+    The documents are written once with a number per row, which tells repeated rows apart for good;
+    after that a document's decision needs the broadcast row of its source alone.
     """
-    sized = _sized(docs, seed)
-    small = materialize(
-        sized.select("doc_id", "source", F.col("_size").alias("size"), F.col("_u").alias("u"), F.col("_tie").alias("tie")), "sizes"
-    )
-    plan = sampling_plan(small, share, most, weights, bins)
-    names = [c for c in plan.columns if c != "source"]
-    joined = sized.join(
-        F.broadcast(plan.select(F.col("source").alias("_s"), F.struct(*names).alias("_plan")))
-        if plan.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
-        else plan.select(F.col("source").alias("_s"), F.struct(*names).alias("_plan")),
-        F.col("source").eqNullSafe(F.col("_s")),
-        "left",
+    words = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count(F.col("text"), F.lit(WORD)))
+    rows = packed(docs, "doc_id", "text", "source").select(
+        "*", words.cast("long").alias("size"), F.md5(whole_text()).alias("tie"), F.monotonically_increasing_id().alias("row")
     )
-    p = F.col("_plan")
-    odds = p["inclusion"] / (1 - p["inclusion"])
-    key = F.struct(((F.col("_u") / (1 - F.col("_u"))) / odds).alias("rank"), F.col("doc_id"), F.col("_tie").alias("tie"))
-    bin_ = F.floor(F.col("_u") * bins).cast("int")
-    extra = (p["inclusion"] > 0) & (
-        p["cut_bin"].isNull()
-        | (bin_ < p["cut_bin"])
-        | ((bin_ == p["cut_bin"]) & p["last_key"].isNotNull() & (key <= p["last_key"]))
-        | (p["top_key"].isNotNull() & key.eqNullSafe(p["top_key"]))
+    rows = materialize(rows, "rows")
+    turns = repeats(rows.select("doc_id", "tie", "row"))
+
+    def drawn(of: DataFrame) -> DataFrame:
+        turned = of.join(turns, F.col("row") == F.col("_at"), "left").withColumn("turn", F.coalesce("again", F.lit(0)).cast("long"))
+        return turned.withColumn("u", uniform(seed)).drop("_at", "again")
+
+    narrow = materialize(drawn(rows.select("doc_id", "source", "size", "tie", "row")), "sizes")
+    plan = sampling_plan(narrow, share, most, weights)
+    joined = _with_source(drawn(rows), plan, "left")
+    key = _rank()
+    at = _bin(key["rank"])
+    extra = (F.col("size") > 0) & (F.col("inclusion") > 0) & (
+        F.col("cut_bin").isNull()
+        | (at < F.col("cut_bin"))
+        | ((at == F.col("cut_bin")) & F.col("last_key").isNotNull() & (key <= F.col("last_key")))
+        | (F.col("top_key").isNotNull() & key.eqNullSafe(F.col("top_key")))
     )
-    copies = F.when(F.col("_size") > 0, p["sure"] + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(F.lit(0))
+    copies = F.when(F.col("size") > 0, F.col("sure") + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(F.lit(0))
     return joined.select(
         "doc_id",
         "text",
         "source",
         "_rest",
-        "_size",
-        p["source_size"].alias("_source_size"),
-        p["target"].alias("_target"),
+        F.col("size").alias("_size"),
+        F.col("source_size").alias("_source_size"),
+        F.col("target").alias("_target"),
         copies.cast("long").alias("_copies"),
     )
 

@@ -90,14 +90,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source,
-         CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
-         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':7'), 1, 12) AS BIGINT) + CAST(0.5 AS DOUBLE))
-           / CAST(281474976710656 AS DOUBLE) AS u
+WITH counted AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS tie, row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1 AS turn,
+         CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size
   FROM documents),
+sized AS (
+  SELECT *, (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':7:' || tie || ':' || turn), 1, 12) AS BIGINT) + CAST(0.5 AS DOUBLE))
+           / CAST(281474976710656 AS DOUBLE) AS u
+  FROM counted),
 per_source AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) FILTER (size > 0) AS worded FROM sized GROUP BY source),
 weighted AS (
   SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight
   FROM per_source),
@@ -114,24 +116,24 @@ levelled AS (
               OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS level
   FROM levels),
 targets AS (
-  SELECT source, source_size, coalesce(least(cap, level * weight), cap) AS target FROM levelled),
+  SELECT source, source_size, worded, coalesce(least(cap, level * weight), cap) AS target FROM levelled),
 plans AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS expected FROM targets),
 split AS (
   SELECT *, CAST(floor(expected + 1e-12) AS BIGINT) AS sure FROM plans),
 drawn AS (
-  SELECT d.doc_id, d.size, d.u, p.source, p.source_size, p.target, p.sure,
+  SELECT d.doc_id, d.size, d.u, d.tie, d.turn, p.source, p.source_size, p.worded, p.target, p.sure,
          greatest(p.expected - p.sure, 0) AS inclusion, p.target - p.sure * p.source_size AS want
   FROM sized d JOIN split p ON d.source IS NOT DISTINCT FROM p.source),
 ranked AS (
-  SELECT *, CASE WHEN inclusion > 0 THEN (u / (1 - u)) / (inclusion / (1 - inclusion)) END AS rank FROM drawn),
+  SELECT *, CASE WHEN inclusion > 0 AND size > 0 THEN (u / (1 - u)) / (inclusion / (1 - inclusion) * sqrt(source_size / worded / size)) END AS rank FROM drawn),
 summed AS (
-  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM ranked),
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, tie, turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM ranked),
 gaps AS (
   SELECT *, want - coalesce(max(CASE WHEN upto <= want THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM summed),
 picked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY
-              CASE WHEN inclusion > 0 AND upto > want AND abs(gap - size) < gap THEN 0 ELSE 1 END, abs(gap - size), rank, doc_id) AS place
+              CASE WHEN inclusion > 0 AND upto > want AND abs(gap - size) < gap THEN 0 ELSE 1 END, abs(gap - size), rank, doc_id, tie, turn) AS place
   FROM gaps)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(CASE WHEN size = 0 THEN 0 ELSE size * (sure + CASE WHEN inclusion > 0

@@ -67,16 +67,16 @@ def _fingerprint_batches(shingle: int, seed: int):
         for batch in batches:
             found = [simhash(t.as_py(), shingle, seed) for t in batch.column("text")]
             fp = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), fp], names=["doc_id", "row", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a signed long."""
+    """doc_id, row (the text's hash) and fp, the fingerprint's 64 bits as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", whole_text().alias("text"))
-    return texts.mapInArrow(_fingerprint_batches(shingle, seed), f"doc_id {kind}, fp long")
+    texts = docs.select("doc_id", F.xxhash64(whole_text()).alias("row"), whole_text().alias("text"))
+    return texts.mapInArrow(_fingerprint_batches(shingle, seed), f"doc_id {kind}, row long, fp long")
 
 
 def hex_bits(fp: Column) -> Column:
@@ -209,29 +209,44 @@ def near_links(distinct: DataFrame, limit: int = 2) -> DataFrame:
 
 
 def components(docs: DataFrame, limit: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp and component_id: the smallest document id reachable over links."""
+    """doc_id, row, fp, component_id (the smallest document id reachable over links) and chosen (the
+    id and row of the component's one document to keep)."""
     prints = materialize(fingerprints(docs, shingle, seed), "simhash")
-    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    least = materialize(prints.groupBy("fp").agg(F.min(first_of()).alias("least")), "classes")
     roots = connected_components(near_links(least.select("fp"), limit))
     grouped = least.join(roots, least["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = materialize(grouped.join(names, "root").select(F.col("fp").alias("_fp"), "component_id"), "members")
-    return prints.join(by_fp, prints["fp"] == by_fp["_fp"]).drop("_fp")
+    names = grouped.groupBy("root").agg(F.min("least").alias("chosen"))
+    by_fp = materialize(grouped.join(names, "root").select(F.col("fp").alias("_fp"), "chosen"), "members")
+    return prints.join(by_fp, prints["fp"] == by_fp["_fp"]).select("doc_id", "row", "fp", F.col("chosen.doc_id").alias("component_id"), "chosen")
+
+
+def first_of() -> Column:
+    """What orders a component's documents: those with an id first, by id, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+
+
+#: Kept documents up to this count (16 bytes each) are broadcast to the scan of the texts.
+MAX_BROADCAST_KEPT = 1_000_000
 
 
 def keep_named(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents after which the components of ``found`` (doc_id, component_id) are named.
-    Documents without id, in components without any, are kept once per distinct text."""
-    slim = packed(docs, "doc_id", "text")
-    kept = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    chosen = slim.join(kept, slim["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    once = chosen.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
-    return once.select(*unpacked(docs, "doc_id", "text"))
+    """The document that each component of ``found`` (doc_id, row, chosen) keeps: the one with the
+    smallest id, or where none has an id, that with the least hash of its text. Rows that repeat it
+    go."""
+    one = (F.col("row") == F.col("chosen.row")) & F.col("doc_id").eqNullSafe(F.col("chosen.doc_id"))
+    kept = materialize(found.filter(one).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).count(), "kept")
+    bounded = lambda t: F.broadcast(t) if t.limit(MAX_BROADCAST_KEPT + 1).count() <= MAX_BROADCAST_KEPT else t
+    slim = packed(docs, "doc_id", "text").withColumn("_text", F.xxhash64(whole_text()))
+    same = lambda t: slim["doc_id"].eqNullSafe(t["_id"]) & (slim["_text"] == t["_row"])
+    once, more = (bounded(kept.filter(f"count {op} 1")) for op in ("=", ">"))
+    out = slim.join(once, same(once), "left_semi")
+    if more.limit(1).count():  # only rows that repeat are shuffled
+        out = out.unionByName(slim.join(more, same(more), "left_semi").dropDuplicates(["doc_id", "_text"]))
+    return out.select(*unpacked(docs, "doc_id", "text"))
 
 
 def keep_one(docs: DataFrame, limit: int = 2) -> DataFrame:
-    """The documents of which each component keeps one: the one with the smallest id. Documents
-    without id, in components without any, are kept once per distinct text."""
+    """The documents of which each component keeps one, as ``keep_named`` does."""
     return keep_named(docs, components(docs, limit))
