@@ -6,7 +6,7 @@ brute force on small fixtures in ``tests/llm``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vouchwell.llm import extraction, language, media, mixing, packing, quality, quoting, simhash, spotsigs, substrings
@@ -44,8 +44,48 @@ def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.page_id", "_row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def with_replies(talk: DataFrame) -> DataFrame:
+    """The conversations, and each once more (conv_id below zero) with every message from the third
+    on quoting the one two before it, since the tables' messages quote nothing."""
+    before = F.lag("text", 2).over(Window.partitionBy("conv_id").orderBy("turn"))
+    replied = F.concat(F.lit("> "), F.regexp_replace(before, "\n", "\n> "), F.lit("\n\n"), F.col("text"))
+    copies = talk.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "role", F.coalesce(replied, F.col("text")).alias("text"))
+    return talk.select("conv_id", "turn", "role", "text").unionByName(copies)
+
+
 def op9_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quoting.format_messages(table(spark, sf_dir, "conversations"))
+    return quoting.format_messages(with_replies(table(spark, sf_dir, "conversations")))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE own AS (
+  SELECT conv_id, turn, role, text, lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS quoted FROM conversations),
+paragraphs AS (
+  SELECT conv_id, turn, trim(regexp_replace(lower(unnest(string_split(regexp_replace(text, '\n[ \t]*\n', chr(0) , 'g'), chr(0)))), '[ \t\r\n]+', ' ', 'g')) AS said FROM own),
+units AS (
+  SELECT conv_id, turn, trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')) AS said FROM own
+  UNION SELECT conv_id, turn, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[ \t\r\n]+', ' ', 'g')) FROM own
+  UNION SELECT * FROM paragraphs
+  UNION SELECT conv_id, turn, unnest(string_split(regexp_replace(said, '([.!?…]) ', '\1' || chr(0), 'g'), chr(0))) FROM paragraphs),
+first AS (SELECT conv_id, said, min(turn) AS turn FROM units WHERE said <> '' GROUP BY ALL),
+parents AS (
+  SELECT own.conv_id, own.turn, first.turn AS parent FROM own
+  JOIN first ON first.conv_id = own.conv_id AND first.said = trim(regexp_replace(lower(quoted), '[ \t\r\n]+', ' ', 'g')) AND first.turn < own.turn),
+up AS (
+  SELECT conv_id, turn, parent AS root, 1 AS depth FROM parents
+  UNION ALL SELECT up.conv_id, up.turn, p.parent, depth + 1 FROM up JOIN parents p ON p.conv_id = up.conv_id AND p.turn = up.root),
+roots AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY ALL),
+every AS (
+  SELECT conv_id, turn, role, text, 0 AS n_quotes, 0 AS n_linked, CAST(NULL AS BIGINT) AS parent, turn AS root, 0 AS depth FROM own
+  UNION ALL
+  SELECT -1 - own.conv_id, own.turn, role, CASE WHEN quoted IS NULL THEN text ELSE trim(text, ' ' || chr(9) || chr(10)) END,
+         CASE WHEN quoted IS NULL THEN 0 ELSE len(string_split(quoted, chr(10))) END, CASE WHEN parent IS NULL THEN 0 ELSE 1 END,
+         parent, coalesce(root, own.turn), coalesce(depth, 0)
+  FROM own LEFT JOIN parents USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn))
+SELECT conv_id, turn, role, text, CAST(n_quotes AS BIGINT) AS n_quotes, CAST(n_linked AS BIGINT) AS n_linked, parent AS parent_turn, root AS root_turn,
+       CAST(depth AS BIGINT) AS depth, '<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS markup
+FROM every
+"""
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +108,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "language", "posterior", "text_language", "declared", F.col("host").alias("source"), "kept")
 
 
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourth operator over ``pages``, which have hosts, suffixes and declared markup languages;
+    its text models are fitted on documents, so no page's declaration is its own label."""
+    pages, docs = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
+    found = language.identify(language.page_evidence(pages), language.labelled_documents(docs))
+    return found.select("page_id", "language", "posterior", "text_language", "declared", "host", "suffix", "kept")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -152,8 +200,10 @@ QUERIES = {
     "op8_extraction": op8_extraction,
     "op9_quotation": op9_quotation,
     "op10_quality": op10_quality,
+    "page_languages": page_languages,
 }
 
 ORACLE_SQL = {
     "op7_mixing": OP7_SQL,
+    "op9_quotation": OP9_SQL,
 }

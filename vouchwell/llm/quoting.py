@@ -1,9 +1,11 @@
 """Chat formatting by quotation linking, in DataFrame functions only.
 
 Lines that start with ``>`` are quotations, nested by the number of marks. Runs of one level are
-passages; they are normalised (lower case, single spaces), hashed, and joined to the message of the
-same conversation that first said them: as its whole text, one of its paragraphs or one of its
-lines. The shallowest linked passage names a message's parent; parents give threads. The output has
+passages. A passage as a whole, its paragraphs (their lines folded, so wrapping doesn't matter), its
+lines and its sentences are normalised (lower case, single spaces), hashed, and joined to the message
+of the same conversation that first said them: as its whole text, a paragraph, a line or a sentence.
+Short lines and sentences count only where one message alone of the conversation says them. A part of
+a sentence links nothing. The shallowest linked passage names a message's parent; parents give threads. The output has
 the messages without quotations and without the line that announces one, with the keys that order
 them: ``root_turn`` (the thread's first message), then ``turn``; a reply comes after what it quotes.
 
@@ -25,8 +27,9 @@ from vouchwell.llm._shared import materialize
 QUOTE = r"^[ \t]*>"
 _PREFIX = r"^[ \t>]*>[ \t]?"  # no repeated group: Java's stack would grow with the marks
 _ANNOUNCES = r"(?i)^[ \t]*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)[ \t]*:[ \t]*$"
-#: Normalised lines shorter than this say too little to be a link by themselves.
+#: Normalised lines and sentences shorter than this are a link only where no other message says them.
 LEAST_LINE = 12
+_BLANKS = " \t\n"
 #: Pointer jumping doubles the depth it has seen each round.
 MAX_ROUNDS = 40
 
@@ -44,7 +47,7 @@ def own_text(text: Column) -> Column:
     lines = _lines(text)
     following = lambda i: F.coalesce(F.try_element_at(lines, i + 2), F.lit(""))
     kept = F.filter(lines, lambda x, i: ~x.rlike(QUOTE) & ~(x.rlike(_ANNOUNCES) & following(i).rlike(QUOTE)))
-    return F.when(text.rlike("(?m)" + QUOTE), F.regexp_replace(F.array_join(kept, "\n"), r"^[ \t\n]+|[ \t\n]+$", "")).otherwise(text)
+    return F.when(text.rlike("(?m)" + QUOTE), F.btrim(F.array_join(kept, "\n"), F.lit(_BLANKS))).otherwise(text)
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -66,12 +69,19 @@ def passages(messages: DataFrame) -> DataFrame:
     )
 
 
-def _keys(whole: Column, paragraphs: Column, lines: Column) -> Column:
-    """Hashes with a weight: the characters that a match explains; a whole text counts double."""
-    part = lambda x, times: F.struct(F.xxhash64(x).alias("hash"), (F.length(x) * times).alias("weight"))
-    long_ = F.filter(lines, lambda x: F.length(x) >= LEAST_LINE)
+def _keys(text: Column) -> Column:
+    """Hashes with a weight: the characters that a match explains; a whole text or paragraph counts
+    double. ``short`` ones must be said by one message alone."""
+    part = lambda x, times, short: F.struct(
+        F.xxhash64(x).alias("hash"), (F.length(x) * times).alias("weight"), short.alias("short")
+    )
+    paragraphs = F.transform(F.split(text, r"\r?\n[ \t]*\r?\n"), normalised)
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, "(?<=[.!?…]) ")))
+    small = F.concat(F.transform(_lines(text), normalised), sentences)
     every = F.concat(
-        F.array(part(whole, 2)), F.transform(F.filter(paragraphs, lambda x: F.length(x) > 0), lambda x: part(x, 2)), F.transform(long_, lambda x: part(x, 1))
+        F.array(part(normalised(text), 2, F.lit(False))),
+        F.transform(paragraphs, lambda x: part(x, 2, F.lit(False))),
+        F.transform(small, lambda x: part(x, 1, F.length(x) < LEAST_LINE)),
     )
     return F.array_distinct(F.filter(every, lambda x: x["weight"] > 0))
 
@@ -79,30 +89,13 @@ def _keys(whole: Column, paragraphs: Column, lines: Column) -> Column:
 def links(messages: DataFrame) -> DataFrame:
     """Linked passages: conv_id, turn, passage, level, quoted_turn, weight."""
     quoted = materialize(passages(messages), "quotes")
-    joined = F.array_join("lines", "\n")
-    asked = quoted.select(
-        "conv_id",
-        "turn",
-        "said",
-        "passage",
-        "level",
-        F.explode(_keys(normalised(joined), F.array().cast("array<string>"), F.transform("lines", normalised))).alias("k"),
-    ).select("conv_id", "turn", "said", "passage", "level", "k.hash", "k.weight")
+    asked = quoted.select("conv_id", "turn", "said", "passage", "level", F.explode(_keys(F.array_join("lines", "\n"))).alias("k"))
+    asked = asked.select("conv_id", "turn", "said", "passage", "level", "k.hash", "k.weight", "k.short")
     where = quoted.select("conv_id").distinct()
     own = messages.filter("text is not null").join(where, "conv_id", "left_semi").select("conv_id", "turn", own_text(F.col("text")).alias("text"))
-    units = own.select(
-        "conv_id",
-        "turn",
-        F.explode(
-            _keys(
-                normalised(F.col("text")),
-                F.transform(F.split("text", r"\n[ \t]*\n"), normalised),
-                F.transform(_lines(F.col("text")), normalised),
-            )
-        ).alias("k"),
-    )
-    first = units.groupBy("conv_id", F.col("k.hash").alias("hash")).agg(F.min("turn").alias("quoted_turn"))
-    found = asked.join(first, ["conv_id", "hash"]).filter("quoted_turn < turn")
+    units = own.select("conv_id", "turn", F.explode(_keys(F.col("text"))).alias("k"))
+    first = units.groupBy("conv_id", F.col("k.hash").alias("hash")).agg(F.min("turn").alias("quoted_turn"), F.max("turn").alias("last_turn"))
+    found = asked.join(first, ["conv_id", "hash"]).filter("quoted_turn < turn and (not short or quoted_turn = last_turn)")
     weighed = found.groupBy("conv_id", "turn", "said", "passage", "level", "quoted_turn").agg(F.sum("weight").alias("weight"))
     best = weighed.groupBy("conv_id", "turn", "said", "passage", "level").agg(F.max(F.struct("weight", "quoted_turn")).alias("b"))
     return best.select("conv_id", "turn", "passage", "level", "b.quoted_turn", "b.weight")
