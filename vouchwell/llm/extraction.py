@@ -1,80 +1,105 @@
 """HTML extraction by tag-path ratios.
 
 Every text run has a path of tags (with classes) from the root. Per path, text length and
-punctuation are summed and divided by the number of runs on the path; the two ratios are fused,
-smoothed over the runs in page order, and paths above a share of the scores' spread are content.
-The smallest element that holds all content runs is the article, or the ``article`` element around
-it; all its blocks are taken but those in elements that say that they are something else
-(navigation, adverts, comments, forms). Within the article, words of a class or id say so only of an
-element with most of its text off the content paths or in links, and never of headings and headers.
-Where only the page's body holds all content, the bulk's element, other content runs and the title
-are taken.
+punctuation are summed and divided by the number of runs on the path; the two ratios are fused with
+the share of text outside links and smoothed over the runs in page order. Where an element of the
+path names itself something else than an article (its class or id is made of such words alone), the
+score is multiplied by a small prior, so it has to be far above all others to count. Paths from a
+share of the best path's score on are content.
+
+The article is the page's one ``article`` (or ``main``) element with content, else the smallest
+element that holds all content. Of its blocks go those in elements that the standard sets apart
+(navigation, forms, footers and so on) and those in elements that name themselves something else and
+have most of their text off the content paths; asides within an article are judged by their paths
+alone. How much of the page's text an element holds decides nothing. Where only the page's body holds
+all content, the bulk's element, other content runs and the title are taken.
 
 Edge cases: null or empty html, and pages without text, give the empty string; unclosed tags end
-where the standard lets them; repeated rows are extracted each; an empty table gives no row; extra
-columns are kept by ``extract_pages``.
+where the standard lets them; a page of nothing but such elements gives their text; repeated rows are
+extracted each; an empty table gives no row; extra columns are kept by ``extract_pages``.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouchwell.llm.markup import INLINE, RAW, VOID, attributes, closed_by, tokens
+from vouchwell.llm.markup import INLINE, MAX_DEPTH, RAW, VOID, attributes, closed_by, tokens
 
-#: A path is content from this share of the standard deviation of the runs' smoothed scores on.
-THRESHOLD = 0.5
+#: A path is content from this share of the best path's score on.
+THRESHOLD = 0.2
+#: What a path's score is multiplied by where an element on it names itself furniture.
+NAMED_PRIOR = 0.02
 #: The bulk's element is the deepest with at least this share of the content.
 ARTICLE_SHARE = 0.7
-#: An element that names itself furniture is believed below this share of the page's text.
-FURNITURE_SHARE = 0.5
 
 # Elements, roles and class words that mark what is not the article.
-_TAGS = frozenset("nav footer aside form button select dialog menu fieldset".split())
+_TAGS = frozenset("nav footer form button select dialog menu fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _WORDS = frozenset(
     "nav navbar navigation menu menus header masthead footer sidebar aside rail ad ads adbox advert adverts advertisement "
     "advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices "
     "alert newsletter subscribe subscription signup login share sharing social related recommended recommendations comment "
-    "comments commentlist reply replies respond disqus discussion breadcrumb breadcrumbs pagination pager toolbar widget "
-    "widgets popup modal overlay copyright skip hidden outbrain taboola".split()
+    "comments commentlist reply replies respond disqus breadcrumb breadcrumbs pagination pager toolbar widget widgets popup "
+    "modal overlay copyright skip hidden outbrain taboola".split()
+)
+# Words that say where or what kind of box, and nothing of what is in it.
+_NEUTRAL = frozenset(
+    "area bar block body bottom box button buttons col column container content div entry form global group head holder inner "
+    "item items js left li line link links list main module outer page panel post posts primary region right row secondary "
+    "section sections site slot story strip tab thread threads top ul unit user users reader readers view wrap wrapper".split()
 )
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption ul ol dl".split())
 _HEADINGS = frozenset("header hgroup h1 h2 h3 h4 h5 h6".split())
 _WHOLE = frozenset("# html body".split())
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_MAIN = frozenset("article main".split())
+_SPLIT = re.compile(r"[^a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?¡¿،。，、；：！？…]")
 
 
-def _is_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if tag in _TAGS or (tag == "header" and not in_article):
+def _set_apart(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Is it no part of an article, by the standard's elements, roles and states?"""
+    if tag in _TAGS or (tag in ("header", "aside") and not in_article):
         return True
     if attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
-    if "none" in attrs.get("style", "") and re.search(r"display\s*:\s*none", attrs["style"]):
-        return True
-    return False
+    return bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
+
+
+@lru_cache(maxsize=10_000)
+def _says_furniture(name: str) -> bool:
+    words = set(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())) - {""}
+    return not words.isdisjoint(_WORDS) and words <= _WORDS | _NEUTRAL
 
 
 def _is_named(attrs: dict[str, str]) -> bool:
-    named = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attrs.get('class', '')} {attrs.get('id', '')}")
-    return not _WORDS.isdisjoint(_SPLIT.split(named.lower()))
+    """Is one of its class names or its id made of furniture words (and neutral ones) alone?"""
+    return any(map(_says_furniture, [*attrs.get("class", "").split(), attrs.get("id", "")]))
 
 
 class _Page:
-    """Elements in opening order and text runs with their element and block."""
+    """Elements in opening order, the paths they stand on, and text runs with element and block."""
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.path, self.furniture = [-1], ["#"], ["#"], [False]
-        self.named, self.within = [False], [False]  # by a class or id word; in an article or main element
+        self.parent, self.tag, self.path, self.apart, self.named = [-1], ["#"], [0], [False], [False]
+        self.within = [False]  # in an article or main element
+        self.prior = [1.0]  # of each path
         self.runs: list[tuple[int, int, str, bool]] = []  # element, block, text, in a link
-        stack, names, block = [0], ["#"], 0
-        article = 0
+        paths: dict[tuple, int] = {}
+        stack, names, block, article = [0], ["#"], 0, 0
+        too_deep: Counter[str] = Counter()
+
+        def leave(depth: int):
+            nonlocal article
+            article -= sum(n in _MAIN for n in names[depth:])
+            del stack[depth:], names[depth:]
+
         for kind, value, raw in tokens(page):
             if kind == "text":
                 if not value.isspace() or self.runs:
@@ -84,29 +109,35 @@ class _Page:
                 self.runs.append((stack[-1], block, " ", False))
             block += value not in INLINE
             if kind == "close":
-                if value in names:
-                    depth = len(names) - 1 - names[::-1].index(value)
-                    article -= sum(n in ("article", "main") for n in names[depth:])
-                    del stack[depth:], names[depth:]
+                if too_deep[value]:
+                    too_deep[value] -= 1
+                elif value in names:
+                    leave(len(names) - 1 - names[::-1].index(value))
+                    too_deep.clear()
                 continue
             if value in VOID:
                 continue
-            depth = closed_by(value, names)
-            article -= sum(n in ("article", "main") for n in names[depth:])
-            del stack[depth:], names[depth:]
+            leave(closed_by(value, names))
+            if len(names) >= MAX_DEPTH:
+                too_deep[value] += value not in RAW
+                continue
             attrs = attributes(raw) if raw.strip() else {}
-            up = stack[-1]
+            up, named = stack[-1], _is_named(attrs) and value not in _WHOLE
             self.parent.append(up)
             self.tag.append(value)
-            self.path.append(f"{self.path[up]}/{value}" + (f".{attrs['class'].strip()}" if attrs.get("class") else ""))
-            self.furniture.append(_is_furniture(value, attrs, article > 0))
-            self.named.append(_is_named(attrs))
+            key = (self.path[up], value, attrs.get("class", ""), named)
+            if key not in paths:
+                paths[key] = len(self.prior)
+                self.prior.append(NAMED_PRIOR if named else self.prior[self.path[up]])
+            self.path.append(paths[key])
+            self.apart.append(_set_apart(value, attrs, article > 0))
+            self.named.append(named)
             self.within.append(article > 0)
             if value in RAW:
                 continue
             stack.append(len(self.parent) - 1)
             names.append(value)
-            article += value in ("article", "main")
+            article += value in _MAIN
 
 
 def _gathered(parent: list[int], own: np.ndarray) -> np.ndarray:
@@ -116,7 +147,7 @@ def _gathered(parent: list[int], own: np.ndarray) -> np.ndarray:
     return total
 
 
-def _content(page: _Page, live: list) -> set[str]:
+def _content(page: _Page, live: list) -> set[int]:
     """The paths above the threshold."""
     sums = defaultdict(lambda: [0, 0, 0, 0])
     for e, _, text, link, size in live:
@@ -127,13 +158,13 @@ def _content(page: _Page, live: list) -> set[str]:
         s[3] += size * link
     fused = {p: (length / k) ** 0.5 * (1 + marks / k) * (1 - linked / length) for p, (k, length, marks, linked) in sums.items()}
     scores = np.array([fused[page.path[e]] for e, *_ in live])
-    kernel = np.array([0.25, 0.5, 0.25])
-    smooth = np.convolve(np.pad(scores, 1, mode="edge"), kernel, mode="valid")
+    smooth = np.convolve(np.pad(scores, 1, mode="edge"), [0.25, 0.5, 0.25], mode="valid")
     by_path = defaultdict(list)
     for (e, *_), s in zip(live, smooth):
         by_path[page.path[e]].append(s)
-    limit = min(THRESHOLD * smooth.std(), max(map(np.mean, by_path.values())))
-    return {p for p, s in by_path.items() if np.mean(s) >= limit}
+    mean = {p: float(np.mean(s)) * page.prior[p] for p, s in by_path.items()}
+    limit = THRESHOLD * max(mean.values())
+    return {p for p, s in mean.items() if s >= limit}
 
 
 def _deepest(page: _Page, weight: np.ndarray, share: float) -> int:
@@ -144,10 +175,11 @@ def _deepest(page: _Page, weight: np.ndarray, share: float) -> int:
     return found
 
 
-def _below(page: _Page, top: int) -> list[bool]:
-    inside = [i == top for i in range(len(page.parent))]
-    for i in range(top + 1, len(inside)):
-        inside[i] = inside[page.parent[i]]
+def _below(page: _Page, marked: list[bool]) -> list[bool]:
+    """Which elements are marked or stand in one that is."""
+    inside = list(marked)
+    for i in range(1, len(inside)):
+        inside[i] = inside[i] or inside[page.parent[i]]
     return inside
 
 
@@ -158,70 +190,67 @@ def _up(page: _Page, i: int) -> list[int]:
     return found
 
 
-def _article(page: _Page, live: list, content: set[str]) -> tuple[int, np.ndarray]:
-    """The smallest element with all content, or the article element around it, and the content's
-    size below each element."""
-    chosen = np.zeros(len(page.parent), np.int64)
-    for e, _, _, _, size in live:
-        if page.path[e] in content:
-            chosen[e] += size
-    weight = _gathered(page.parent, chosen)
-    found = _deepest(page, weight, 1)
+def _article(page: _Page, live: list, weight: np.ndarray, apart: list[bool]) -> int:
+    """The one article or main element with content, else the smallest element with all content."""
+    named = _below(page, page.named)
     for kind in ("article", "main"):
-        around = [i for i in _up(page, found) if page.tag[i] == kind]
-        if around:
-            return around[-1], weight
-    titles = {i for e, *_ in live for i in _up(page, e) if page.tag[i] == "h1"}
+        found = [i for i, t in enumerate(page.tag) if t == kind and weight[i] and not named[i] and not apart[i]]
+        outer = [i for i in found if not any(page.tag[k] == kind for k in _up(page, i)[1:])]
+        if len(outer) == 1:
+            return outer[0]
+    found = _deepest(page, weight, 1)
     line = _up(page, found)
+    around = [i for i in line if page.tag[i] in _MAIN]
+    if around:
+        return around[-1]
+    titles = {i for e, *_ in live for i in _up(page, e) if page.tag[i] == "h1"}
     wide = max((line.index(next(i for i in _up(page, t) if i in line)) for t in titles), default=0)
-    return (found if page.tag[line[wide]] in _WHOLE else line[wide]), weight
+    return found if page.tag[line[wide]] in _WHOLE else line[wide]
 
 
 def extract(html: str) -> str:
     page = _Page(html)
     words = [(e, b, t, a, len("".join(t.split()))) for e, b, t, a in page.runs]
     n = len(page.parent)
-    own = np.zeros(n, np.int64)
-    for e, _, _, _, size in words:
-        own[e] += size
-    held = _gathered(page.parent, own)
-
-    def left_out(marked: list[bool]) -> list[bool]:
-        out = [False] * n
-        for i in range(1, n):
-            out[i] = out[page.parent[i]] or (marked[i] and held[i] < FURNITURE_SHARE * held[0])
-        return out
-
-    def runs(out: list[bool]) -> list:
-        return [w for w in words if not out[w[0]] and w[4]]
-
-    marked = [f or (m and not w) for f, m, w in zip(page.furniture, page.named, page.within)]
-    strict = [f or m for f, m in zip(page.furniture, page.named)]
-    live = runs(left_out(strict)) or runs(left_out(marked))
+    # a form around the whole page isn't set apart, nor is anything else around an article
+    holds = np.zeros(n, np.int64)
+    for i in range(n):
+        holds[i] = page.tag[i] in _MAIN and not page.named[i]
+    holds = _gathered(page.parent, holds)
+    apart = _below(page, [a and not h for a, h in zip(page.apart, holds)])
+    live = [w for w in words if w[4] and not apart[w[0]]]
     if not live:
-        return ""
-    article, _ = _article(page, live, _content(page, live))
-    inside = _below(page, article) if page.tag[article] not in _WHOLE else page.within
-    marked = [f or (m and not i) for f, m, i in zip(page.furniture, page.named, inside)]
-    live = runs(left_out(marked))
+        live, apart = [w for w in words if w[4]], [False] * n
     if not live:
         return ""
     content = _content(page, live)
-    off = np.zeros(n, np.int64)
+    own, off, chosen = (np.zeros(n, np.int64) for _ in range(3))
     for e, _, _, link, size in live:
+        own[e] += size
         off[e] += size * (link or page.path[e] not in content)
-    off = _gathered(page.parent, off)
-    for i in range(1, n):
-        if page.named[i] and inside[i] and page.tag[i] not in _HEADINGS and 2 * off[i] > held[i]:
-            marked[i] = True
-    out = left_out(marked)
-    live = runs(out) or live
-    article, weight = _article(page, live, content)
-    inside = _below(page, article)
+        chosen[e] += size * (page.path[e] in content)
+    own, off, weight = (_gathered(page.parent, x) for x in (own, off, chosen))
+    article = _article(page, live, weight, apart)
+    title = np.array([t == "h1" for t in page.tag], np.int64)
+    title = _gathered(page.parent, title)
+    inside = _below(page, [i == article for i in range(n)])
+
+    def goes(i: int) -> bool:
+        if holds[i] or page.tag[i] in _WHOLE or i == article:
+            return False
+        if inside[i] and (page.tag[i] in _HEADINGS or title[i]):
+            return False
+        judged = page.named[i] or (page.tag[i] == "aside" and page.within[i])
+        return judged and 2 * off[i] > own[i]
+
+    out = _below(page, [a or goes(i) for i, a in enumerate(apart)])
     if page.tag[article] in _WHOLE:
-        inside = _below(page, _deepest(page, weight, ARTICLE_SHARE))
+        bulk = _deepest(page, weight, ARTICLE_SHARE)
+        inside = _below(page, [i == bulk for i in range(n)])
         for e, *_ in live:
             inside[e] = inside[e] or page.path[e] in content or any(page.tag[i] == "h1" for i in _up(page, e))
+    if not any(inside[e] and not out[e] for e, *_ in live):
+        out = apart
     blocks: dict[int, list[str]] = {}
     for e, b, text, _, _ in words:
         if inside[e] and not out[e]:

@@ -1,4 +1,8 @@
-"""A forgiving reader of HTML: tags, text runs, and nothing of scripts, styles and comments."""
+"""A forgiving reader of HTML: tags, text runs, and nothing of scripts, styles and comments.
+
+Its time grows with the page's length: quotation marks that never close, tags that never end and
+nesting without end cost no more than other text.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,11 @@ import html
 import re
 from collections.abc import Iterator
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_UNQUOTED = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Elements deeper than this aren't told apart from the one at this depth.
+MAX_DEPTH = 512
 
 # Elements of the HTML standard.
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas xmp noembed noframes".split())
@@ -30,46 +32,89 @@ _SIBLINGS = {
     "tr": frozenset({"tr", "td", "th"}),
     "option": frozenset({"option"}),
 }
+# the end tag of a raw element, where ASCII case alone makes no difference
+_RAW_ENDS = {name: re.compile(rf"(?ai)</{name}(?=[\s/>])") for name in RAW}
 
 
 def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
+class _Tags:
+    """Where tags end. A ``>`` within quotation marks doesn't end one, unless they never close; once
+    a tag would reach the page's end this way, quotation marks count no longer."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``, or -1."""
+        page, i = self.page, at
+        while self.quotes:
+            i = _UNQUOTED.match(page, i).end()
+            if i == len(page):
+                self.quotes = False
+            elif page[i] == ">":
+                return i
+            elif self.last[page[i]] == i:
+                break
+            else:
+                i = page.index(page[i], i + 1) + 1
+        return page.find(">", at)
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", decoded run, ""), ("open", tag, raw attributes) and ("close", tag, "")."""
-    at, low = 0, None
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue  # inside a raw element
-        if m.start() > at:
-            run = page[at : m.start()]
-            yield "text", html.unescape(run) if "&" in run else run, ""
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            continue
-        name = name.lower()
-        if m[1] or m[4]:
-            yield "close", name, ""
+    tags, text, at = _Tags(page), 0, 0  # text: where the run began that isn't given yet
+
+    def run(end: int):
+        found = page[text:end]
+        return "text", html.unescape(found) if "&" in found else found, ""
+
+    while (lt := page.find("<", at)) >= 0:
+        second = page[lt + 1 : lt + 2]
+        closes = second == "/"
+        name = _NAME.match(page, lt + 1 + closes)
+        if name is None:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                end = len(page) - 1 if end < 0 else end + 2
+            elif second in ("!", "?"):
+                end = page.find(">", lt)
+                if end < 0:
+                    break
+            else:
+                at = lt + 1  # a mark in the text
+                continue
+        else:
+            end = page.find(">", name.end()) if closes else tags.end(name.end())
+            if end < 0:
+                break  # no tag ends any more: all is text
+        if lt > text:
+            yield run(lt)
+        text = at = end + 1
+        if name is None:
             continue
-        attrs = m[3] if m[2] else m[6]
-        yield "open", name, attrs or ""
-        if name in VOID or (attrs or "").endswith("/") and name in RAW:
+        tag = name[0].lower()
+        if closes:
+            yield "close", tag, ""
             continue
-        if name in RAW:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{name}", at)
-            at = len(page) if end < 0 else end
-    if at < len(page):
-        run = page[at:]
-        yield "text", html.unescape(run) if "&" in run else run, ""
+        attrs = page[name.end() : end]
+        yield "open", tag, attrs
+        if tag in RAW and not attrs.endswith("/"):
+            stop = _RAW_ENDS[tag].search(page, at)
+            text = at = stop.start() if stop else len(page)
+    if text < len(page):
+        yield run(len(page))
 
 
 def closed_by(tag: str, stack: list[str]) -> int:
     """How deep the stack of open tags stays when ``tag`` opens: paragraphs, list items and table
     cells end without an end tag."""
     ends = _SIBLINGS.get(tag, frozenset()) | (frozenset() if tag in INLINE else frozenset({"p"}))
+    if not ends:
+        return len(stack)
     stop = _LISTS | {"div", "section", "article", "body", "td", "th"} - ends
     for i in range(len(stack) - 1, -1, -1):
         if stack[i] in ends:
