@@ -11,6 +11,7 @@ than a window continue in the next one, with the boundary flagged on both pieces
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -26,8 +27,9 @@ from vouchwell.llm._shared import materialize, whole_text
 
 #: Above this many input partitions the base offsets are joined by a shuffle, not broadcast.
 MAX_BROADCAST_BASES = 100_000
-#: Words that a worker remembers with their ids before it starts anew.
-WORD_CACHE = 400_000
+#: Words that a worker remembers with their ids. Beyond it stay those that came up again since they
+#: were learned, and beyond that none.
+WORD_CACHE = 150_000
 #: Bytes of text that are split into words at a time.
 SLAB_BYTES = 1 << 22
 #: Words that go through the tokenizer as one text.
@@ -43,7 +45,8 @@ class WordIds:
     """Token ids of whole texts, each distinct word going through the tokenizer once.
 
     Texts are split at ASCII white space and their words numbered by Arrow; new words are joined to
-    one text with a mark between them that the tokenizer keeps apart, so its cost per call is shared.
+    one text with a mark between them that the tokenizer keeps apart, so its cost per call is shared;
+    words of letters alone need no mark where the vocabulary itself tells a word's last token.
     That holds for tokenizers that never join text across white space; a probe tells, and texts go
     through any other tokenizer whole. Where it also tells that ASCII case and the marks after a
     word make no difference to the word's ids, words are counted without them. Texts that
@@ -57,6 +60,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.again: dict[str, bytes] = {}
         mark = self._raw([f" {_BREAK} "])[0]
         self.mark = np.frombuffer(mark, self.dtype)[0]
         same = lambda parts, whole: b"".join(self._raw(parts)) == self._raw([whole])[0]
@@ -64,6 +68,11 @@ class WordIds:
         self.lowers = same([_PROBE.upper()], _PROBE)
         marks = re.findall(f"[{_MARKS}]", "".join(map(chr, range(33, 127))))
         self.parts = same([x for m in marks for x in ("ab", f"{m}cd", "é", m * 2)], " ".join(f"ab{m}cd é{m}{m}" for m in marks))
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.last = None  # which ids end a word
+        if suffix:
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -105,20 +114,31 @@ class WordIds:
         return [bytes(joined[a:b]) for a, b in zip(ends, ends[1:])]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        if len(self.known) + len(words) > WORD_CACHE:
-            self.known.clear()
+        if len(self.known) > WORD_CACHE:
+            self.known = self.again if len(self.again) <= WORD_CACHE // 2 else {}
+            self.again = {}
         known = self.known
-        new = [w for w in words if w not in known]
+        met = {w: known[w] for w in words if w in known}
+        new = [w for w in words if w not in met] if met else words
         for at in range(0, len(new), 16 * WORDS_AT_ONCE):
             self._learn(new[at : at + 16 * WORDS_AT_ONCE])
+        self.again |= met
         return [known[w] for w in words]
 
     def _learn(self, new: list[str]) -> None:
         odd = [w for w in new if _BREAK in w]
         new = [w for w in new if _BREAK not in w] if odd else new
-        groups = [new[i : i + WORDS_AT_ONCE] for i in range(0, len(new), WORDS_AT_ONCE)]
         width = self.dtype.itemsize
-        for group, raw in zip(groups, self._raw([f" {_BREAK} ".join(g) for g in groups])):
+        if self.last is not None:
+            letters = [w for w in new if w.lower().isalpha()]
+            new = [w for w in new if not w.lower().isalpha()]
+            for group, raw in self._together(letters, " "):
+                ends = ((np.flatnonzero(self.last[np.frombuffer(raw, self.dtype)]) + 1) * width).tolist()
+                if len(ends) == len(group) and ends[-1] == len(raw):
+                    self.known.update((w, raw[a:b]) for w, a, b in zip(group, [0, *ends], ends))
+                else:
+                    new += group
+        for group, raw in self._together(new, f" {_BREAK} "):
             cut = np.flatnonzero(np.frombuffer(raw, self.dtype) == self.mark) * width
             if len(cut) + 1 == len(group):
                 cut = cut.tolist()
@@ -128,6 +148,11 @@ class WordIds:
         if odd:
             self.known.update(zip(odd, self._raw(odd)))
 
+    def _together(self, words: list[str], between: str):
+        """Groups of words with the ids of their joined text."""
+        groups = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        return zip(groups, self._raw([between.join(g) for g in groups]))
+
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
