@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,19 @@ def discard(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+#: Rows that a Python task works on at once, whatever the size of Arrow's batches.
+ROWS_AT_ONCE = 1000
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows: what a task makes of texts in memory is bounded by
+    these, and Arrow's pool gives back at the end what it no longer needs."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vouchwell.llm._shared import materialize, packed, unpacked, whole_text
+from vouchwell.llm._shared import materialize, packed, small_batches, unpacked, whole_text
 
 UNKNOWN = "und"
 #: Labelled rows of each language that its text model is fitted on, at most. Spark cuts to such a
@@ -40,7 +40,7 @@ UNKNOWN_PRIOR = 1e-4
 #: Hosts up to this count are broadcast with their priors.
 MAX_BROADCAST_HOSTS = 50_000
 #: Trigrams times models that are looked up at once.
-SLAB_CELLS = 1 << 21
+SLAB_CELLS = 1 << 20
 
 
 def trigram_buckets(raw: np.ndarray) -> np.ndarray:
@@ -106,7 +106,7 @@ def _score(table: np.ndarray):
     slab = SLAB_CELLS // table.shape[1] + 1
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [prose(t) for t in batch.column("text").to_pylist()]
             out = np.zeros((len(texts), table.shape[1]))
             at, lettered = 0, [_LETTER.search(t) is not None for t in texts]

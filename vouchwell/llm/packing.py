@@ -31,7 +31,7 @@ MAX_BROADCAST_BASES = 100_000
 #: were learned, and beyond that none.
 WORD_CACHE = 150_000
 #: Bytes of text that are split into words at a time.
-SLAB_BYTES = 1 << 22
+SLAB_BYTES = 1 << 21
 #: Words that go through the tokenizer as one text.
 WORDS_AT_ONCE = 2000
 _BREAK = "\x01"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouchwell.llm._shared import materialize, packed, unpacked, whole_text
+from vouchwell.llm._shared import materialize, packed, small_batches, unpacked, whole_text
 from vouchwell.llm.bwt import repeated_starts
 
 LENGTH = 200
@@ -31,7 +31,7 @@ LENGTH = 200
 BLOCK_BYTES = 1 << 20
 GROUP_BYTES = 1 << 20
 #: Text whose windows are hashed at a time.
-SLAB_BYTES = 1 << 20
+SLAB_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -109,7 +109,7 @@ def _slabs(sizes: list[int]):
 def _run_batches(gram: int, length: int):
     def run(batches):
         powers = _Powers()
-        for batch in batches:
+        for batch in small_batches(batches):
             raw = [x.as_py() for x in batch.column("bytes")]
             base = np.asarray(batch.column("base"))
             for at, end in _slabs([len(x) for x in raw]):
@@ -259,7 +259,7 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 def _cut(as_text: bool):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for text, spans in zip(batch.column("bytes"), batch.column("spans")):
                 raw = text.as_py()
