@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vouchwell.llm._shared import materialize, whole_text
+from vouchwell.llm._shared import materialize, small_batches, whole_text
 
 #: Above this many input partitions the base offsets are joined by a shuffle, not broadcast.
 MAX_BROADCAST_BASES = 100_000
@@ -168,7 +168,7 @@ def _tokenize(path: str, end_id: int, out: pa.Schema):
         coder, start = word_ids(path), 0
         width, tail = coder.dtype.itemsize, np.array([end_id], coder.dtype).tobytes()
         pid = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in small_batches(batches, 2000):
             ids = [x + tail for x in coder.encode(batch.column("text"))]
             n = np.array([len(x) // width for x in ids], np.int64)
             ends = start + np.cumsum(n)
@@ -204,7 +204,7 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1) ->
 
 def _cut(window: int, width: int, out: pa.Schema):
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             rows: list[tuple] = []
             start = np.asarray(batch.column("start_at")).tolist()
             for doc, g, raw in zip(batch.column("doc_id").to_pylist(), start, batch.column("ids")):
