@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.test_sources import rows_of
 from vouchwell.llm import extraction, language, quality, queries, quoting
 from vouchwell.llm._shared import materialize
 
@@ -139,11 +140,10 @@ def test_messages_without_quotes_stay(spark):
 def test_quotation_equals_its_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{DATA}/conversations.parquet'")
-    want = con.sql(queries.OP9_SQL).df().astype(object)
-    got = queries.op9_quotation(spark, DATA).toPandas().astype(object)[list(want.columns)]
-    rows = lambda df: Counter(map(str, df.where(df.notna(), None).itertuples(index=False)))
+    want = con.sql(queries.OP9_SQL).df()
+    got = queries.op9_quotation(spark, DATA).toPandas()
     assert got["parent_turn"].notna().sum() > 100
-    assert rows(got.map(lambda x: int(x) if isinstance(x, float) and x == x else x)) == rows(want.map(lambda x: int(x) if isinstance(x, float) and x == x else x))
+    assert rows_of(got) == rows_of(want)
 
 
 def test_parts_of_messages_are_linked(spark):
