@@ -113,21 +113,65 @@ def test_spotsigs_query(spark):
         assert r.near_next == pytest.approx(jaccard(a, c))
 
 
-def test_spotsigs_pairs_lose_no_link(spark):
-    words = [f"w{i}" for i in range(90)]
-    base = " ".join(f"the {a} {b}" for a, b in zip(words, words[1:]))
-    near = base.replace("w5 ", "v5 ").replace("w60 ", "v60 ")
-    far = " ".join(f"the {a} {b}" for a, b in zip(words[::-1], words[-2::-1]))
-    rows = [(1, base, "a"), (2, base, "a"), (3, near, "a"), (4, far, "a"), (5, base + " end", "a"), (6, "", "a"), (7, None, "a")]
-    pairs, members = spotsigs.similar_pairs(documents(spark, rows))
-    classes = {r.doc_id: r.class_id for r in members.collect()}
-    sets = {d: plain_signatures(t or "") for d, t, _ in rows}
+def linked_sets(sets):
+    """Each document's least reachable one over links at 0.8 or more."""
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
     for a in sets:
         for b in sets:
-            assert (classes[a] == classes[b]) == (sets[a] == sets[b])
-    names = set(classes.values())
-    want = {(a, b) for a in names for b in names if a < b and jaccard(sets[a], sets[b]) >= 0.8}
-    assert {tuple(sorted((r.a, r.b))) for r in pairs.collect()} == want
+            if a < b and jaccard(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    return {d: top(d) for d in sets}
+
+
+def signature_texts():
+    """Texts of chains, near ones, and a crowd around one text, all of which share signatures."""
+    rng = np.random.default_rng(11)
+    texts = {}
+    for n in (1, 3, 5, 9, 10, 30, 90, 91):
+        chain = [f"the a{i}x{n} b{i}" for i in range(n)]
+        for off in (0, 1, 2, n // 5, n // 4 + 1):
+            texts[len(texts)] = " ".join(chain[off:] + [f"the y{len(texts)} z" for _ in range(off // 2)])
+    for _ in range(60):
+        own = [f"the c{i} d{i}" for i in range(40)]
+        for i in rng.choice(40, 4, replace=False):
+            own[i] = f"the q{rng.integers(10**6)} d{i}"
+        texts[len(texts)] = " ".join(own)
+    return texts | {900: "", 901: None, 902: texts[60], 903: "one two", 904: "One, two"}
+
+
+@pytest.mark.parametrize("part", [512, 5])
+def test_similar_sets_lose_no_link(spark, monkeypatch, part):
+    monkeypatch.setattr(spotsigs.near_copies, "PART", part)
+    rows = signature_texts()
+    sets = {d: plain_signatures(t or "") for d, t in rows.items()}
+    docs = documents(spark, [(d, t, "a") for d, t in rows.items()]).repartition(4)
+    got = {r.doc_id: r for r in spotsigs.similar_sets(docs).collect()}
+    want = linked_sets(sets)
+    assert len(set(want.values())) < len({frozenset(s) for s in sets.values()}) < len(rows)
+    for d in rows:
+        assert got[d].n_signatures == len(sets[d])
+        assert got[d].class_id == min(x for x in sets if sets[x] == sets[d])
+        assert got[d].component_id == want[d], d
+
+
+def test_similar_documents_query(spark):
+    sets = {d: plain_signatures(t) for d, t in texts(spark).items()}
+    got = {r.doc_id: r.component_id for r in queries.similar_documents(spark, DATA).collect()}
+    assert got == linked_sets(sets)
+
+
+def test_lengths_that_may_be_alike_are_beside_each_other():
+    starts = spotsigs._partition_starts(0.8)
+    for n in range(1, 3000):
+        top = int(n / 0.8 + 1e-9)
+        assert np.searchsorted(starts, top, "right") - np.searchsorted(starts, n, "right") <= 1
 
 
 # --- packing ---

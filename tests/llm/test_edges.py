@@ -36,7 +36,7 @@ def odd_documents(spark):
 OPERATORS = {
     "media": lambda d: media.text_media(d),
     "spotsigs": lambda d: spotsigs.compare_neighbours(d),
-    "spotsigs_pairs": lambda d: spotsigs.similar_pairs(d)[1],
+    "similar_sets": lambda d: spotsigs.similar_sets(d),
     "packing": lambda d: packing.pack_documents(d, queries.tokenizer_path()),
     "language": lambda d: language.identify_documents(d),
     "keep_identified": lambda d: language.keep_identified(d),
@@ -68,7 +68,7 @@ def test_empty_table(spark, name):
 def test_rows_per_document(spark):
     docs = odd_documents(spark)
     n = docs.count()
-    for name in ("media", "substrings", "simhash", "language", "mixing", "quality", "spotsigs"):
+    for name in ("media", "substrings", "simhash", "language", "mixing", "quality", "spotsigs", "similar_sets"):
         assert OPERATORS[name](docs).count() == n, name
 
 

@@ -39,6 +39,11 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second operator's search: classes and components of documents by their signature sets."""
+    return spotsigs.similar_sets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extraction.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("_row.page_id", "_row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -201,6 +206,7 @@ QUERIES = {
     "op9_quotation": op9_quotation,
     "op10_quality": op10_quality,
     "page_languages": page_languages,
+    "similar_documents": similar_documents,
 }
 
 ORACLE_SQL = {

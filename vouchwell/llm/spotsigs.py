@@ -2,9 +2,9 @@
 
 Wherever a common word stands, it and the next content words form a signature; a document's
 fingerprint is the set of its signatures' 32-bit hashes. Likeness is the Jaccard coefficient of two
-sets. ``similar_pairs`` searches a corpus: sets are classed by equality, partitioned by their length
-so that only lengths whose ratio allows the threshold meet, indexed by their rarest signatures, and
-compared with an upper bound before the sets are intersected.
+sets. ``compare_neighbours`` compares given pairs; ``similar_sets`` searches a corpus: sets are classed
+by equality, partitioned by their length so that only lengths whose ratio allows the threshold meet,
+indexed by their rarest signatures within that, and compared exactly.
 
 Edge cases: a null text is an empty one; a text without a complete chain has one signature, that of
 all its words; equal texts have equal sets; repeated rows follow each other in the order of ids; a
@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouchwell.llm._shared import materialize, partitions, whole_text
+from vouchwell.llm import near_copies
+from vouchwell.llm._shared import materialize, partitions, small_batches, whole_text
+from vouchwell.llm.simhash import first_of, majority
 
 # Very common words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -31,6 +33,8 @@ ANCHORS = frozenset(
     "al como con de del el es esta los las no para por se su una y".split()
 )
 CHAIN = 2
+#: Places of the table that tells common signatures from rare ones.
+PLACES = 1 << 16
 _WORDS = re.compile(r"\w+")
 
 
@@ -164,38 +168,85 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     return sent.mapInArrow(_compare(arrow_id), _OUT.format(id=kind))
 
 
+def _partition_starts(threshold: float) -> np.ndarray:
+    """The least set length of each partition: a set of one reaches the threshold with sets of the
+    partitions beside its own at most."""
+    starts = [0, 1]
+    while starts[-1] < 1 << 31:
+        starts.append(int(starts[-1] / threshold + 1e-9) + 1)
+    return np.array(starts[1:])
+
+
 def _set_batches(batches):
-    for batch in batches:
-        found = [sorted(signatures(t)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "sigs"])
+    import xxhash
+
+    for batch in small_batches(batches):
+        sets = [np.sort(np.fromiter(f, np.int64, len(f))) for f in map(signatures, batch.column("text").to_pylist())]
+        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("row"), pa.array(nodes), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "shingles"]
+        )
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (a, b, likeness) of class representatives at ``threshold`` or more,
-    and every document's class. A class is the documents with equal sets; its name is their least
-    id. By the prefix principle, two sets that reach the threshold share one of their rarest
-    n - ceil(threshold * n) + 1 signatures, so no link is lost."""
+def _key_batches(common: np.ndarray, threshold: float):
+    """Per set the keys under which it may meet others: each of its rarest n - ceil(threshold * n) + 1
+    signatures, with its own length partition and with the one above."""
+    starts = _partition_starts(threshold)
+
+    def run(batches):
+        for batch in small_batches(batches):
+            ns, fps, keys, ends = [], [], [], [0]
+            for found in batch.column("shingles"):
+                s = found.values.to_numpy()
+                n = len(s)
+                rare = s[np.lexsort((s, common[s % len(common)]))][: n - int(np.ceil(threshold * n - 1e-9)) + 1].astype(np.uint64)
+                part = np.uint64(np.searchsorted(starts, n, "right"))
+                keys += [(rare << np.uint64(8)) + part, (rare << np.uint64(8)) + part + np.uint64(1)]
+                ends.append(ends[-1] + 2 * len(rare))
+                ns.append(n)
+                fps.append(majority(s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            flat = pa.array((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node"),
+                    pa.array(np.array(fps, np.uint64).view(np.int64)),
+                    pa.array(ns, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
+                ],
+                names=["node", "fp", "n", "keys"],
+            )
+
+    return run
+
+
+def similar_sets(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_signatures, class_id (the least id of the documents with an equal
+    set) and component_id (the least id reachable over links, at a likeness of 0.8 or more).
+
+    By the prefix principle, two sets that reach the threshold share one of their rarest signatures,
+    and their lengths lie in one partition or in two beside each other, so sets meet by (partition,
+    signature) and no link is lost. Which signatures are common is counted over all sets in a table
+    of fixed size; where two share a place in it, only the order changes, which is the same for all
+    sets. What meets is compared as near copies are: neighbours first, then, if its sets aren't
+    linked yet, in parts of bounded size within tasks, of which only a forest of links comes out. So a
+    signature that a third of the sets have is split, and no pairs are emitted.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", whole_text().alias("text"))
-    sets = texts.mapInArrow(_set_batches, f"doc_id {kind}, sigs array<long>").withColumn("set_hash", F.sha2(F.to_json("sigs"), 256))
-    sets = materialize(sets, "sets")
-    classes = sets.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs"))
-    classes = materialize(classes.withColumn("n", F.size("sigs")), "classes")
-    members = sets.join(classes.select("set_hash", "class_id"), "set_hash").select("doc_id", "class_id")
-    apart = classes.select("class_id", "n", F.explode("sigs").alias("sig"))
-    common = apart.groupBy("sig").agg(F.count("*").alias("freq"))
-    ranked = apart.join(common, "sig").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "sig"))).alias("by"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    index = ranked.select("class_id", "n", F.explode(F.slice("by", F.lit(1), keep.cast("int"))).alias("k")).select("class_id", "n", "k.sig")
-    index = materialize(index, "index")
-    a, b = (index.select(F.col("sig"), F.col("class_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    near = (F.col("a") != F.col("b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (
-        (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    )
-    candidates = a.join(b, "sig").filter(near).select("a", "b").distinct()
-    left = classes.select(F.col("class_id").alias("a"), F.col("sigs").alias("sa"))
-    right = classes.select(F.col("class_id").alias("b"), F.col("sigs").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    jaccard = both / (F.size("sa") + F.size("sb") - both)
-    pairs = candidates.join(left, "a").join(right, "b").select("a", "b", jaccard.alias("likeness"))
-    return pairs.filter(F.col("likeness") >= threshold), members
+    texts = docs.select("doc_id", F.xxhash64(whole_text()).alias("row"), whole_text().alias("text"))
+    sets = materialize(texts.mapInArrow(_set_batches, f"doc_id {kind}, row long, node long, shingles array<long>"), "sets")
+    distinct = materialize(sets.select("node", "shingles").dropDuplicates(["node"]), "distinct")
+    place = F.explode("shingles").alias("sig")
+    counts = distinct.select(place).groupBy(F.pmod("sig", F.lit(PLACES)).alias("place")).agg(F.count("*").alias("n")).toArrow()  # PLACES rows at most
+    common = np.zeros(PLACES, np.int64)
+    common[counts.column("place").to_numpy()] = counts.column("n").to_numpy()
+    keyed = distinct.mapInArrow(_key_batches(common, near_copies.LIKENESS), "node long, fp long, n int, keys array<long>")
+    keyed = materialize(keyed, "keys").select("node", "fp", "n", F.explode("keys").alias("band"))
+    shared = keyed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
+    roots = near_copies.linked(materialize(keyed.join(shared, "band"), "met"), distinct)
+
+    classes = sets.groupBy("node").agg(F.min(first_of()).alias("least"))
+    rooted = materialize(classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    names = rooted.groupBy("root").agg(F.min("least").alias("chosen"))
+    named = rooted.join(names, "root").select("node", F.col("least.doc_id").alias("class_id"), F.col("chosen.doc_id").alias("component_id"))
+    own = sets.select("doc_id", "node", F.size("shingles").alias("n_signatures"))
+    return own.join(named, "node").select("doc_id", "n_signatures", "class_id", "component_id")
