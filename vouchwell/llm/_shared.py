@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 # ASCII white space, the word separator of every word-based operator here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,6 +92,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -
     pa.default_memory_pool().release_unused()
 
 
+def arrow_type(kind: DataType) -> pa.DataType:
+    """The Arrow type that a Spark column of this type has in a Python task."""
+    return to_arrow_type(kind)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

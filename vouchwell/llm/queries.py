@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the tables of a scale factor, and their SQL.
+"""The queries of the numbered operators over the tables of a scale factor, and their SQL.
 
 SQL stands here where it can express the operator on whole tables; the others are tested against
 brute force on small fixtures in ``tests/llm``.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vouchwell.llm import extraction, language, media, mixing, packing, quality, quoting, simhash, spotsigs, substrings
+from vouchwell.llm import bestfit, extraction, language, media, mixing, packing, periodic, quality, quoting, simhash, spotsigs, substrings, whitening
 from vouchwell.llm._shared import table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -194,6 +194,42 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM picked
 """
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", periodic.planted_text(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.collapse_runs(docs).withColumn("top", periodic.longest(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "_rest.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.floor(F.col("top.length") * 1000 / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bestfit.pack_best_fit(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = found.select("_rest.vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("white").alias("at", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.get("explained", F.col("at")).alias("explained"),
+        "identity_error",
+    )
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_spotsigs": op2_spotsigs,
@@ -205,6 +241,9 @@ QUERIES = {
     "op8_extraction": op8_extraction,
     "op9_quotation": op9_quotation,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_best_fit": op12_best_fit,
+    "op13_whitening": op13_whitening,
     "page_languages": page_languages,
     "similar_documents": similar_documents,
 }
