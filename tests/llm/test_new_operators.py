@@ -310,3 +310,19 @@ def test_components_without_variance_are_left_out(spark):
     found, model = whitening.whiten(data)
     assert model.vectors.shape[1] == 5
     assert found.first().identity_error < 1e-9
+
+
+# --- rows told apart ---
+
+
+def test_ranges_of_clashing_hashes(spark, monkeypatch):
+    """With keys of few bits for one half, the other half still tells rows apart."""
+    from vouchwell.llm import substrings
+
+    plain = substrings._row_keys
+    monkeypatch.setattr(substrings, "_row_keys", lambda: [F.lit(1).cast("long").alias("row"), plain()[1]])
+    rng = np.random.default_rng(9)
+    a, b = ("".join(map(chr, rng.integers(97, 123, 256))) for _ in range(2))
+    rows = [(None, a + a[:250]), (None, b)]
+    got = {r.n_bytes: r.n_removed for r in substrings.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {506: 500, 256: 0}

@@ -10,7 +10,8 @@ A key with more distinct runs than a block holds (a short passage that very many
 is keyed anew with longer grams, down to the window itself, at which equal keys are equal windows.
 
 Edge cases: null and empty texts, and texts shorter than the minimum, lose nothing; repeated rows
-are copies of each other and lose all their windows; a null ``doc_id`` is a document like others;
+are copies of each other and lose all their windows; rows with one ``doc_id``, or none, are
+documents of their own where their texts differ;
 an empty table gives no row; extra columns are ignored by ``cut_repeats`` and kept by
 ``remove_repeats``.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouchwell.llm._shared import materialize, packed, small_batches, unpacked, whole_text
@@ -120,25 +121,23 @@ def _run_batches(gram: int, length: int):
                 take = pa.array(whose + at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(take),
                         batch.column("row").take(take),
+                        batch.column("row2").take(take),
                         batch.column("copies").take(take),
                         pa.array(key),
                         pa.array(content),
                         pa.array((first + shift).astype(np.int32)),
                         pa.array((last + shift).astype(np.int32)),
                     ],
-                    names=["doc_id", "row", "copies", "key", "content", "first", "last"],
+                    names=["row", "row2", "copies", "key", "content", "first", "last"],
                 )
 
     return run
 
 
 def _runs(texts: DataFrame, gram: int, length: int) -> DataFrame:
-    kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(
-        _run_batches(gram, length),
-        f"doc_id {kind}, row int, copies int, key long, content long, first int, last int",
+        _run_batches(gram, length), "row long, row2 long, copies int, key long, content long, first int, last int"
     )
 
 
@@ -146,12 +145,12 @@ def _slice(batches):
     """Cut the asked spans out of each document."""
     for batch in batches:
         out = []
-        for text, doc, row, spans in zip(*(batch.column(c) for c in ("bytes", "doc_id", "row", "spans"))):
-            raw, doc, row = text.as_py(), doc.as_py(), row.as_py()
-            out += [(doc, row, s["first"], s["copies"], s["key"], s["block"], raw[s["first"] : s["stop"]]) for s in spans.as_py()]
+        for text, row, row2, spans in zip(*(batch.column(c) for c in ("bytes", "row", "row2", "spans"))):
+            raw, row, row2 = text.as_py(), row.as_py(), row2.as_py()
+            out += [(row, row2, s["first"], s["copies"], s["key"], s["block"], raw[s["first"] : s["stop"]]) for s in spans.as_py()]
         cols = list(zip(*out)) if out else [()] * 7
-        types = [batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["doc_id", "row", "base", "copies", "key", "block", "bytes"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["row", "row2", "base", "copies", "key", "block", "bytes"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
@@ -170,8 +169,8 @@ def _expand(length: int):
         who, lo, hi = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
         return pd.DataFrame(
             {
-                "doc_id": rows["doc_id"].to_numpy()[who],
                 "row": rows["row"].to_numpy()[who],
+                "row2": rows["row2"].to_numpy()[who],
                 "start": lo.astype(np.int32),
                 "stop": hi.astype(np.int32),
             }
@@ -180,19 +179,22 @@ def _expand(length: int):
     return run
 
 
+def _row_keys() -> list[Column]:
+    """128 bits that tell rows apart by their id and text, in two numbers: equal ones are the same
+    row twice, which is cut alike."""
+    text, named = whole_text(), [F.col("doc_id"), F.col("doc_id").isNull()]
+    return [F.xxhash64(*named, text).alias("row"), F.xxhash64(text, F.lit(1), *named).alias("row2")]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    text = whole_text()
-    return docs.select(
-        "doc_id", F.hash(text).alias("row"), F.lit(0).alias("base"), F.lit(1).alias("copies"), F.encode(text, "UTF-8").alias("bytes")
-    )
+    return docs.select(*_row_keys(), F.lit(0).alias("base"), F.lit(1).alias("copies"), F.encode(whole_text(), "UTF-8").alias("bytes"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Byte ranges (doc_id, row, start, stop) that hold all bytes of ``length``-byte strings which
-    start more than once in the corpus. Ranges of a document may overlap. ``row`` is the text's
-    32-bit hash, which tells rows with the same id apart."""
+    """Byte ranges (row, row2, start, stop) that hold all bytes of ``length``-byte strings which
+    start more than once in the corpus. Ranges of a document may overlap. ``row`` and ``row2`` are
+    those of ``_row_keys``."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
     texts = source = _texts(docs)
     found: list[DataFrame] = []
     for gram in gram_sizes(length):
@@ -205,19 +207,19 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             keys.filter("n > 1").select(F.col("key").alias("_key"), (F.col("low") == F.col("high")).alias("uniform")), "keys"
         )
         repeats = materialize(runs.join(keys, F.col("key") == F.col("_key")).drop("_key"), "repeats")
-        found.append(repeats.filter("uniform").select("doc_id", "row", F.col("first").alias("start"), stop))
+        found.append(repeats.filter("uniform").select("row", "row2", F.col("first").alias("start"), stop))
         mixed = repeats.filter("not uniform")
         if gram == length or mixed.limit(1).count() == 0:
             if gram == length:  # the key is the window: all runs of a key are repeats
-                found.append(mixed.select("doc_id", "row", F.col("first").alias("start"), stop))
+                found.append(mixed.select("row", "row2", F.col("first").alias("start"), stop))
             break
         classes = mixed.groupBy("key", "content").agg(
-            F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "row", "first", stop)).alias("one")
+            F.sum("copies").alias("copies"), F.min(F.struct("row", "row2", "first", stop)).alias("one")
         ).select("key", "content", F.least("copies", F.lit(2)).cast("int").alias("copies"), "one.*")
         classes = materialize(classes, "classes")
         again = classes.filter("copies > 1").select(F.col("key").alias("_key"), F.col("content").alias("_content"))
         copied = mixed.join(again, (F.col("key") == F.col("_key")) & (F.col("content") == F.col("_content")), "left_semi")
-        found.append(copied.select("doc_id", "row", F.col("first").alias("start"), stop))
+        found.append(copied.select("row", "row2", F.col("first").alias("start"), stop))
         span = F.col("stop") - F.col("first")
         total = classes.agg(F.sum(span)).first()[0]
         blocks = total // BLOCK_BYTES + 1
@@ -226,19 +228,19 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         asked = classes.join(crowded, F.col("key") == F.col("_key"), "left").withColumn(
             "block", F.when(F.col("_key").isNull(), F.pmod("key", F.lit(blocks))).otherwise(F.lit(-1))
         )
-        per_doc = asked.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
+        per_doc = asked.groupBy("row", "row2").agg(
             F.collect_list(F.struct("first", "stop", "copies", "key", "block")).alias("spans")
         )
-        sliced = source.join(per_doc, source["doc_id"].eqNullSafe(per_doc["_id"]) & (source["row"] == per_doc["_row"])).mapInArrow(
-            _slice, f"doc_id {kind}, row int, base int, copies int, key long, block long, bytes binary"
+        sliced = source.join(per_doc, ["row", "row2"]).mapInArrow(
+            _slice, "row long, row2 long, base int, copies int, key long, block long, bytes binary"
         )
         # rows that occur twice would be sliced twice
-        sliced = materialize(sliced.dropDuplicates(["doc_id", "row", "base", "key"]), "spans")
+        sliced = materialize(sliced.dropDuplicates(["row", "row2", "base", "key"]), "spans")
         expanded = sliced.filter("block >= 0").groupBy("block").applyInPandas(
-            _expand(length), f"doc_id {kind}, row int, start int, stop int"
+            _expand(length), "row long, row2 long, start int, stop int"
         )
         found.append(materialize(expanded, "ranges"))
-        texts = sliced.filter("block < 0").select("doc_id", "row", "base", "copies", "bytes")
+        texts = sliced.filter("block < 0").select("row", "row2", "base", "copies", "bytes")
         if texts.limit(1).count() == 0:
             break
     out = found[0]
@@ -285,14 +287,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) ->
     text without the characters that lost some of their bytes) and _rest, a struct of the columns
     other than doc_id and text."""
     ranges = repeated_ranges(docs, length).distinct()
-    per_doc = ranges.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
-        F.collect_list(F.struct("start", "stop")).alias("spans")
-    )
-    text = whole_text()
-    texts = packed(docs, "doc_id", "text").select(
-        "doc_id", "_rest", F.hash(text).alias("row"), F.encode(text, "UTF-8").alias("bytes")
-    )
-    joined = texts.join(per_doc, texts["doc_id"].eqNullSafe(per_doc["_id"]) & (texts["row"] == per_doc["_row"]), "left")
+    per_doc = ranges.groupBy("row", "row2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    texts = packed(docs, "doc_id", "text").select("doc_id", "_rest", *_row_keys(), F.encode(whole_text(), "UTF-8").alias("bytes"))
+    joined = texts.join(per_doc, ["row", "row2"], "left")
     shape = joined.select("doc_id", "_rest", "bytes", "spans")
     kinds = {f.name: f.dataType.simpleString() for f in shape.schema}
     return shape.mapInArrow(
