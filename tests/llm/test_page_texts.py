@@ -65,7 +65,20 @@ PAGES = {
     "dotted capital i": (around(f"<article><h1>{'İ' * 40}</h1><script>var t = 1;</script><p>{A}</p><p>{B}</p></article>"), ["İ" * 40, A, B]),
     "mark in an attribute": (around(f'<article><h1>Piers</h1><p title="a > b">{A}</p><p>{B}</p></article>'), ["Piers", A, B]),
     "hidden": (around(f'<article><h1>Piers</h1><p>{A}</p><div style="display: none"><p>{R}</p></div><p hidden>{R}</p><p>{B}</p></article>'), ["Piers", A, B]),
-    "nothing but a menu": (f"{HEAD}<body>{NAV}</body>", ["Home", "Boats"]),
+    "nothing but a menu": (f"{HEAD}<body>{NAV}</body>", [""]),
+    "a footer and a form": (f"{HEAD}<body>{FOOT}<form>Sign in, please.</form></body>", [""]),
+    "a script in a paragraph": (around(f"<article><p>Hello, dear <script>var x;</script>world. {A}</p></article>"), [f"Hello, dear world. {A}"]),
+    "other elements in a paragraph": (around(f"<article><p>One <noscript>x</noscript>two <svg><path/></svg>three <x-mark>four</x-mark> {A}</p></article>"), [f"One two three four {A}"]),
+    "a button in a paragraph": (around(f"<article><p>One <button>Press</button>two {A}</p></article>"), [f"One two {A}"]),
+    "formulas": (around(f"<article><p>{A} So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>"), [f"{A} So x=2 holds."]),
+    "comments under a plain heading": (around(f"<article><h1>Piers</h1><p>{A}</p><p>{B}</p><section><h3>3 comments</h3><div>{REMARKS}</div></section></article>"), ["Piers", A, B]),
+    "comments in main": (around(f'<main><h1>Piers</h1><p>{A}</p><p>{B}</p><h2>Comments</h2><ol class="thread"><li><p>{R}</p></li><li><p>{R}</p></li></ol></main>'), ["Piers", A, B]),
+    "comments under a boxed heading": (around(f"<main><h1>Piers</h1><p>{A}</p><p>{B}</p><div><h2>Comments (2)</h2></div><ol><li><p>{R}</p></li><li><p>{R}</p></li></ol></main>"), ["Piers", A, B]),
+    "text after the comments": (around(f"<article><h2>One</h2><p>{A}</p><h3>Comments</h3><div><p>{R}</p></div><h2>Two</h2><p>{B}</p></article>"), ["One", A, "Two", B]),
+    "comments as a subject": (around(f"<article><h1>Piers</h1><h2>Comments on the pier</h2><p>{A}</p><p>{B}</p></article>"), ["Piers", "Comments on the pier", A, B]),
+    "a list of links in main": (around(f'<main><h1>Piers</h1><p>{A}</p><p>{B}</p><h3>Related stories</h3><ul><li><a href="/x">More piers</a></li><li><a href="/y">Old piers</a></li></ul></main>'), ["Piers", A, B]),
+    "a list with one link": (around(f'<article><h1>Piers</h1><p>{A}</p><ul><li><a href="/x">The map</a></li><li>stone</li></ul></article>'), ["Piers", A, "The map", "stone"]),
+    "deeper than any stack": (around(f'<article><p>{A}</p>{"<div>" * 3000}<p>{B}</p><div class="ad"><p>{C}</p></div>{"</div>" * 3000}</article>'), [A, B]),
 }
 
 
@@ -110,6 +123,17 @@ def walked(html):
     return "\n".join(x for x in (" ".join(b.split()) for b in w.blocks) if x)
 
 
+def test_paths_decide_within_articles(spark, monkeypatch):
+    """Without what the paths say, the tables' articles with planted link lists come out otherwise."""
+    rows = spark.read.parquet(f"{DATA}/pages.parquet").limit(40).collect()
+    links = "<h4>More</h4><ul>" + '<li><a href="/x">another page</a></li>' * 3 + "</ul>"
+    planted = {r.page_id: r.html.replace("</article>", f"{links}</article>") for r in rows if "<article>" in (r.html or "")}
+    assert planted
+    assert {k: extraction.extract(h) for k, h in planted.items()} == {r.page_id: walked(r.html) for r in rows if r.page_id in planted}
+    monkeypatch.setattr(extraction, "_content", lambda page, live: set(page.path))
+    assert all(extraction.extract(h) != walked(h.replace(links, "")) for h in planted.values())
+
+
 def test_tables_pages_equal_a_plain_walk(spark):
     rows = spark.read.parquet(f"{DATA}/pages.parquet").collect()
     assert {r.page_id: extraction.extract(r.html or "") for r in rows} == {r.page_id: walked(r.html) for r in rows}

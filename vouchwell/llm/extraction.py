@@ -9,20 +9,23 @@ share of the best path's score on are content.
 
 The article is the page's one ``article`` (or ``main``) element with content, else the smallest
 element that holds all content. Of its blocks go those in elements that the standard sets apart
-(navigation, forms, footers and so on) and those in elements that name themselves something else and
-have most of their text off the content paths; asides within an article are judged by their paths
-alone. How much of the page's text an element holds decides nothing. Where only the page's body holds
-all content, the bulk's element, other content runs and the title are taken.
-
-Edge cases: null or empty html, and pages without text, give the empty string; unclosed tags end
-where the standard lets them; a page of nothing but such elements gives their text; repeated rows are
-extracted each; an empty table gives no row; extra columns are kept by ``extract_pages``.
+(navigation, forms, footers and so on); those in elements that name themselves something else, or
+follow a heading that announces readers' comments, and have most of their text off the content paths;
+and those in lists of links whose paths carry nothing else and are no content. A heading all of whose
+text until the next one goes, goes too. How much of the page's text an element holds decides nothing.
+Where only the page's body holds all content, the bulk's element, other content runs and the title
+are taken.
+
+Edge cases: null or empty html, pages without text, and pages of nothing but navigation, forms,
+footers and the like give the empty string; unclosed tags end where the standard lets them; nesting
+of any depth is judged; repeated rows are extracted each; an empty table gives no row; extra columns
+are kept by ``extract_pages``.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouchwell.llm.markup import INLINE, MAX_DEPTH, RAW, VOID, attributes, closed_by, tokens
+from vouchwell.llm.markup import BLOCK, RAW, VOID, Stack, attributes, tokens
 
 #: A path is content from this share of the best path's score on.
 THRESHOLD = 0.2
@@ -56,8 +59,16 @@ _NEUTRAL = frozenset(
     "section sections site slot story strip tab thread threads top ul unit user users reader readers view wrap wrapper".split()
 )
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption ul ol dl".split())
-_HEADINGS = frozenset("header hgroup h1 h2 h3 h4 h5 h6".split())
+_LEVELS = {f"h{i}": i for i in range(1, 7)}
+_HEADINGS = frozenset(("header", "hgroup", *_LEVELS))
+# What announces readers' comments, alone or with their number.
+_REMARKS = re.compile(
+    r"(?i)\W*(?:\d+\W+)?(?:(?:reader|user)s?'?s?\W+)?(?:comments?|responses?|replies|reactions|leave a (?:reply|comment)|kommentare?|commentaires?|comentarios?)"
+    r"(?:\W+\d+)?\W*"
+)
 _WHOLE = frozenset("# html body".split())
+# What may hold a list of links.
+_GROUPS = frozenset("ul ol menu div section dl table p".split())
 _MAIN = frozenset("article main".split())
 _SPLIT = re.compile(r"[^a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?¡¿،。，、；：！？…]")
@@ -92,37 +103,45 @@ class _Page:
         self.prior = [1.0]  # of each path
         self.runs: list[tuple[int, int, str, bool]] = []  # element, block, text, in a link
         paths: dict[tuple, int] = {}
-        stack, names, block, article = [0], ["#"], 0, 0
-        too_deep: Counter[str] = Counter()
+        stack, block, links = Stack(), 0, 0
+        said: list[str] = []  # the text of the open heading
+        remarks: dict[int, int] = {}  # elements in which comments are announced, with the heading's level
 
         def leave(depth: int):
-            nonlocal article
-            article -= sum(n in _MAIN for n in names[depth:])
-            del stack[depth:], names[depth:]
+            for i in stack.cut(depth):
+                level = _LEVELS.get(self.tag[i])
+                if level:
+                    if remarks.get(self.parent[i], 7) >= level:
+                        remarks.pop(self.parent[i], None)
+                    if _REMARKS.fullmatch("".join(said)[:200]):
+                        remarks[self.parent[i]] = level
+                    said.clear()
+                elif i in remarks and self.tag[i] == "div" and self.parent[i] not in remarks and self._bare(i):
+                    remarks[self.parent[i]] = remarks[i]  # a box around the heading alone
 
         for kind, value, raw in tokens(page):
             if kind == "text":
                 if not value.isspace() or self.runs:
-                    self.runs.append((stack[-1], block, value, "a" in names))
+                    self.runs.append((stack.numbers[-1], block, value, stack.last("a") >= 0))
+                if len(said) < 99:
+                    said.append(value)
                 continue
             if value == "br":
-                self.runs.append((stack[-1], block, " ", False))
-            block += value not in INLINE
+                self.runs.append((stack.numbers[-1], block, " ", False))
+            block += value in BLOCK
             if kind == "close":
-                if too_deep[value]:
-                    too_deep[value] -= 1
-                elif value in names:
-                    leave(len(names) - 1 - names[::-1].index(value))
-                    too_deep.clear()
+                if (depth := stack.last(value)) >= 0:
+                    leave(depth)
                 continue
             if value in VOID:
                 continue
-            leave(closed_by(value, names))
-            if len(names) >= MAX_DEPTH:
-                too_deep[value] += value not in RAW
-                continue
+            leave(stack.closed_by(value))
             attrs = attributes(raw) if raw.strip() else {}
-            up, named = stack[-1], _is_named(attrs) and value not in _WHOLE
+            up = stack.numbers[-1]
+            if value in _LEVELS:
+                said.clear()
+            named = value not in _WHOLE and (_is_named(attrs) or (up in remarks and value not in _LEVELS))
+            article = max(stack.last("article"), stack.last("main")) >= 0
             self.parent.append(up)
             self.tag.append(value)
             key = (self.path[up], value, attrs.get("class", ""), named)
@@ -130,14 +149,17 @@ class _Page:
                 paths[key] = len(self.prior)
                 self.prior.append(NAMED_PRIOR if named else self.prior[self.path[up]])
             self.path.append(paths[key])
-            self.apart.append(_set_apart(value, attrs, article > 0))
+            self.apart.append(_set_apart(value, attrs, article))
             self.named.append(named)
-            self.within.append(article > 0)
-            if value in RAW:
-                continue
-            stack.append(len(self.parent) - 1)
-            names.append(value)
-            article += value in _MAIN
+            self.within.append(article)
+            if value not in RAW:
+                stack.push(len(self.parent) - 1, value)
+
+    def _bare(self, i: int) -> bool:
+        """Has the element no text beside its one heading?"""
+        return all(self.parent[k] == i and self.tag[k] in _LEVELS for k in range(i + 1, len(self.parent))) and not any(
+            e == i and not t.isspace() for e, _, t, _ in self.runs[-8:]
+        )
 
 
 def _gathered(parent: list[int], own: np.ndarray) -> np.ndarray:
@@ -170,7 +192,7 @@ def _content(page: _Page, live: list) -> set[int]:
 def _deepest(page: _Page, weight: np.ndarray, share: float) -> int:
     found = 0
     for i in range(1, len(page.parent)):  # a child comes after its parent
-        if page.parent[i] == found and weight[i] >= share * weight[0] and page.tag[i] not in _LEAVES and page.tag[i] not in INLINE:
+        if page.parent[i] == found and weight[i] >= share * weight[0] and page.tag[i] not in _LEAVES and page.tag[i] in BLOCK:
             found = i
     return found
 
@@ -194,8 +216,11 @@ def _article(page: _Page, live: list, weight: np.ndarray, apart: list[bool]) ->
     """The one article or main element with content, else the smallest element with all content."""
     named = _below(page, page.named)
     for kind in ("article", "main"):
-        found = [i for i, t in enumerate(page.tag) if t == kind and weight[i] and not named[i] and not apart[i]]
-        outer = [i for i in found if not any(page.tag[k] == kind for k in _up(page, i)[1:])]
+        of_kind = [t == kind for t in page.tag]
+        within = _below(page, of_kind)
+        outer = [
+            i for i, t in enumerate(of_kind) if t and not within[page.parent[i]] and weight[i] and not named[i] and not apart[i]
+        ]
         if len(outer) == 1:
             return outer[0]
     found = _deepest(page, weight, 1)
@@ -203,11 +228,44 @@ def _article(page: _Page, live: list, weight: np.ndarray, apart: list[bool]) ->
     around = [i for i in line if page.tag[i] in _MAIN]
     if around:
         return around[-1]
-    titles = {i for e, *_ in live for i in _up(page, e) if page.tag[i] == "h1"}
-    wide = max((line.index(next(i for i in _up(page, t) if i in line)) for t in titles), default=0)
+    place = {i: k for k, i in enumerate(line)}
+    meets = [place.get(0, 0)] * len(page.parent)  # where an element's own line meets this one
+    for i in range(1, len(meets)):
+        meets[i] = place[i] if i in place else meets[page.parent[i]]
+    titled = _below(page, [t == "h1" for t in page.tag])
+    wide = max((meets[e] for e, *_ in live if titled[e]), default=0)
     return found if page.tag[line[wide]] in _WHOLE else line[wide]
 
 
+def _headings_without_text(page: _Page, words: list, inside: list[bool], out: list[bool]) -> list[bool]:
+    """Headings (but the title) all of whose text until the next heading, or the end of what they
+    stand in, goes, if there is any."""
+    heading = _below(page, [t in _LEVELS for t in page.tag])
+    last, found = 0, {}
+    nearest = [i if page.tag[i] in _LEVELS else 0 for i in range(len(page.tag))]
+    end = list(range(len(page.tag)))  # the last element within each
+    for i in range(len(end) - 1, 0, -1):
+        end[page.parent[i]] = max(end[page.parent[i]], end[i])
+    for i in range(1, len(nearest)):
+        nearest[i] = nearest[i] or nearest[page.parent[i]]
+    size_of = np.zeros(len(nearest), np.int64)
+    for e, _, _, _, size in words:
+        size_of[e] += size
+    size_of = _gathered(page.parent, size_of)
+    scope = list(page.parent)  # what an element stands in, beside boxes that hold it alone
+    for i in range(1, len(scope)):
+        if scope[i] > 0 and size_of[scope[i]] == size_of[i]:
+            scope[i] = scope[scope[i]]
+    for e, _, _, _, size in words:
+        if heading[e]:
+            last = nearest[e]
+        elif last and size and last < e <= end[scope[last]]:
+            kept, gone = found.get(last, (0, 0))
+            goes = out[e] or not inside[e]
+            found[last] = (kept + (not goes), gone + goes)
+    return [page.tag[i] != "h1" and found.get(i, (1, 0))[0] == 0 and found[i][1] > 0 for i in range(len(page.tag))]
+
+
 def extract(html: str) -> str:
     page = _Page(html)
     words = [(e, b, t, a, len("".join(t.split()))) for e, b, t, a in page.runs]
@@ -219,17 +277,17 @@ def extract(html: str) -> str:
     holds = _gathered(page.parent, holds)
     apart = _below(page, [a and not h for a, h in zip(page.apart, holds)])
     live = [w for w in words if w[4] and not apart[w[0]]]
-    if not live:
-        live, apart = [w for w in words if w[4]], [False] * n
     if not live:
         return ""
     content = _content(page, live)
-    own, off, chosen = (np.zeros(n, np.int64) for _ in range(3))
+    own, off, chosen, linked = (np.zeros(n, np.int64) for _ in range(4))
+    links = np.array([t == "a" for t in page.tag], np.int64)
     for e, _, _, link, size in live:
         own[e] += size
         off[e] += size * (link or page.path[e] not in content)
         chosen[e] += size * (page.path[e] in content)
-    own, off, weight = (_gathered(page.parent, x) for x in (own, off, chosen))
+        linked[e] += size * link
+    own, off, weight, linked, links = (_gathered(page.parent, x) for x in (own, off, chosen, linked, links))
     article = _article(page, live, weight, apart)
     title = np.array([t == "h1" for t in page.tag], np.int64)
     title = _gathered(page.parent, title)
@@ -241,16 +299,17 @@ def extract(html: str) -> str:
         if inside[i] and (page.tag[i] in _HEADINGS or title[i]):
             return False
         judged = page.named[i] or (page.tag[i] == "aside" and page.within[i])
-        return judged and 2 * off[i] > own[i]
+        menu = page.tag[i] in _GROUPS and links[i] > 1 and linked[i] == own[i] and not weight[i]
+        return (judged and 2 * off[i] > own[i]) or menu
 
     out = _below(page, [a or goes(i) for i, a in enumerate(apart)])
     if page.tag[article] in _WHOLE:
         bulk = _deepest(page, weight, ARTICLE_SHARE)
         inside = _below(page, [i == bulk for i in range(n)])
+        titled = _below(page, [t == "h1" for t in page.tag])
         for e, *_ in live:
-            inside[e] = inside[e] or page.path[e] in content or any(page.tag[i] == "h1" for i in _up(page, e))
-    if not any(inside[e] and not out[e] for e, *_ in live):
-        out = apart
+            inside[e] = inside[e] or page.path[e] in content or titled[e]
+    out = _below(page, [a or b for a, b in zip(out, _headings_without_text(page, words, inside, out))])
     blocks: dict[int, list[str]] = {}
     for e, b, text, _, _ in words:
         if inside[e] and not out[e]:

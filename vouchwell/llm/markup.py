@@ -1,7 +1,7 @@
 """A forgiving reader of HTML: tags, text runs, and nothing of scripts, styles and comments.
 
 Its time grows with the page's length: quotation marks that never close, tags that never end and
-nesting without end cost no more than other text.
+nesting of any depth cost no more than other text.
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ from collections.abc import Iterator
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _UNQUOTED = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-#: Elements deeper than this aren't told apart from the one at this depth.
-MAX_DEPTH = 512
 
 # Elements of the HTML standard.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr picture source".split()
+# Those that begin and end a block of their own; all others, known or not, stand within a line.
+BLOCK = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure "
+    "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav optgroup option p plaintext "
+    "pre search section summary table tbody td tfoot th thead tr ul ol".split()
 )
 # An opening tag of the key's set ends an open element of the value's.
 _LISTS = frozenset("ul ol menu dl table".split())
@@ -109,16 +109,39 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield run(len(page))
 
 
-def closed_by(tag: str, stack: list[str]) -> int:
-    """How deep the stack of open tags stays when ``tag`` opens: paragraphs, list items and table
-    cells end without an end tag."""
-    ends = _SIBLINGS.get(tag, frozenset()) | (frozenset() if tag in INLINE else frozenset({"p"}))
-    if not ends:
-        return len(stack)
-    stop = _LISTS | {"div", "section", "article", "body", "td", "th"} - ends
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i] in ends:
-            return i
-        if stack[i] in stop and stack[i] not in ends:
-            break
-    return len(stack)
+_STOPS = _LISTS | {"div", "section", "article", "body", "td", "th"}
+
+
+class Stack:
+    """The open elements: their numbers, and for each tag the depths at which it is open, so that no
+    question about them takes longer where they are many."""
+
+    def __init__(self):
+        self.numbers, self.tags = [0], ["#"]
+        self.open: dict[str, list[int]] = {}
+
+    def push(self, number: int, tag: str) -> None:
+        self.open.setdefault(tag, []).append(len(self.tags))
+        self.numbers.append(number)
+        self.tags.append(tag)
+
+    def cut(self, depth: int) -> list[int]:
+        """Closes all from ``depth`` on: their numbers, innermost first."""
+        gone = self.numbers[depth:][::-1]
+        for tag in self.tags[depth:]:
+            self.open[tag].pop()
+        del self.numbers[depth:], self.tags[depth:]
+        return gone
+
+    def last(self, tag: str) -> int:
+        """The depth of the innermost open ``tag``, or -1."""
+        depths = self.open.get(tag)
+        return depths[-1] if depths else -1
+
+    def closed_by(self, tag: str) -> int:
+        """How deep the stack stays when ``tag`` opens: paragraphs, list items and table cells end
+        without an end tag."""
+        ends = _SIBLINGS.get(tag, frozenset()) | ({"p"} if tag in BLOCK else frozenset())
+        found = max(map(self.last, ends), default=-1)
+        stop = max(map(self.last, _STOPS - ends), default=-1)
+        return found if found > stop else len(self.tags)

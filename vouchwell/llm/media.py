@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vouchwell.llm.markup import INLINE, attributes, tokens
+from vouchwell.llm.markup import BLOCK, attributes, tokens
 
 #: Samples in a row of the stored image, and what a payload's length is a multiple of.
 WIDTH = 192
@@ -52,7 +52,7 @@ def sequence(html: str) -> list[dict]:
         if kind == "text":
             (text if caption is None else caption).append(value)
         elif kind == "open":
-            if value not in INLINE or value in _MEDIA:
+            if value in BLOCK or value in _MEDIA:
                 if caption is None:
                     flush()
             if value == "figure":
@@ -74,7 +74,7 @@ def sequence(html: str) -> list[dict]:
                 for item in figure or []:
                     item["caption"] = said or item["caption"]
                 caption = None
-            elif value not in INLINE and caption is None:
+            elif value in BLOCK and caption is None:
                 flush()
             if value == "figure":
                 figure = None
