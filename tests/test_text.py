@@ -190,3 +190,80 @@ def test_very_long_texts_take_seconds(spark):
     rows = [(f'{{"a": "{body}"{end}',) for body in (plain, escapes) for end in ("}", "")] + [(f'{{"a": "{escapes}',)]
     got = applied(spark, rows, "t string", json_object(F.col("t"))["failure"])
     assert got == [None, "unterminated", None, "unterminated", "unterminated"]
+
+
+def _worst():
+    from vouchwell.functions.guard import sendable_kind
+    from vouchwell.functions.identity import emails, handles
+    from vouchwell.functions.timeline import direction, spans
+
+    n = F.length
+    marks, lines_, words = "<" * LONG, "\n" * LONG, "from " * (LONG // 5)
+    return {
+        "letters without an at sign": ("a" * LONG, lambda t: F.size(emails(t)), 0),
+        "an at sign, then letters": ("a@" + "b" * LONG, lambda t: F.size(emails(t)), 0),
+        "full stops after an at sign": ("a@b" + ".c" * (LONG // 2), lambda t: F.size(emails(t)), 0),
+        "addresses in a row": ("a@b.cd_" * (LONG // 7), lambda t: F.size(emails(t)), 1),
+        "handles": ("linkedin.com/in/" * (LONG // 16), lambda t: F.size(handles(t)), 0),
+        "tags without end": (marks, lambda t: n(T.html_text(t)), LONG),
+        "scripts without end": ("<script" * (LONG // 7), lambda t: n(T.html_text(t)), LONG // 7 * 7),
+        "styles without end after a script": ("<script></script>" + "<style" * (LONG // 6), lambda t: n(T.html_text(t)), LONG // 6 * 6),
+        "scripts without end after a style": ("<STYLE></style>" + "<script" * (LONG // 7), lambda t: n(T.html_text(t)), LONG // 7 * 7),
+        "thoughts without end": ("<think>" * (LONG // 7), lambda t: n(T.strip_thinking(t)), LONG // 7 * 7),
+        "line ends": (lines_ + "x", lambda t: sendable_kind(t), None),
+        "blanks": (" " * LONG + "x", lambda t: sendable_kind(t), None),
+        "salutations": ("hi  " * (LONG // 4) + "1", lambda t: sendable_kind(F.concat(F.lit("1"), t)), None),
+        "sign-offs": ("thanks," + "\t " * (LONG // 2), lambda t: sendable_kind(t), None),
+        "moves from nowhere": (words, lambda t: direction(t, spans(F.lit(""))), None),
+    }
+
+
+WORST = ("letters without an at sign", "an at sign, then letters", "full stops after an at sign", "addresses in a row", "handles", "tags without end",
+         "scripts without end", "styles without end after a script", "scripts without end after a style", "thoughts without end", "line ends", "blanks",
+         "salutations", "sign-offs", "moves from nowhere")
+
+
+@pytest.mark.parametrize("name", WORST)
+def test_worst_inputs_take_two_seconds(spark, name):
+    import time
+
+    text, of, want = _worst()[name]
+    applied(spark, [("x",)], "t string", of(F.col("t")))  # compiled once
+    began = time.perf_counter()
+    assert applied(spark, [(text,)], "t string", of(F.col("t"))) == [want]
+    assert time.perf_counter() - began < 4  # two seconds, and the session's own
+
+
+CODE = [
+    "a<script>b</script>c<style>d</style>e",
+    "<style>a<script>b</style>c</script>d",
+    "<script>a<style>b</script>c</style>d<script>e",
+    "a<STYLE>b</style>c<style>d<script>e</Script >f</script>g<style>h",
+    "<script<script></script></script><style",
+    "\ufdd0<style>a</style>\ufdd0<script>b",
+    "<><a><<b>>c>",
+    "no tags",
+    "",
+]
+
+
+def test_code_is_left_out_as_the_plain_pattern_has_it(spark):
+    def plain(page):
+        bare = re.sub(r"<script.*?</script>|<style.*?</style>", " ", page, flags=re.I | re.S)
+        return re.sub(r"\s{2,}", " ", re.sub(r"<[^>]+>", " ", bare)).strip(" ")
+
+    assert applied(spark, [(c,) for c in CODE], "t string", T.html_text(F.col("t"))) == [plain(c) for c in CODE]
+
+
+def test_addresses_are_those_of_the_plain_pattern(spark):
+    from vouchwell.functions.identity import EMAIL, emails
+
+    texts = ["a@b.com_x@y.org", "a.b@c.de,f@g.h.ij k@l", "@a@b.cc@d.ee", "x@y..zz a@b.c1 a+b%c@d-e.fgh1", "a@b.cdz@e.fg"]
+    assert applied(spark, [(t,) for t in texts], "t string", emails(F.col("t"))) == [list(dict.fromkeys(re.findall(EMAIL, t))) for t in texts]
+
+
+def test_salutations_at_the_start_of_a_line(spark):
+    from vouchwell.functions.guard import sendable_kind
+
+    texts = ["x\n \n\t hey you", "x hey you", "\r\n dear me", "x\rhello", "say\n1 hi"]
+    assert applied(spark, [(t,) for t in texts], "t string", sendable_kind(F.col("t"))) == ["salutation", None, "salutation", None, None]

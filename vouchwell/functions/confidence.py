@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vouchwell.functions.rounding import round_half_even
 from vouchwell.functions.text import canonical
 
 # Fixed values.
@@ -19,13 +20,13 @@ def beat_confidence(reported: Column, evidence: Column) -> Column:
     short quote lowers."""
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(reported, F.lit(CEILING_THIN))))
     ceiling = F.when(F.length(canonical(evidence)) >= SUBSTANTIVE_SPAN_CHARS, F.lit(CEILING_SUBSTANTIVE)).otherwise(F.lit(CEILING_THIN))
-    return F.bround(F.least(value, ceiling), 2)
+    return round_half_even(F.least(value, ceiling), 2)
 
 
 def arc_confidence(kept: Column, proposed: Column, distinct: Column, mean: Column) -> Column:
     """Share of claims that held x coverage by distinct quotes x their mean confidence."""
     score = (kept / proposed) * F.least(F.lit(1.0), distinct / F.lit(TARGET_DISTINCT_SPANS)) * mean
-    return F.when((proposed > 0) & (kept > 0), F.bround(score, 2)).otherwise(F.lit(0.0))
+    return F.when((proposed > 0) & (kept > 0), round_half_even(score, 2)).otherwise(F.lit(0.0))
 
 
 def coverage_score(kept: Column, distinct: Column, mean: Column) -> Column:
@@ -34,4 +35,4 @@ def coverage_score(kept: Column, distinct: Column, mean: Column) -> Column:
 
 
 def drop_rate(dropped: Column, proposed: Column) -> Column:
-    return F.when(proposed > 0, F.bround(dropped / proposed, 3)).otherwise(F.lit(0.0))
+    return F.when(proposed > 0, round_half_even(dropped / proposed, 3)).otherwise(F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The patterns in the order they are tried, and what each finds.
 PATTERNS = (
     (r"(?iu)\b(hi|hey|hello|dear)\b[ ,]+[A-Z][a-z]+", "salutation"),
-    (r"(?ium)^\s*(hi|hey|hello|dear)\b", "salutation"),
+    (r"(?iumd)^[ \t\r\x0b\f]*(hi|hey|hello|dear)\b", "salutation"),  # lines above it of white space change nothing
     (r"(?iu)\b(best|regards|cheers|thanks|sincerely|warmly)\s*,\s*\n", "sign-off"),
     (r"(?iu)\b(best|kind) regards\b", "sign-off"),
     (r"(?iu)\bi(?:'d| would) love to (chat|talk|connect|hear)\b", "second-person pitch"),

@@ -10,7 +10,11 @@ from vouchwell.functions.text import lines, strip
 
 # Fixed values.
 HANDLE = r"(?i)linkedin\.com/in/([A-Za-z0-9\-_%]+)"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_LOCAL = "[A-Za-z0-9._%+-]"
+EMAIL = _LOCAL + r"+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# The same addresses, looked for only where a run of their first characters begins or an address has ended:
+# a run without an at sign is read once, not from each of its places.
+_EMAIL_ONCE = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}"
 
 
 def handles(text: Column) -> Column:
@@ -19,7 +23,7 @@ def handles(text: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_EMAIL_ONCE), F.lit(0)), F.lower))
 
 
 def repeated_sections(text: Column) -> Column:

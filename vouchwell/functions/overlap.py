@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vouchwell.functions.lexicon import STOPWORDS
+from vouchwell.functions.rounding import round_half_even
 
 # Fixed value: the shape of a term. A full stop sticks to the word before it.
 TERM = r"[a-z][a-z+#.]{2,}"
@@ -25,7 +26,7 @@ def shared_terms(role_terms: Column, profile_terms: Column) -> Column:
         both.alias("matched"),
         F.size(both).alias("matched_count"),
         n.alias("role_term_count"),
-        F.when(n > 0, F.bround(F.size(both) / n, 3)).otherwise(F.lit(0.0)).alias("ratio"),
+        F.when(n > 0, round_half_even(F.size(both) / n, 3)).otherwise(F.lit(0.0)).alias("ratio"),
     )
 
 

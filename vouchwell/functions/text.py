@@ -80,16 +80,55 @@ def lines(text: Column) -> Column:
     return F.when(F.length(whole) == 0, F.array().cast("array<string>")).otherwise(F.split(closed, "\n"))
 
 
+def _last_end(text: Column, mark: str) -> Column:
+    """Where the last ``mark`` (in lower case; any ASCII case in the text) ends, 0 if there is none."""
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    at = F.instr(F.reverse(lowered), F.lit(mark[::-1]))
+    return F.when(at > 0, F.length(text) - at + 1).otherwise(0)
+
+
+def _up_to(text: Column, end: Column, change) -> Column:
+    """``change`` applied to the first ``end`` characters alone. A pattern that needs an end mark is
+    tried only where one follows, so openings without an end don't each read all that comes after."""
+    whole = F.substring(text, F.lit(1), end)
+    return F.when(end > 0, F.concat(change(whole), F.substring(text, end + 1, F.length(text)))).otherwise(text)
+
+
 def strip_thinking(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
+    """Without the parts between thinking marks; one that never ends stays."""
+    return _up_to(text, _last_end(text, "</think>"), lambda t: F.regexp_replace(t, r"(?is)<think>.*?</think>", ""))
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[^{SPACE_CLASS}]+"))
 
 
+#: Stands in an opening that has no end, while the others are looked for.
+_SHUT = "\ufdd0"
+
+
+def _without_code(page: Column) -> Column:
+    """Each script and style block as a space. After the last end of the one kind, its openings are
+    shut, so that only openings with an end ahead are tried."""
+    block = r"(?is)<script.*?</script>|<style.*?</style>"
+
+    def of(t):
+        ends = F.struct(_last_end(t, "</script>").alias("script"), _last_end(t, "</style>").alias("style"))
+
+        def cut(e):
+            first, last = F.least(e["script"], e["style"]), F.greatest(e["script"], e["style"])
+            kind = F.when(e["script"] < e["style"], F.lit("(?i)<(?=script)")).otherwise(F.lit("(?i)<(?=style)"))
+            between = F.regexp_replace(F.substring(t, first + 1, last - first), kind, F.lit("<" + _SHUT))
+            bare = F.regexp_replace(F.concat(F.substring(t, F.lit(1), first), between), F.lit(block), F.lit(" "))
+            return F.concat(F.replace(bare, F.lit(_SHUT), F.lit("")), F.substring(t, last + 1, F.length(t)))
+
+        return F.when(e_none(ends), t).when(F.contains(t, F.lit(_SHUT)), F.regexp_replace(t, block, " ")).otherwise(let(ends, cut))
+
+    e_none = lambda e: F.greatest(e["script"], e["style"]) == 0
+    return let(page, of)
+
+
 def html_text(html: Column) -> Column:
     """Page text the plain way: no scripts, styles or tags, runs of spaces made one."""
-    bare = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>", " ")
-    bare = F.regexp_replace(bare, r"<[^>]+>", " ")
+    bare = let(_without_code(html), lambda t: _up_to(t, _last_end(t, ">"), lambda u: F.regexp_replace(u, "<[^>]++>", " ")))
     return F.btrim(F.regexp_replace(bare, f"{SPACE}{{2,}}", " "))

@@ -171,7 +171,8 @@ def proves_departure(quote: Column, found: Column, text: Column) -> Column:
     return let(with_stems(found), lambda s: departure_shown(quote, s, text))
 
 
-_MOVE = r"(?U)\bfrom\b(.+?)\b(?:to|into|toward|towards)\b(.+)"
+# the first "from" alone: where nothing follows it, nothing follows a later one
+_MOVE = r"(?U)^(?>.*?\bfrom\b)(.+?)\b(?:to|into|toward|towards)\b(.+)"
 
 
 def stated_move(claim: Column, stemmed: Column) -> Column:

@@ -14,6 +14,7 @@ from vouchwell.functions import responses as R
 from vouchwell.functions.confidence import arc_confidence, beat_confidence, drop_rate
 from vouchwell.functions.gate import gate
 from vouchwell.functions.identity import one_person
+from vouchwell.functions.lexicon import MODES
 from vouchwell.functions.text import canonical, haystack, is_verbatim, let, strip, strip_thinking, tidy_quote
 from vouchwell.functions.timeline import departure_shown, spans, stated_move, with_stems
 from vouchwell.operators.drops import drop_verdicts
@@ -21,20 +22,29 @@ from vouchwell.operators.drops import drop_verdicts
 KINDS = ("departures", "pursuits")
 
 
-def read_responses(profiles: DataFrame, responses: DataFrame) -> DataFrame:
-    """Profiles with their response's data, failure ("no_object", "unterminated", "malformed",
-    "no_throughline", "no_response" or null), throughline, haystack and spans."""
+def _answered(profiles: DataFrame, responses: DataFrame) -> DataFrame:
+    """Profiles with their response's data, failure and throughline."""
     joined = profiles.join(responses.select("profile_id", "content"), "profile_id", "left")
     parsed = joined.withColumn("_j", R.json_object(strip_thinking(F.col("content"))))
     throughline = strip(R.as_text(R.field(F.col("_j.data"), "throughline")))
     failure = F.when(F.col("content").isNull(), F.lit("no_response")).otherwise(F.col("_j.failure"))
-    return (
-        parsed.withColumn("throughline", F.coalesce(throughline, F.lit("")))
-        .withColumn("failure", F.coalesce(failure, F.when(F.col("throughline") == "", F.lit("no_throughline"))))
-        .withColumn("data", F.col("_j.data"))
-        .withColumn("hay", haystack(F.col("raw_text")))
-        .withColumn("spans", with_stems(spans(F.col("raw_text"))))
-        .drop("_j", "content")
+    said = parsed.withColumn("throughline", F.coalesce(throughline, F.lit(""))).withColumn("data", F.col("_j.data"))
+    thin = F.when(F.col("throughline") == "", F.lit("no_throughline"))
+    return said.withColumn("failure", F.coalesce(failure, thin)).drop("_j", "content")
+
+
+def read_failures(profiles: DataFrame, responses: DataFrame) -> DataFrame:
+    """profile_id and failure ("no_object", "unterminated", "malformed", "no_throughline" or
+    "no_response") of those without a usable response; of the profiles, only the key is read."""
+    found = _answered(profiles.select("profile_id"), responses)
+    return found.filter("failure is not null").select("profile_id", "failure")
+
+
+def read_responses(profiles: DataFrame, responses: DataFrame) -> DataFrame:
+    """Profiles with their response's data, failure (as in ``read_failures``, or null), throughline,
+    haystack and spans."""
+    return _answered(profiles, responses).withColumns(
+        {"hay": haystack(F.col("raw_text")), "spans": with_stems(spans(F.col("raw_text")))}
     )
 
 
@@ -52,14 +62,14 @@ def proposed(data: Column) -> Column:
     return F.transform(every, lambda c: c.withField("needle", canonical(c["evidence"])))
 
 
-def judged(claim: Column, hay: Column, stemmed: Column, raw_text: Column, whole_words: bool) -> Column:
+def judged(claim: Column, hay: Column, stemmed: Column, raw_text: Column, whole_words: bool, modes=MODES) -> Column:
     """``claim`` with outcome ("kept", "unverified", "contradicts_dates" or "unsupported"), and the
     gate's rule and missing numbers for one that stands in the text. A claim of departure that its
     quote doesn't voice stands if the record's dates prove it; later rules aren't asked then."""
     said, quote = claim["description"], claim["evidence"]
     stands = (said != "") & is_verbatim(claim["needle"], hay)
     asked = F.when(
-        stands, F.struct(gate(said, quote, whole_words=whole_words).alias("gate"), stated_move(said, stemmed).alias("move"))
+        stands, F.struct(gate(said, quote, modes, whole_words).alias("gate"), stated_move(said, stemmed).alias("move"))
     )
 
     def outcome(a):
@@ -83,11 +93,11 @@ def judged(claim: Column, hay: Column, stemmed: Column, raw_text: Column, whole_
     return let(asked, outcome)
 
 
-def gated(read: DataFrame, whole_words: bool = False) -> DataFrame:
+def gated(read: DataFrame, whole_words: bool = False, modes=MODES) -> DataFrame:
     """``read`` with claims, the array of judged claims; null where the response wasn't usable."""
     claims = F.when(F.col("failure").isNull(), proposed(F.col("data")))
     return read.withColumn("_claims", claims).withColumn(
-        "claims", F.transform("_claims", lambda c: judged(c, F.col("hay"), F.col("spans"), F.col("raw_text"), whole_words))
+        "claims", F.transform("_claims", lambda c: judged(c, F.col("hay"), F.col("spans"), F.col("raw_text"), whole_words, modes))
     ).drop("_claims")
 
 
@@ -133,11 +143,14 @@ def dropped_claims(tested: DataFrame) -> DataFrame:
     return _rows(searched.select("profile_id", every.alias("_d")), "_d")
 
 
+def supporting_quotes(raw: Column, hay: Column, claim: Column, modes=MODES) -> Column:
+    """The strings of ``raw`` that stand in the text and, where there is a claim, support it."""
+    return F.filter(raw, lambda q: is_verbatim(canonical(q), hay) & ((claim == "") | gate(claim, q, modes)["ok"]))
+
+
 def verified_quotes(raw: Column, hay: Column, claim: Column) -> Column:
-    """The strings of ``raw`` that stand in the text and, where there is a claim, support it; tidied,
-    without repeats, in their order."""
-    good = F.filter(raw, lambda q: is_verbatim(canonical(q), hay) & ((claim == "") | gate(claim, q)["ok"]))
-    return F.array_distinct(F.transform(good, tidy_quote))
+    """``supporting_quotes``, tidied, without repeats, in their order."""
+    return F.array_distinct(F.transform(supporting_quotes(raw, hay, claim), tidy_quote))
 
 
 def arcs(tested: DataFrame) -> DataFrame:

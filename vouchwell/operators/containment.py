@@ -3,13 +3,20 @@
 Keyed (the quote names its document) it is an equi-join and a substring test. Unkeyed, a document
 that holds a quote holds all of its 12-byte grams, so quotes and documents meet on one gram of the
 quote, the one with the least hash: every true match has at least the least span length, which makes
-it lossless, and quotes that begin alike still have keys of their own. Each task looks a document's
-grams up in a bitmap of the quotes' keys; only documents with a hit go on, with the text in the row,
-to the join and the substring test.
+it lossless, and quotes that begin alike still have keys of their own.
+
+Each task looks a document's grams up in a Bloom filter of the quotes' keys, sized by their number.
+What passes are rows of a text's digest and a gram, without the text; they meet the quotes by the
+gram. Only then do texts that had a hit meet their candidates, by the digest, for the substring test:
+a text moves once, however many of its grams hit, and not at all where none does. More quotes than
+one filter is meant for are dealt into ranges of their keys, each with a filter and a pass of its own,
+so a task's memory has the same bound for any number of quotes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +24,10 @@ from pyspark.sql import functions as F
 
 from vouchwell.functions.text import MIN_SPAN_CHARS, canonical, haystack, is_verbatim
 
-#: The bitmap of quote keys has 2 to this number of bits, whatever the number of quotes.
-BITMAP_BITS = 22
+#: Keys that one filter is made for, with FILTER_BITS bits each: 32 MB at most in a task.
+KEYS_A_FILTER = 1 << 23
+FILTER_BITS = 32
+PROBES = 3
 #: Bytes of text whose grams are hashed at a time.
 SLAB_BYTES = 1 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9], np.uint64)
@@ -35,6 +44,32 @@ def gram_hashes(raw: bytes) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) * _MIX[1]
 
 
+class Bloom:
+    """A set of hashes that says yes to all of its own, and to about one other in a thousand."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(10, int(np.ceil(np.log2(max(1, len(keys)) * FILTER_BITS))))
+        self.shift, self.bits = np.uint64(64 - bits), np.zeros(1 << bits - 3, np.uint8)
+        for k in range(PROBES):
+            at = self._place(keys, k)
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def _place(self, h: np.ndarray, k: int) -> np.ndarray:
+        return (h * _MIX[k]) >> self.shift
+
+    def passing(self, h: np.ndarray) -> np.ndarray:
+        for k in range(PROBES):
+            at = self._place(h, k)
+            h = h[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        return h
+
+    def of_text(self, raw: bytes) -> np.ndarray:
+        found = []
+        for at in range(0, len(raw), SLAB_BYTES):
+            found.append(self.passing(gram_hashes(raw[at : at + SLAB_BYTES + MIN_SPAN_CHARS - 1])))
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
 def _key_batches(batches):
     for batch in batches:
         keys = [int(gram_hashes(t.as_py().encode()).min()) for t in batch.column("needle")]
@@ -43,24 +78,25 @@ def _key_batches(batches):
         )
 
 
-def _hit_batches(bitmap: np.ndarray):
-    shift = np.uint64(64 - BITMAP_BITS)
-
-    def hits(raw: bytes) -> np.ndarray:
-        found = []
-        for at in range(0, len(raw), SLAB_BYTES):
-            h = gram_hashes(raw[at : at + SLAB_BYTES + MIN_SPAN_CHARS - 1])
-            found.append(h[bitmap[h >> shift]])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+def _gram_batches(bloom: Bloom):
+    """Of each text its digest and the grams that pass."""
 
     def run(batches):
         for batch in batches:
-            found = [hits(t.as_py().encode()) for t in batch.column("hay")]
-            ends = pa.array(np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32))
+            found = [bloom.of_text(t.as_py().encode()) for t in batch.column("hay")]
+            whose = np.repeat(np.arange(len(found)), [len(x) for x in found])
             flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-            grams = pa.ListArray.from_arrays(ends, pa.array(flat))
-            whole = pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("hay"), grams], names=["_d", "hay", "grams"])
-            yield whole.filter(pa.array(np.diff(np.asarray(ends)) > 0))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(whose)), pa.array(flat)], names=["key", "gram"])
+
+    return run
+
+
+def _text_batches(bloom: Bloom):
+    """The texts with a gram that passes."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([len(bloom.of_text(t.as_py().encode())) > 0 for t in batch.column("hay")], pa.bool_()))
 
     return run
 
@@ -73,16 +109,29 @@ def verify_keyed(claims: DataFrame, profiles: DataFrame, key: str = "profile_id"
     return joined.withColumn("verbatim", F.coalesce(is_verbatim(needle, F.col("_hay")), F.lit(False))).drop("_hay")
 
 
+def key_filters(keyed: DataFrame) -> list[Bloom]:
+    """A filter per range of the quotes' keys. Keys come to the driver one range at a time, and
+    about KEYS_A_FILTER of them at most."""
+    grams = keyed.select("gram").distinct()
+    n = grams.count()
+    ranges = -(-n // KEYS_A_FILTER)
+    within = lambda r: grams.filter(F.pmod(F.hash("gram"), F.lit(ranges)) == r) if ranges > 1 else grams
+    return [Bloom(within(r).toArrow().column("gram").to_numpy().view(np.uint64)) for r in range(ranges)]
+
+
 def find_quotes(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: str, doc_id: str, text: str) -> DataFrame:
     """(quote_id, doc_id) of every quote and document where the quote stands in the document, a row
     per pair of rows: repeated rows and null ids count as rows of their own."""
     kinds = {c: t.schema[c].dataType.simpleString() for t, c in ((quotes, quote_id), (docs, doc_id))}
     needles = quotes.select(F.col(quote_id).alias("_q"), canonical(F.col(quote)).alias("needle")).filter(F.length("needle") >= MIN_SPAN_CHARS)
     keyed = needles.mapInArrow(_key_batches, f"_q {kinds[quote_id]}, needle string, gram long")
-    places = keyed.select(F.shiftrightunsigned("gram", 64 - BITMAP_BITS).cast("int").alias("p")).distinct()
-    bitmap = np.zeros(1 << BITMAP_BITS, bool)
-    bitmap[places.toArrow().column("p").to_numpy()] = True  # 2**BITMAP_BITS rows at most
-    hays = docs.select(F.col(doc_id).alias("_d"), haystack(F.col(text)).alias("hay"))
-    hit = hays.mapInArrow(_hit_batches(bitmap), f"_d {kinds[doc_id]}, hay string, grams array<long>")
-    met = hit.select("_d", "hay", F.explode("grams").alias("gram")).join(keyed, "gram")
-    return met.filter(F.contains("hay", F.col("needle"))).select(F.col("_q").alias(quote_id), F.col("_d").alias(doc_id))
+    hays = docs.select(F.col(doc_id).alias("_d"), haystack(F.col(text)).alias("hay")).withColumn("key", F.unhex(F.md5("hay")))
+
+    def met(bloom: Bloom) -> DataFrame:
+        grams = hays.select("key", "hay").mapInArrow(_gram_batches(bloom), "key binary, gram long").distinct()
+        held = hays.mapInArrow(_text_batches(bloom), f"_d {kinds[doc_id]}, hay string, key binary")
+        pairs = held.join(grams.join(keyed, "gram").select("key", "_q", "needle"), "key")
+        return pairs.filter(F.contains("hay", F.col("needle"))).select(F.col("_q").alias(quote_id), F.col("_d").alias(doc_id))
+
+    none = keyed.limit(0).select(F.col("_q").alias(quote_id), F.lit(None).cast(kinds[doc_id]).alias(doc_id))
+    return reduce(DataFrame.unionByName, map(met, key_filters(keyed)), none)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vouchwell.functions.rounding import round_half_even
+
 # Fixed value.
 HISTORY = 8
 
@@ -16,16 +18,25 @@ def differences(before: DataFrame, now: DataFrame, key: str, value: str) -> Data
     return a.join(b, key, "full_outer").filter(~F.col("before").eqNullSafe(F.col("now")))
 
 
-def flatten_json(rows: DataFrame, key: str, body: str, levels: int = 8) -> DataFrame:
-    """key, path (dotted) and value of a JSON object's fields, down to ``levels`` levels of nesting."""
-    parts = lambda c: F.from_json(c, "map<string, string>")
-    flat = rows.select(F.col(key), F.explode(parts(F.col(body))).alias("path", "value"))
-    for _ in range(levels - 1):
-        inner = F.when(F.col("value").startswith("{"), parts(F.col("value")))
-        flat = flat.select(key, "path", "value", F.explode_outer(inner).alias("_p", "_v")).select(
-            key, F.concat_ws(".", "path", "_p").alias("path"), F.when(F.col("_p").isNull(), F.col("value")).otherwise(F.col("_v")).alias("value")
-        )
-    return flat
+_FLAT = """
+WITH RECURSIVE opened (k, path, value) AS (
+  SELECT k, '', value FROM {bodies}
+  UNION ALL
+  SELECT k, concat_ws('.', nullif(path, ''), e.key), e.value
+  FROM opened, LATERAL variant_explode(opened.value) AS e WHERE schema_of_variant(opened.value) LIKE 'OBJECT<%')
+SELECT k, path, try_variant_get(value, '$', 'string') AS value FROM opened WHERE schema_of_variant(value) NOT LIKE 'OBJECT<%'
+"""
+
+
+def flatten_json(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """key, path (dotted) and value, as text, of the fields of each row's JSON object. Each step
+    opens the objects found by the one before, down to where there are none (at most as many steps
+    as ``spark.sql.cteRecursionLevelLimit`` says, beyond which the query fails). Rows that hold no
+    object, and empty objects, give none."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # it bounds all rows of a query together
+    bodies = rows.select(F.col(key).alias("k"), F.try_parse_json(F.col(body)).alias("value")).filter("schema_of_variant(value) LIKE 'OBJECT<%'")
+    return spark.sql(_FLAT, bodies=bodies).withColumnRenamed("k", key)
 
 
 def condition_rollup(graded: DataFrame) -> DataFrame:
@@ -43,7 +54,7 @@ def condition_rollup(graded: DataFrame) -> DataFrame:
             F.count_if(some & (F.col("good") == 0)).alias("fully_invented"),
         )
         .withColumn("fabricated", F.col("claims") - F.col("verbatim"))
-        .withColumn("fabrication_rate", F.bround(F.col("fabricated") / F.nullif("claims", F.lit(0)), 3))
+        .withColumn("fabrication_rate", round_half_even(F.col("fabricated") / F.nullif("claims", F.lit(0)), 3))
     )
 
 

@@ -45,6 +45,14 @@ def _lines(x: str) -> str:
     return f"CASE WHEN length({x}) = 0 THEN []::VARCHAR[] ELSE string_split(regexp_replace({whole}, '\\n\\z', ''), chr(10)) END"
 
 
+def half_even(x: str, digits: int) -> str:
+    """A column rounded on its exact value: the product's error is found by halves of its bits."""
+    s = f"CAST(1e{digits} AS DOUBLE)"
+    up = f"(134217729.0::DOUBLE * {x} - (134217729.0::DOUBLE * {x} - {x}))"
+    over = f"(({x} * {s} - floor({x} * {s}) - 0.5::DOUBLE) + (({up} * {s} - {x} * {s}) + ({x} - {up}) * {s}))"
+    return f"(floor({x} * {s}) + CASE WHEN {over} > 0 OR ({over} = 0 AND floor({x} * {s}) % 2 = 1) THEN 1 ELSE 0 END) / {s}"
+
+
 def _rule(claim: str, quote: str, modes) -> str:
     def has(x, words):
         padded = f"' ' || {_collapse(f'lower({x})')} || ' '"
@@ -71,7 +79,7 @@ _SPANS = """spans AS (
 def _java_to_re2(pattern: str) -> str:
     """Flags as RE2 has them; its word class spelled out for all letters."""
     unicode = pattern.startswith("(?U)") or pattern.startswith("(?iUu)")
-    for flags, plain in (("(?iUu)", "(?i)"), ("(?U)", ""), ("(?iu)", "(?i)"), ("(?ium)", "(?im)")):
+    for flags, plain in (("(?iUu)", "(?i)"), ("(?U)", ""), ("(?iu)", "(?i)"), ("(?iumd)", "(?im)")):
         if pattern.startswith(flags):
             pattern = plain + pattern[len(flags) :]
     if unicode:
@@ -186,7 +194,8 @@ SELECT source, proposed, kept,
     "condition_rollup": """
 WITH r AS (SELECT lang AS condition, source, count(*) AS claims, count(*) FILTER (quality = 1) AS good FROM documents JOIN labels USING (doc_id) GROUP BY ALL)
 SELECT condition, CAST(sum(claims) AS BIGINT) AS claims, CAST(sum(good) AS BIGINT) AS verbatim, CAST(sum(claims - good) AS BIGINT) AS fabricated,
-       count(*) FILTER (good = claims) AS fully_clean, count(*) FILTER (good = 0) AS fully_invented FROM r GROUP BY condition""",
+       count(*) FILTER (good = claims) AS fully_clean, count(*) FILTER (good = 0) AS fully_invented,
+       round_even(CAST(sum(claims - good) AS DOUBLE) / sum(claims), 3) AS fabrication_rate FROM r GROUP BY condition""",
     "region_text": """
 SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey""",
     "latest_events": """
@@ -202,8 +211,7 @@ FROM spans JOIN customer ON o_custkey = c_custkey""",
     "claim_verification": f"""
 WITH p AS (SELECT doc_id, text FROM documents WHERE length(text) >= 80),
 q AS (SELECT doc_id, {_canonical('substr(text, 5, 60)')} AS needle, lower({_normal('text')}) AS hay FROM p),
-k AS (SELECT doc_id, CAST(length(needle) >= 12 AND contains(hay, needle) AS BIGINT) AS kept, length(needle) AS n FROM q)
-SELECT doc_id AS profile_id, CAST(3 AS BIGINT) AS proposed, kept,
-       CASE WHEN kept = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST(1 AS DOUBLE) / 3 * 0.25 * CASE WHEN n >= 40 THEN 0.9 ELSE 0.6 END, 2) END AS confidence
-FROM k""",
+k AS (SELECT doc_id, CAST(length(needle) >= 12 AND contains(hay, needle) AS BIGINT) AS kept, length(needle) AS n FROM q),
+s AS (SELECT *, kept / 3::DOUBLE * least(1::DOUBLE, kept / 4::DOUBLE) * CASE WHEN n >= 40 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS score FROM k)
+SELECT doc_id AS profile_id, CAST(3 AS BIGINT) AS proposed, kept, {half_even('score', 2)} AS confidence FROM s""",
 }

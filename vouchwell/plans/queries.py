@@ -178,7 +178,7 @@ def condition_rollup(spark, sf_dir):
     """Graded rows by run and condition."""
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
     g = d.select(F.col("lang").alias("condition"), F.col("source").alias("profile"), (F.col("quality") == 1).alias("verbatim"))
-    return records.condition_rollup(g).select("condition", "claims", "verbatim", "fabricated", "fully_clean", "fully_invented")
+    return records.condition_rollup(g).select("condition", "claims", "verbatim", "fabricated", "fully_clean", "fully_invented", "fabrication_rate")
 
 
 def region_text(spark, sf_dir):
