@@ -119,3 +119,31 @@ def test_repeated_rows_are_drawn_one_by_one(spark):
         assert {r.source: r["n"] for r in got} == dict.fromkeys("abcd", 400)
         for r in got:
             assert abs(r.taken - r.target) <= 16, r
+
+
+def test_ids_of_other_kinds(spark):
+    docs = odd_documents(spark)
+    for kind in ("smallint", "decimal(20,0)"):
+        cast = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+        for name in ("spotsigs", "packing", "similar_sets", "substrings"):
+            assert OPERATORS[name](cast).count() >= docs.count(), (kind, name)
+
+
+def test_values_of_odd_rows(spark):
+    """What nulls, repeats and blank texts give, row by row."""
+    docs = odd_documents(spark).filter("doc_id is null or doc_id not in (3, 4)")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    marks = {r.doc_id: r for r in spotsigs.compare_neighbours(docs).collect()}
+    assert (marks[1].n_chars, marks[1].near_edited) == (0, 1.0) and marks[1].fingerprint == marks[2].fingerprint
+    assert marks[6].fingerprint and marks[8].n_chars == 3
+    same = [r for r in spotsigs.compare_neighbours(docs).collect() if r.doc_id == 6]
+    assert len(same) == 2 and max(r.near_next for r in same) == 1.0
+    pieces = sorted(packing.pack_documents(docs, queries.tokenizer_path()).collect(), key=key)
+    assert [(r.doc_id, r.length, r.doc_tokens) for r in pieces][:2] == [(1, 1, 1), (2, 1, 1)]
+    assert sum(r.doc_id == 6 for r in pieces) == 2 and pieces[-1].doc_id is None
+    prints = {r.doc_id: r for r in simhash.components(docs).collect()}
+    assert prints[1].fp == prints[2].fp == prints[5].fp == 0 and {prints[i].component_id for i in (1, 2, 5)} == {1}
+    assert prints[6].component_id == 6 and prints[None].component_id is None
+    sets = [r for r in spotsigs.similar_sets(docs).collect()]
+    assert len({r.class_key for r in sets if r.doc_id in (1, 2, 5)}) == 1
+    assert len({r.component_key for r in sets}) > 4 and all(r.class_key is not None for r in sets)

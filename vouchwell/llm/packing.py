@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vouchwell.llm._shared import materialize, small_batches, whole_text
+from vouchwell.llm._shared import arrow_type, materialize, small_batches, whole_text
 
 #: Above this many input partitions the base offsets are joined by a shuffle, not broadcast.
 MAX_BROADCAST_BASES = 100_000
@@ -194,7 +194,7 @@ def tokenize_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1) ->
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", whole_text().alias("text"))
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_id = arrow_type(docs.schema["doc_id"].dataType)
     out = pa.schema(
         [("pid", pa.int32()), ("local_start", pa.int64()), ("doc_id", arrow_id), ("n", pa.int64()), ("ids", pa.binary())]
     )
@@ -240,7 +240,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
         "doc_id", (F.col("base") + F.col("local_start")).alias("start_at"), "ids"
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_id = arrow_type(docs.schema["doc_id"].dataType)
     out = pa.schema(
         [("doc_id", arrow_id)]
         + [(c, pa.int64()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]

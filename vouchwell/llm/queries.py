@@ -49,20 +49,31 @@ def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.page_id", "_row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-def with_replies(talk: DataFrame) -> DataFrame:
-    """The conversations, and each once more (conv_id below zero) with every message from the third
-    on quoting the one two before it, since the tables' messages quote nothing."""
-    before = F.lag("text", 2).over(Window.partitionBy("conv_id").orderBy("turn"))
+def op9_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quoting.format_messages(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def planted_replies(talk: DataFrame) -> DataFrame:
+    """The conversations with every message from the third on quoting the one two before it, since the
+    tables' messages quote little. Of rows with one (conv_id, turn) the first by text is quoted."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "text", "role")
+    before = F.lag("text", 2).over(order)
     replied = F.concat(F.lit("> "), F.regexp_replace(before, "\n", "\n> "), F.lit("\n\n"), F.col("text"))
-    copies = talk.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "role", F.coalesce(replied, F.col("text")).alias("text"))
-    return talk.select("conv_id", "turn", "role", "text").unionByName(copies)
+    return talk.select("conv_id", "turn", "role", F.coalesce(replied, F.col("text")).alias("text"))
 
 
-def op9_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quoting.format_messages(with_replies(table(spark, sf_dir, "conversations")))
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ninth operator over the conversations with replies planted in them."""
+    return quoting.format_messages(planted_replies(table(spark, sf_dir, "conversations")))
 
 
 OP9_SQL = r"""
+SELECT conv_id, turn, role, text, CAST(0 AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked, CAST(NULL AS BIGINT) AS parent_turn, turn AS root_turn,
+       CAST(0 AS BIGINT) AS depth, '<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS markup
+FROM conversations
+"""
+
+REPLIES_SQL = r"""
 WITH RECURSIVE own AS (
   SELECT conv_id, turn, role, text, lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS quoted FROM conversations),
 paragraphs AS (
@@ -81,11 +92,9 @@ up AS (
   UNION ALL SELECT up.conv_id, up.turn, p.parent, depth + 1 FROM up JOIN parents p ON p.conv_id = up.conv_id AND p.turn = up.root),
 roots AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY ALL),
 every AS (
-  SELECT conv_id, turn, role, text, 0 AS n_quotes, 0 AS n_linked, CAST(NULL AS BIGINT) AS parent, turn AS root, 0 AS depth FROM own
-  UNION ALL
-  SELECT -1 - own.conv_id, own.turn, role, CASE WHEN quoted IS NULL THEN text ELSE trim(text, ' ' || chr(9) || chr(10)) END,
-         CASE WHEN quoted IS NULL THEN 0 ELSE len(string_split(quoted, chr(10))) END, CASE WHEN parent IS NULL THEN 0 ELSE 1 END,
-         parent, coalesce(root, own.turn), coalesce(depth, 0)
+  SELECT own.conv_id, own.turn, role, CASE WHEN quoted IS NULL THEN text ELSE trim(text, ' ' || chr(9) || chr(10)) END AS text,
+         CASE WHEN quoted IS NULL THEN 0 ELSE len(string_split(quoted, chr(10))) END AS n_quotes, CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS n_linked,
+         parent, coalesce(root, own.turn) AS root, coalesce(depth, 0) AS depth
   FROM own LEFT JOIN parents USING (conv_id, turn) LEFT JOIN roots USING (conv_id, turn))
 SELECT conv_id, turn, role, text, CAST(n_quotes AS BIGINT) AS n_quotes, CAST(n_linked AS BIGINT) AS n_linked, parent AS parent_turn, root AS root_turn,
        CAST(depth AS BIGINT) AS depth, '<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS markup
@@ -245,10 +254,12 @@ QUERIES = {
     "op12_best_fit": op12_best_fit,
     "op13_whitening": op13_whitening,
     "page_languages": page_languages,
+    "quoted_replies": quoted_replies,
     "similar_documents": similar_documents,
 }
 
 ORACLE_SQL = {
     "op7_mixing": OP7_SQL,
     "op9_quotation": OP9_SQL,
+    "quoted_replies": REPLIES_SQL,
 }

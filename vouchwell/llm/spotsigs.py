@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vouchwell.llm import near_copies
-from vouchwell.llm._shared import materialize, partitions, small_batches, whole_text
+from vouchwell.llm._shared import arrow_type, materialize, partitions, small_batches, whole_text
 from vouchwell.llm.simhash import first_of, majority
 
 # Very common words of English, German, French and Spanish.
@@ -164,8 +164,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     dealt = seen.withColumn("to", F.explode(F.when(first, F.array(stay, go)).otherwise(F.array(stay))))
     sent = dealt.select("to.part", "to.guest", "place", "down", "tie", "doc_id", "text").repartition(partitions(spark), "part")
     sent = sent.sortWithinPartitions("part", "guest", "place", "down", "tie").select("part", "guest", "doc_id", "text")
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return sent.mapInArrow(_compare(arrow_id), _OUT.format(id=kind))
+    return sent.mapInArrow(_compare(arrow_type(docs.schema["doc_id"].dataType)), _OUT.format(id=kind))
 
 
 def _partition_starts(threshold: float) -> np.ndarray:
@@ -221,7 +220,9 @@ def _key_batches(common: np.ndarray, threshold: float):
 
 def similar_sets(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_signatures, class_id (the least id of the documents with an equal
-    set) and component_id (the least id reachable over links, at a likeness of 0.8 or more).
+    set), component_id (the least id reachable over links, at a likeness of 0.8 or more), class_key
+    and component_key (hashes that name the class and the component also where no document of
+    theirs has an id).
 
     By the prefix principle, two sets that reach the threshold share one of their rarest signatures,
     and their lengths lie in one partition or in two beside each other, so sets meet by (partition,
@@ -247,6 +248,6 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     classes = sets.groupBy("node").agg(F.min(first_of()).alias("least"))
     rooted = materialize(classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("chosen"))
-    named = rooted.join(names, "root").select("node", F.col("least.doc_id").alias("class_id"), F.col("chosen.doc_id").alias("component_id"))
+    named = rooted.join(names, "root").select("node", F.col("least.doc_id").alias("class_id"), F.col("chosen.doc_id").alias("component_id"), F.col("root").alias("component_key"))
     own = sets.select("doc_id", "node", F.size("shingles").alias("n_signatures"))
-    return own.join(named, "node").select("doc_id", "n_signatures", "class_id", "component_id")
+    return own.join(named, "node").select("doc_id", "n_signatures", "class_id", "component_id", F.col("node").alias("class_key"), "component_key")
