@@ -182,7 +182,8 @@ def test_brief(spark):
     assert not any("Let me know" in c for c in b.cautions)
     assert b.violations == []
     text = brief.render(made).collect()[0].text
-    assert text.index("READ FIRST") < text.index("THEIR STORY") < text.index("WHY THIS ROLE") < text.index("WORTH ASKING")
+    assert text.startswith("Ada [needs_human_message]\n1. ")
+    assert text.index("\n2. ") < text.index("\nStory: ") < text.index("\nRole: ") < text.index("\nAsk: ")
 
 
 def test_brief_that_reads_as_a_message_fails(spark):

@@ -309,15 +309,10 @@ QUERIES = {
     )
 }
 
-_RULE = "-" * 60
-
 
 def _brief(*cautions: str, story: str, why: str, ask: str) -> str:
-    first = "READ FIRST\n" + "".join(f"  ! {c}\n" for c in cautions) + "\n" if cautions else ""
-    return (
-        "BRIEF: {name}\nstatus: needs_human_message\n\n" + first + f"THEIR STORY IN ONE LINE\n  {story}\n\nWHY THIS ROLE (or why not)\n  {why}\n\n"
-        f"WORTH ASKING\n  {ask}\n\n{_RULE}\nRaw material only: write the message yourself."
-    )
+    said = "".join(f"{i}. {c}\n" for i, c in enumerate(cautions, 1))
+    return f"{{name}} [needs_human_message]\n{said}Story: {story}\nRole: {why}\nAsk: {ask}"
 
 
 _ASK = "What would make the next move worth it? (No tension was found in the profile: ask, don't assume.)"
@@ -333,7 +328,7 @@ BRIEFS = [
             "A risk flag was withheld: it read as a message to the candidate.",
             "long commute",
             story="Makes things others use",
-            why="(withheld, see cautions)",
+            why="held back, as the cautions say",
             ask=_ASK,
         ),
     ),
