@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +44,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_arrow_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     place, system = _place(spark, path)
     system.deleteOnExit(place)
     for tables in _watched:
@@ -51,6 +53,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python task at once; a task holds them on both sides, and as much again
+#: while they grow.
+ARROW_BYTES = 8 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def _small_arrow_batches(spark: SparkSession):
+    """Batches of ARROW_BYTES at most, while a table is written; the session's own setting after."""
+    before = spark.conf.get(_ARROW, None)
+    spark.conf.set(_ARROW, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_ARROW) if before is None else spark.conf.set(_ARROW, before)
+
+
 #: Lists that note what is materialised while ``settled`` runs.
 _watched: list[list[str]] = []
 
