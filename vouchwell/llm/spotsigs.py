@@ -180,10 +180,10 @@ def _set_batches(batches):
     import xxhash
 
     for batch in small_batches(batches):
-        sets = [np.sort(np.fromiter(f, np.int64, len(f))) for f in map(signatures, batch.column("text").to_pylist())]
+        sets = [np.sort(np.fromiter(f, np.uint32, len(f)).view(np.int32)) for f in map(signatures, batch.column("text").to_pylist())]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row"), pa.array(nodes), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "shingles"]
+            [batch.column("doc_id"), batch.column("row"), pa.array(nodes), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "row", "node", "shingles"]
         )
 
 
@@ -196,7 +196,7 @@ def _key_batches(common: np.ndarray, threshold: float):
         for batch in small_batches(batches):
             ns, fps, keys, ends = [], [], [], [0]
             for found in batch.column("shingles"):
-                s = found.values.to_numpy()
+                s = found.values.to_numpy().astype(np.int64)
                 n = len(s)
                 rare = s[np.lexsort((s, common[s % len(common)]))][: n - int(np.ceil(threshold * n - 1e-9)) + 1].astype(np.uint64)
                 part = np.uint64(np.searchsorted(starts, n, "right"))
@@ -234,7 +234,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64(whole_text()).alias("row"), whole_text().alias("text"))
-    sets = materialize(texts.mapInArrow(_set_batches, f"doc_id {kind}, row long, node long, shingles array<long>"), "sets")
+    sets = materialize(texts.mapInArrow(_set_batches, f"doc_id {kind}, row long, node long, shingles array<int>"), "sets")
     distinct = materialize(sets.select("node", "shingles").dropDuplicates(["node"]), "distinct")
     place = F.explode("shingles").alias("sig")
     counts = distinct.select(place).groupBy(F.pmod("sig", F.lit(PLACES)).alias("place")).agg(F.count("*").alias("n")).toArrow()  # PLACES rows at most
