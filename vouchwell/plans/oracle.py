@@ -1,17 +1,15 @@
 """DuckDB SQL with the same results as ``vouchwell.plans.queries``.
 
-Patterns and word lists come from the functions' fixed values; the logic is written anew.
+Nothing comes from the library: values stand in ``sql_values``, and the logic is written anew.
 """
 
 from __future__ import annotations
 
-from vouchwell.functions import guard, identity, lexicon, overlap, text, timeline
-from vouchwell.operators import profile_lines as pl
-from vouchwell.plans.queries import TURN_MODES
+from vouchwell.plans import sql_values as V
 
-SPACE = text.SPACE
+SPACE = f"[{V.SPACE_CLASS}]"
 _ELLIPSES = r"^(\.\.\.|…)+|(\.\.\.|…)+$"
-_C = text.SPACE_CLASS
+_C = V.SPACE_CLASS
 
 
 def _q(s: str) -> str:
@@ -37,11 +35,11 @@ def _normal(x: str) -> str:
 
 def _canonical(x: str) -> str:
     bare = f"regexp_replace({_normal(x)}, {_q(_ELLIPSES)}, '', 'g')"
-    return f"lower(trim({bare}, {_q(text.TRIMMED_MARKS)}))"
+    return f"lower(trim({bare}, {_q(V.TRIMMED_MARKS)}))"
 
 
 def _lines(x: str) -> str:
-    whole = f"regexp_replace({x}, {_q(text.LINE_END)}, chr(10), 'g')"
+    whole = f"regexp_replace({x}, {_q(V.LINE_END)}, chr(10), 'g')"
     return f"CASE WHEN length({x}) = 0 THEN []::VARCHAR[] ELSE string_split(regexp_replace({whole}, '\\n\\z', ''), chr(10)) END"
 
 
@@ -76,32 +74,21 @@ _SPANS = """spans AS (
   FROM orders GROUP BY ALL)"""
 
 
-def _java_to_re2(pattern: str) -> str:
-    """Flags as RE2 has them; its word class spelled out for all letters."""
-    unicode = pattern.startswith("(?U)") or pattern.startswith("(?iUu)")
-    for flags, plain in (("(?iUu)", "(?i)"), ("(?U)", ""), ("(?iu)", "(?i)"), ("(?iumd)", "(?im)")):
-        if pattern.startswith(flags):
-            pattern = plain + pattern[len(flags) :]
-    if unicode:
-        pattern = pattern.replace(r"[\w.+-]", r"[\pL\pN_.+-]").replace(r"[\w-]", r"[\pL\pN_-]").replace(r"[\w.]", r"[\pL\pN_.]").replace(r"\w", r"[\pL\pN_]")
-    return pattern
-
-
 def _matches(x: str, pattern: str) -> str:
-    return f"regexp_matches({x}, {_q(_java_to_re2(pattern))})"
+    return f"regexp_matches({x}, {_q(pattern)})"
 
 
 def _line_action() -> str:
-    furniture = " ".join(f"WHEN {_matches('line', p)} THEN true" for p in pl.FURNITURE)
-    phone = f"WHEN {_matches('line', pl.PHONE)} THEN length(regexp_replace(line, '[^0-9]', '', 'g')) >= {pl.PHONE_DIGITS}"
-    later = " ".join(f"WHEN {_matches('line', p)} THEN true" for p in pl.FURNITURE_AFTER_PHONE)
-    heads, lists, prose = (_list(x) for x in (lexicon.HEADINGS, lexicon.LIST_SECTIONS, lexicon.PROSE_SECTIONS))
+    furniture = " ".join(f"WHEN {_matches('line', p)} THEN true" for p in V.FURNITURE)
+    phone = f"WHEN {_matches('line', V.PHONE)} THEN length(regexp_replace(line, '[^0-9]', '', 'g')) >= {V.PHONE_DIGITS}"
+    later = " ".join(f"WHEN {_matches('line', p)} THEN true" for p in V.FURNITURE_AFTER_PHONE)
+    heads, lists, prose = (_list(x) for x in (V.HEADINGS, V.LIST_SECTIONS, V.PROSE_SECTIONS))
     return f"""
 WITH apart AS (
   SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT doc_id, {_lines("coalesce(text, '')")} AS l FROM documents)),
 headed AS (
   SELECT *, CASE WHEN list_contains({heads}, lower(trim({_strip('line')}, ':'))) THEN lower(trim({_strip('line')}, ':')) END AS head,
-         {_strip('line')} = '' AS blank, len(regexp_extract_all(line, '[^{_C}]+')) >= {pl.PROSE_WORDS} AS prose FROM apart),
+         {_strip('line')} = '' AS blank, len(regexp_extract_all(line, '[^{_C}]+')) >= {V.PROSE_WORDS} AS prose FROM apart),
 carried AS (
   SELECT *, last_value(head IGNORE NULLS) OVER w AS section, count(head) OVER w AS segment FROM headed
   WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
@@ -109,27 +96,27 @@ ended AS (
   SELECT *, bool_or(head IS NULL AND (blank OR prose)) OVER (PARTITION BY doc_id, segment ORDER BY pos ROWS UNBOUNDED PRECEDING) AS over FROM carried),
 acted AS (
   SELECT doc_id, line, CASE
-    WHEN list_contains({_list([*lexicon.LIST_SECTIONS, *lexicon.PROSE_SECTIONS, 'contact'])}, head) THEN 'removed'
+    WHEN list_contains({_list([*V.LIST_SECTIONS, *V.PROSE_SECTIONS, 'contact'])}, head) THEN 'removed'
     WHEN head IS NOT NULL THEN 'kept'
     WHEN list_contains({lists}, section) AND NOT over THEN 'removed'
     WHEN list_contains({prose}, section) AND blank THEN 'skipped'
     WHEN list_contains({prose}, section) THEN 'removed'
-    WHEN NOT blank AND NOT {_matches('line', pl.DATE_LINE)} AND (CASE {furniture} {phone} {later} ELSE false END) THEN 'removed'
+    WHEN NOT blank AND NOT {_matches('line', V.DATE_LINE)} AND (CASE {furniture} {phone} {later} ELSE false END) THEN 'removed'
     ELSE 'kept' END AS action FROM ended)
 SELECT doc_id, action, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM acted GROUP BY doc_id, action"""
 
 
 def _stems(x: str) -> str:
-    words = f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9+#]+')), lambda w: length(w) > 2 AND NOT list_contains({_list(lexicon.WEAK_WORDS)}, w))"
-    cut = f"regexp_replace(w, '^(.{{{timeline.MIN_STEM},}}?)(?:{'|'.join(lexicon.SUFFIXES)})$', '\\1')"
+    words = f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9+#]+')), lambda w: length(w) > 2 AND NOT list_contains({_list(V.WEAK_WORDS)}, w))"
+    cut = f"regexp_replace(w, '^(.{{{V.MIN_STEM},}}?)(?:{'|'.join(V.SUFFIXES)})$', '\\1')"
     return f"list_distinct(list_transform(list_transform({words}, lambda w: {cut}), lambda c: CASE WHEN rtrim(c, 'e') = '' THEN c ELSE rtrim(c, 'e') END))"
 
 
 def _tokens(x: str) -> str:
-    return f"list_filter(list_distinct(regexp_extract_all(lower({x}), '{overlap.TERM}')), lambda w: NOT list_contains({_list(lexicon.STOPWORDS)}, w))"
+    return f"list_filter(list_distinct(regexp_extract_all(lower({x}), '{V.TERM}')), lambda w: NOT list_contains({_list(V.STOPWORDS)}, w))"
 
 
-_GUARD = "CASE " + " ".join(f"WHEN {_matches('said', p)} THEN '{k}'" for p, k in guard.PATTERNS) + " END"
+_GUARD = "CASE " + " ".join(f"WHEN {_matches('said', p)} THEN '{k}'" for p, k in V.MESSAGES) + " END"
 _NUMBERS = "list_distinct(regexp_extract_all(replace(coalesce(text, ''), ',', ''), '[0-9]+'))"
 _FIRST_LINE = _strip(f"({_lines('t')})[1]")
 _HTML = f"""trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'),
@@ -139,7 +126,7 @@ ORACLE_SQL = {
     "verify_containment": f"""
 WITH q AS (SELECT item_id, {_canonical('text')} AS needle FROM benchmark),
 d AS (SELECT doc_id, lower({_normal('text')}) AS hay FROM documents)
-SELECT item_id, doc_id FROM q JOIN d ON contains(hay, needle) WHERE length(needle) >= {text.MIN_SPAN_CHARS}""",
+SELECT item_id, doc_id FROM q JOIN d ON contains(hay, needle) WHERE length(needle) >= {V.MIN_SPAN_CHARS}""",
     "canonical_text": f"""
 SELECT doc_id, md5({_normal('text')}) AS "normal", md5({_canonical('text')}) AS canonical,
        md5(trim(trim({_collapse('text')}, ' '), '"“” ')) AS tidy FROM documents""",
@@ -154,7 +141,7 @@ FROM (SELECT doc_id, {_FIRST_LINE} AS f FROM (SELECT doc_id, {_strip('text')} AS
 SELECT page_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n, length(t) >= 80 AS readable FROM (SELECT page_id, {_HTML} AS t FROM pages)""",
     "gate_turns": f"""
 WITH {_TURNS}, c AS (SELECT conv_id, turn, {_strip('claim')} AS claim, {_strip('quote')} AS quote FROM turns),
-g AS (SELECT conv_id, turn, {_rule('claim', 'quote', TURN_MODES)} AS rule FROM c) SELECT *, rule = 'ok' AS ok FROM g""",
+g AS (SELECT conv_id, turn, {_rule('claim', 'quote', V.TURN_MODES)} AS rule FROM c) SELECT *, rule = 'ok' AS ok FROM g""",
     "guard_turns": f"""
 SELECT conv_id, turn, {_GUARD} AS kind FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Hi Ada, ' || text
   WHEN 1 THEN text || ' I''d love to chat' ELSE text END AS said FROM conversations)""",
@@ -163,7 +150,7 @@ WITH {_TURNS}, t AS (SELECT conv_id, turn, {_tokens('claim')} AS a, {_tokens('qu
 m AS (SELECT *, list_sort(list_filter(a, lambda w: list_contains(b, w))) AS shared_words FROM t)
 SELECT conv_id, turn, len(shared_words) AS shared, len(a) AS terms, array_to_string(shared_words, ' ') AS words FROM m""",
     "source_emails": f"""
-WITH e AS (SELECT source, doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '{identity.EMAIL}'), lambda x: lower(x)))) AS email FROM documents)
+WITH e AS (SELECT source, doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '{V.EMAIL}'), lambda x: lower(x)))) AS email FROM documents)
 SELECT source, count(DISTINCT email) AS emails, count(*) AS mentions FROM e GROUP BY source""",
     "repeated_lines": f"""
 WITH l AS (SELECT doc_id, unnest({_lines("coalesce(text, '')")}) AS line FROM documents),
