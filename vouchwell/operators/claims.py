@@ -23,14 +23,19 @@ KINDS = ("departures", "pursuits")
 
 
 def _answered(profiles: DataFrame, responses: DataFrame) -> DataFrame:
-    """Profiles with their response's data, failure and throughline."""
+    """Profiles with their response's data, failure and throughline. They come out of a generator of
+    one row, since a filter on the failure would otherwise move below it and have the response read
+    again, once for each time that the expression names it."""
     joined = profiles.join(responses.select("profile_id", "content"), "profile_id", "left")
-    parsed = joined.withColumn("_j", R.json_object(strip_thinking(F.col("content"))))
-    throughline = strip(R.as_text(R.field(F.col("_j.data"), "throughline")))
-    failure = F.when(F.col("content").isNull(), F.lit("no_response")).otherwise(F.col("_j.failure"))
-    said = parsed.withColumn("throughline", F.coalesce(throughline, F.lit(""))).withColumn("data", F.col("_j.data"))
-    thin = F.when(F.col("throughline") == "", F.lit("no_throughline"))
-    return said.withColumn("failure", F.coalesce(failure, thin)).drop("_j", "content")
+    rest = [F.col(f"`{c}`") for c in joined.columns if c != "content"]
+
+    def read(j):
+        said = F.coalesce(strip(R.as_text(R.field(j["data"], "throughline"))), F.lit(""))
+        failure = F.when(F.col("content").isNull(), F.lit("no_response")).otherwise(j["failure"])
+        thin = F.when(said == "", F.lit("no_throughline"))
+        return F.struct(said.alias("throughline"), j["data"].alias("data"), F.coalesce(failure, thin).alias("failure"))
+
+    return joined.select(*rest, F.inline_outer(F.array(let(R.json_object(strip_thinking(F.col("content"))), read))))
 
 
 def read_failures(profiles: DataFrame, responses: DataFrame) -> DataFrame:
@@ -94,11 +99,12 @@ def judged(claim: Column, hay: Column, stemmed: Column, raw_text: Column, whole_
 
 
 def gated(read: DataFrame, whole_words: bool = False, modes=MODES) -> DataFrame:
-    """``read`` with claims, the array of judged claims; null where the response wasn't usable."""
-    claims = F.when(F.col("failure").isNull(), proposed(F.col("data")))
-    return read.withColumn("_claims", claims).withColumn(
-        "claims", F.transform("_claims", lambda c: judged(c, F.col("hay"), F.col("spans"), F.col("raw_text"), whole_words, modes))
-    ).drop("_claims")
+    """``read`` with claims, the array of judged claims; null where the response wasn't usable. What all
+    of a profile's claims are judged by is bound once, since an expression within a lambda would be
+    computed for each of them."""
+    record = F.struct("hay", "spans", "raw_text")
+    each = lambda r: F.transform(proposed(F.col("data")), lambda c: judged(c, r["hay"], r["spans"], r["raw_text"], whole_words, modes))
+    return read.withColumn("claims", F.when(F.col("failure").isNull(), let(record, each)))
 
 
 def _kept(claims: Column) -> Column:
@@ -166,8 +172,13 @@ def arcs(tested: DataFrame) -> DataFrame:
         F.filter("beats", lambda b: b["kind"] == kind), lambda b: F.struct(*[b[c].alias(c) for c in ("pos", "description", "evidence", "confidence")])
     )
     total = F.aggregate("beats", F.lit(0.0), lambda a, b: a + b["confidence"])
+    quotes = lambda hay: F.struct(
+        verified_quotes(R.strings(data, "throughline_evidence"), hay, F.col("throughline")).alias("throughline_evidence"),
+        verified_quotes(R.strings(data, "tension_evidence"), hay, F.col("unresolved_tension")).alias("tension_evidence"),
+    )
     counted = base.select(
         "*",
+        let(F.col("hay"), quotes).alias("headline"),
         F.size("beats").alias("kept"),
         F.size(F.array_distinct(F.transform("beats", lambda b: canonical(b["evidence"])))).alias("distinct_quotes"),
         total.alias("total"),
@@ -177,8 +188,7 @@ def arcs(tested: DataFrame) -> DataFrame:
         "profile_id",
         "throughline",
         "unresolved_tension",
-        verified_quotes(R.strings(data, "throughline_evidence"), F.col("hay"), F.col("throughline")).alias("throughline_evidence"),
-        verified_quotes(R.strings(data, "tension_evidence"), F.col("hay"), F.col("unresolved_tension")).alias("tension_evidence"),
+        *[F.col("headline")[c].alias(c) for c in ("throughline_evidence", "tension_evidence")],
         *[of(k).alias(k) for k in KINDS],
         "proposed",
         "kept",

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
+from vouchwell.functions import guard, identity, timeline
 from vouchwell.functions.entities import unescape
 from vouchwell.functions.gate import gate
-from vouchwell.functions.text import strip
-from vouchwell.operators import dialects, named, records
+from vouchwell.operators import brief, dialects, named, prompts, records
 from vouchwell.plans import pipeline
+from vouchwell.plans import sql_values as V
 from vouchwell.plans.made_pdfs import STYLES, make_pdf
 from vouchwell.plans.oracle import half_even
 from vouchwell.plans.queries import read, spread, texts
@@ -119,6 +120,10 @@ def gate_passages(spark, sf_dir):
     return d.select("doc_id", gate(claim, quote)["rule"].alias("rule"))
 
 
+OVENS = "Rose at four every single day to light the ovens"
+CLASS = "Every class is one that she is hoping to teach again"
+
+
 def _careers(spark, sf_dir):
     """A profile per customer: up to three roles with the years of its orders by status, and a
     sentence under each; and the response recorded for it."""
@@ -129,19 +134,20 @@ def _careers(spark, sf_dir):
         *[of(s, F.struct("a", "z", "n")).alias(name) for s, name in (("F", "baker"), ("O", "teacher"), ("P", "sailor"))]
     )
     part = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
-    baker = part("Baker at Corner Bakery\n", F.col("baker.a"), " - ", F.col("baker.z"), "\nRose at four every single day to light the ovens.")
-    teacher = part("Teacher at North School\n", F.col("teacher.a"), " - Present\nEvery class is one that she is hoping to teach again.")
+    baker = part("Baker at Corner Bakery\n", F.col("baker.a"), " - ", F.col("baker.z"), f"\n{OVENS}.")
+    teacher = part("Teacher at North School\n", F.col("teacher.a"), f" - Present\n{CLASS}.")
     sailor = part("Sailor on river boats\n", F.col("sailor.a"), " - ", F.col("sailor.z"), "\nLed a crew of ", F.col("sailor.n"), " on the long river run.")
     claim = lambda said, quote: F.struct(said.alias("description"), F.lit(quote).alias("evidence"), F.lit(0.8).alias("confidence"))
     body = F.to_json(
         F.struct(
             F.lit("Kept moving on").alias("throughline"),
+            F.array(*[F.lit(q) for q in (CLASS, "Somebody wrote this elsewhere", OVENS, f"“{CLASS}”")]).alias("throughline_evidence"),
             F.array(
-                claim(F.lit("Moved from baking to teaching"), "Rose at four every single day to light the ovens"),
+                claim(F.lit("Moved from baking to teaching"), OVENS),
                 claim(F.lit("Left the water"), "on the long river run"),
             ).alias("departures"),
             F.array(
-                claim(F.lit("Wants to teach"), "Every class is one that she is hoping to teach again"),
+                claim(F.lit("Wants to teach"), CLASS),
                 F.struct(
                     part("Led ", F.col("sailor.z") - F.col("sailor.a") + 1).alias("description"),
                     part("Led a crew of ", F.col("sailor.n"), " on the long river run").alias("evidence"),
@@ -167,7 +173,99 @@ def career_claims(spark, sf_dir):
 def career_arcs(spark, sf_dir):
     """What the arcs of the careers come to."""
     a = pipeline.verify(*_careers(spark, sf_dir)).arcs
-    return a.select("profile_id", F.col("proposed").cast("long").alias("proposed"), F.col("kept").cast("long").alias("kept"), "drop_rate", "confidence")
+    return a.select(
+        "profile_id", F.col("proposed").cast("long").alias("proposed"), F.col("kept").cast("long").alias("kept"), "drop_rate", "confidence",
+        F.array_join("throughline_evidence", "|").alias("headline"),
+    )
+
+
+ROLES = ((1, "Baker", "Bakers who light ovens every day, and teach."), (2, "Skipper", "A river crew wants someone for the long run"), (3, "Nothing", "Anything at all"))
+
+
+def _assessed(spark, sf_dir):
+    """The careers' run, each with the role of its number and the verdict recorded for the two."""
+    profiles, said = _careers(spark, sf_dir)
+    named = profiles.select("*", F.concat(F.lit("Customer "), F.col("profile_id")).alias("name"))
+    roles = spark.createDataFrame(ROLES, "role_id long, title string, raw_description string").withColumn("company_context", F.lit(""))
+    k = F.col("profile_id")
+    verdict = F.get(F.array(*map(F.lit, ("true", "false", '"Ambiguous"', "null", '"yes"'))), (k % 5).cast("int"))
+    body = F.concat(
+        F.lit('{"continues_arc": '), verdict, F.lit(', "reasoning": "'), F.when(k % 11 == 0, F.lit(" ")).when(k % 7 == 0, F.lit("Hi Ada, come along")).otherwise(F.lit("So it seems")),
+        F.lit('", "risk_flags": [" far ", "", "let me know if you agree"]}'),
+    )
+    fits = profiles.select("profile_id", (k % 3 + 1).alias("role_id"), body.alias("content"))
+    return pipeline.run(named, said, roles, fits)
+
+
+def career_fits(spark, sf_dir):
+    """Verdicts on a role, held back where the arc is thin; responses without
+    reasoning, refused."""
+    run = _assessed(spark, sf_dir)
+    none = F.lit(None)
+    good = run.fits.select(
+        "profile_id", "role_id", "continues_arc", "withheld", F.size("risk_flags").cast("long").alias("flags"), F.array_join("skill_overlap.matched", " ").alias("shared"),
+        F.col("skill_overlap.ratio").alias("ratio"), none.cast("string").alias("failure"),
+    )
+    bad = run.fit_failures.select(
+        "profile_id", "role_id", none.cast("boolean").alias("continues_arc"), none.cast("boolean").alias("withheld"), none.cast("long").alias("flags"),
+        none.cast("string").alias("shared"), none.cast("double").alias("ratio"), "failure",
+    )
+    return good.unionByName(bad)
+
+
+def career_briefs(spark, sf_dir):
+    """The careers' briefs as a human reads them."""
+    return brief.render(brief.reject_violations(_assessed(spark, sf_dir).briefs))
+
+
+def career_prompts(spark, sf_dir):
+    """What a model would be shown of the careers, with their dated roles in order."""
+    profiles, _ = _careers(spark, sf_dir)
+    more = profiles.select("*", F.lit("Ada").alias("name"), F.array(F.lit("Baker"), F.lit("Sailor")).alias("known_roles"), F.lit("orders").alias("source_notes"))
+    return prompts.story_prompts(more)
+
+
+def date_forms(spark, sf_dir):
+    """An order's years in each form of a date line, under a label or beside it."""
+    o = spread(read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderdate"))
+    a, k = F.year("o_orderdate"), F.col("o_orderkey") % 7
+    z, m = a + (F.col("o_orderkey") % 4).cast("int"), F.month("o_orderdate")
+    two = lambda y: F.concat(F.lit("'"), F.lpad((y % 100).cast("string"), 2, "0"))
+    line = (
+        F.when(k == 0, F.concat(F.lit("\nJanuary "), a, F.lit(" - Mar "), z))
+        .when(k == 1, F.concat(F.lit("\n"), m, F.lit("/"), a, F.lit(" to 12."), z))
+        .when(k == 2, F.concat(F.lit("\n1/2/"), a, F.lit(" until 3/4/"), z))
+        .when(k == 3, F.concat(F.lit("\n· "), two(a), F.lit(" – "), two(z)))
+        .when(k == 4, F.concat(F.lit("\nSince May "), a))
+        .when(k == 5, F.concat(F.lit(", Old Mill, "), a, F.lit(" - "), z))
+        .otherwise(F.concat(F.lit("\n\n("), a, F.lit(" — Present)")))
+    )
+    text = F.concat(F.lit("Some words before it.\n\nDesk "), F.col("o_orderstatus"), line, F.lit("\nand after"))
+    s = o.select("o_orderkey", F.explode(timeline.spans(text)).alias("s"))
+    return s.select("o_orderkey", "s.label", "s.start", F.col("s.end").alias("stop"), "s.line")
+
+
+def document_people(spark, sf_dir):
+    """Documents with planted handles, addresses and headings: of one person or of two?"""
+    d = texts(spark, sf_dir)
+    k, i = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    planted = (
+        F.when(k == 0, F.concat(F.lit("\nlinkedin.com/in/ada-"), i, F.lit(" and LinkedIn.com/in/Bo_"), i))
+        .when(k == 1, F.concat(F.lit("\nMail a"), i, F.lit("@b.org or C"), i, F.lit("@d.org")))
+        .when(k == 2, F.lit("\nExperience\nx\n Education:\ny\nexperience\nz\nEDUCATION"))
+        .otherwise(F.lit(""))
+    )
+    p = identity.one_person(F.concat(F.coalesce("text", F.lit("")), planted))
+    return d.select("doc_id", p.alias("p")).select("doc_id", "p.ok", "p.reason", F.array_join("p.evidence", "|").alias("evidence"))
+
+
+def guarded_turns(spark, sf_dir):
+    """Turns that cite a message, read with the citation exempt and without, and in quarantine."""
+    c = read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    cited = F.concat(F.lit("Hi Ada, would you be open to it? No. "), F.col("turn").cast("string"))
+    said = F.concat(F.col("text"), F.lit(' He wrote: "'), cited, F.when(F.col("turn") % 3 == 1, F.lit('" Let me know if you agree')).otherwise(F.lit('"')))
+    kind, bare, held = guard.sendable_kind(said), guard.sendable_kind(said, F.array(cited)), guard.quarantine(F.replace(said, cited, F.lit("")), "held")
+    return c.select("conv_id", "turn", kind.alias("kind"), bare.alias("kind_without"), F.md5(held["value"]).alias("kept"))
 
 
 def _doubted(spark, sf_dir):
@@ -195,7 +293,8 @@ def dialect_differences(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        pdf_texts, entity_texts, naming_turns, nested_records, page_requests, account_failures, gate_passages, career_claims, career_arcs, dialect_differences,
+        pdf_texts, entity_texts, naming_turns, nested_records, page_requests, account_failures, gate_passages, career_claims, career_arcs, career_fits,
+        career_briefs, career_prompts, date_forms, document_people, guarded_turns, dialect_differences,
     )
 }
 
@@ -232,6 +331,15 @@ def _rule(claim: str, quote: str) -> str:
     )
 
 
+def _words(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _kind(x: str) -> str:
+    quoted = lambda p: p.replace("'", "''")
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{quoted(p)}') THEN '{kind}'" for p, kind in V.MESSAGES) + " END"
+
+
 def _picked(i: int) -> str:
     return "CASE doc_id % 9 " + " ".join(f"WHEN {k} THEN '{g[i]}'" for k, g in enumerate(GATED)) + " END"
 
@@ -262,6 +370,24 @@ c AS (
   UNION ALL SELECT id, 'pursuits', 0, 0.8::DOUBLE, CASE WHEN ta IS NULL THEN 'unverified' ELSE 'kept' END FROM w
   UNION ALL SELECT id, 'pursuits', 1, 0.6::DOUBLE, CASE WHEN pa IS NULL THEN 'unverified' WHEN pz - pa + 1 = pn THEN 'kept' ELSE 'unsupported' END FROM w)"""
 
+_SCORED = f"""
+{_CAREERS},
+k AS (SELECT id, count(*) FILTER (outcome = 'kept') AS kept, list(conf ORDER BY kind, pos) FILTER (outcome = 'kept') AS confs,
+        count(DISTINCT CASE WHEN outcome = 'kept' THEN kind || pos END) AS quotes FROM c GROUP BY id),
+r AS (SELECT *, (4 - kept) / 4::DOUBLE AS d, CASE WHEN kept > 0 THEN kept / 4::DOUBLE * least(1::DOUBLE, quotes / 4::DOUBLE)
+        * (list_reduce(list_prepend(0::DOUBLE, confs), lambda x, y: x + y) / kept) ELSE 0 END AS s FROM k),
+arc AS (SELECT id, kept, {half_even('d', 3)} AS drop_rate, {half_even('s', 2)} AS confidence FROM r),
+told AS (SELECT id, 'Somebody'
+    || CASE WHEN ta IS NULL THEN '' ELSE chr(10) || 'Teacher at North School' || chr(10) || ta || ' - Present' || chr(10) || '{CLASS}.' END
+    || CASE WHEN ba IS NULL THEN '' ELSE chr(10) || 'Baker at Corner Bakery' || chr(10) || ba || ' - ' || bz || chr(10) || '{OVENS}.' END
+    || CASE WHEN pa IS NULL THEN '' ELSE chr(10) || 'Sailor on river boats' || chr(10) || pa || ' - ' || pz || chr(10) || 'Led a crew of ' || pn || ' on the long river run.' END AS raw_text FROM w)"""
+
+_ASSESSED = f"""
+{_SCORED},
+f AS (SELECT id, id % 3 + 1 AS role_id, id % 11 = 0 AS thoughtless, id % 7 = 0 AS sends, confidence, kept,
+        CASE id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 4 THEN true END AS said FROM arc),
+v AS (SELECT *, said IS NOT NULL AND confidence < 0.45 AS withheld, CASE WHEN confidence >= 0.45 THEN said END AS verdict FROM f)"""
+
 _DOUBTED = f"""
 d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 120),
 q AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS i, unnest(['departures.0', 'departures.1', 'pursuits.0', 'pursuits.1']) AS field,
@@ -316,12 +442,63 @@ SELECT doc_id, {_rule('claim', 'quote')} AS rule FROM p""",
     "career_claims": f"""
 WITH {_CAREERS} SELECT id AS profile_id, kind, CAST(pos AS INT) AS pos, outcome, CASE WHEN outcome = 'kept' THEN conf END AS confidence FROM c""",
     "career_arcs": f"""
-WITH {_CAREERS},
-k AS (SELECT id, count(*) FILTER (outcome = 'kept') AS kept, list(conf ORDER BY kind, pos) FILTER (outcome = 'kept') AS confs,
-        count(DISTINCT CASE WHEN outcome = 'kept' THEN kind || pos END) AS quotes FROM c GROUP BY id),
-r AS (SELECT *, (4 - kept) / 4::DOUBLE AS d, CASE WHEN kept > 0 THEN kept / 4::DOUBLE * least(1::DOUBLE, quotes / 4::DOUBLE)
-        * (list_reduce(list_prepend(0::DOUBLE, confs), lambda x, y: x + y) / kept) ELSE 0 END AS s FROM k)
-SELECT id AS profile_id, 4::BIGINT AS proposed, kept, {half_even('d', 3)} AS drop_rate, {half_even('s', 2)} AS confidence FROM r""",
+WITH {_SCORED} SELECT id AS profile_id, 4::BIGINT AS proposed, kept, drop_rate, confidence,
+  concat_ws('|', CASE WHEN ta IS NOT NULL THEN '{CLASS}' END, CASE WHEN ba IS NOT NULL THEN '{OVENS}' END) AS headline FROM arc JOIN w USING (id)""",
+    "career_fits": f"""
+WITH {_ASSESSED},
+t AS (SELECT v.*, list_filter(list_distinct(regexp_extract_all(lower(raw_text), '{V.TERM}')), lambda x: NOT list_contains({_words(V.STOPWORDS)}, x)) AS a,
+        list_filter(list_distinct(regexp_extract_all(lower(CASE role_id {" ".join(f"WHEN {i} THEN '{text}'" for i, _, text in ROLES)} END), '{V.TERM}')),
+          lambda x: NOT list_contains({_words(V.STOPWORDS)}, x)) AS b FROM v JOIN told USING (id)),
+m AS (SELECT *, list_sort(list_filter(b, lambda x: list_contains(a, x))) AS both_, len(b) AS n FROM t),
+q AS (SELECT *, len(both_) / n::DOUBLE AS share FROM m)
+SELECT id AS profile_id, role_id, CASE WHEN NOT thoughtless THEN verdict END AS continues_arc, CASE WHEN NOT thoughtless THEN withheld END AS withheld,
+       CASE WHEN NOT thoughtless THEN CAST(2 + withheld::INT AS BIGINT) END AS flags, CASE WHEN NOT thoughtless THEN array_to_string(both_, ' ') END AS shared,
+       CASE WHEN NOT thoughtless THEN {half_even('share', 3)} END AS ratio, CASE WHEN thoughtless THEN 'no_reasoning' END AS failure FROM q""",
+    "career_briefs": f"""
+WITH {_ASSESSED},
+c2 AS (SELECT *, list_filter([
+    CASE WHEN sends THEN 'The role rationale was withheld: it held a salutation.' END,
+    CASE WHEN kept = 0 THEN 'No claim was borne out by the profile''s text; arc confidence is 0.0. Take the story as a guess and read the profile.'
+         WHEN confidence < 0.6 THEN 'Arc confidence is ' || confidence || ', below 0.6: a hypothesis from ' || kept || ' verified quote(s).' END,
+    CASE WHEN verdict IS NULL THEN 'No verdict: the evidence doesn''t settle whether the role continues the arc.'
+         WHEN NOT verdict THEN 'The role seems to break with the arc. Say so openly if you go on.' END,
+    'No unresolved tension was found; the open question is generic.',
+    CASE WHEN withheld THEN 'No verdict stands on an arc with confidence ' || confidence || ' (the floor is 0.45); one was offered.' END,
+    'far', 'A risk flag was withheld: it read as a message to the candidate.'], lambda x: x IS NOT NULL) AS said_first FROM v WHERE NOT thoughtless)
+SELECT id AS profile_id, role_id, 'Customer ' || id || ' [needs_human_message]' || chr(10)
+    || array_to_string(list_transform(said_first, lambda x, i: i || '. ' || x), chr(10)) || chr(10) || 'Story: Kept moving on' || chr(10)
+    || 'Role: ' || CASE WHEN sends THEN 'held back, as the cautions say' ELSE 'So it seems' END || chr(10)
+    || 'Ask: What would make the next move worth it? (No tension was found in the profile: ask, don''t assume.)' AS text FROM c2""",
+    "career_prompts": f"""
+WITH {_SCORED},
+l AS (SELECT id, unnest([ta, ba, pa]) AS a, unnest([9999, bz, pz]) AS z, unnest([0, 1, 2]) AS i, unnest(['Teacher at North School', 'Baker at Corner Bakery', 'Sailor on river boats']) AS label FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) = 1 AS top FROM l WHERE a IS NOT NULL),
+d AS (SELECT id, string_agg(a || '-' || CASE WHEN z = 9999 THEN 'present' ELSE z::VARCHAR END || ': ' || CASE WHEN top THEN 'Somebody — ' ELSE '' END || label, chr(10) ORDER BY a, z, i) AS dates FROM n GROUP BY id)
+SELECT id AS profile_id, 'Only what stands between the rulers may be quoted.' || chr(10) || repeat('=', 40) || chr(10) || raw_text || chr(10) || repeat('=', 40) || chr(10) || '[who]' || chr(10) || 'Ada'
+  || chr(10) || '[roles]' || chr(10) || 'Baker; Sailor' || chr(10) || '[from]' || chr(10) || 'orders' || chr(10) || '[dates]' || chr(10) || dates AS prompt
+FROM told JOIN d USING (id)""",
+    "date_forms": """
+SELECT o_orderkey, 'Desk ' || o_orderstatus || CASE WHEN o_orderkey % 7 = 5 THEN ', Old Mill' ELSE '' END AS label, CAST(year(o_orderdate) AS INT) AS start,
+       CASE WHEN o_orderkey % 7 NOT IN (4, 6) THEN CAST(year(o_orderdate) + o_orderkey % 4 AS INT) END AS stop,
+       CAST(CASE o_orderkey % 7 WHEN 5 THEN 2 WHEN 6 THEN 4 ELSE 3 END AS INT) AS line FROM orders""",
+    "document_people": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN chr(10) || 'linkedin.com/in/ada-' || doc_id || ' and LinkedIn.com/in/Bo_' || doc_id
+    WHEN 1 THEN chr(10) || 'Mail a' || doc_id || '@b.org or C' || doc_id || '@d.org'
+    WHEN 2 THEN chr(10) || 'Experience' || chr(10) || 'x' || chr(10) || ' Education:' || chr(10) || 'y' || chr(10) || 'experience' || chr(10) || 'z' || chr(10) || 'EDUCATION' ELSE '' END AS t FROM documents),
+e AS (SELECT doc_id, doc_id % 5 = 0 AS handled, list_distinct(list_transform(regexp_extract_all(t, '{V.EMAIL}'), lambda x: lower(x))) AS found,
+        list_transform(regexp_extract_all(t, '{V.EMAIL}'), lambda x: lower(x)) AS every,
+        list_filter(list_transform(string_split(regexp_replace(t, '{V.LINE_END}', chr(10), 'g'), chr(10)), lambda x: lower(trim({_stripped('x')}, ':'))),
+          lambda x: list_contains({_words("contact|top skills|skills|experience|education|summary|about|certifications|licenses|honors|publications".split("|"))}, x)) AS heads FROM t),
+p AS (SELECT *, list_sort(list_distinct(list_filter(heads, lambda x: len(list_filter(heads, lambda y: y = x)) > 1))) AS twice,
+        list_filter(every, lambda x, i: list_position(every, x) = i) AS ordered FROM e)
+SELECT doc_id, NOT handled AND len(found) < 2 AND len(twice) < 2 AS ok, CASE WHEN handled THEN 'handles' WHEN len(found) > 1 THEN 'emails' WHEN len(twice) > 1 THEN 'sections' END AS reason,
+       CASE WHEN handled THEN 'linkedin.com/in/ada-' || doc_id || '|linkedin.com/in/bo_' || doc_id WHEN len(found) > 1 THEN array_to_string(ordered, '|')
+            WHEN len(twice) > 1 THEN array_to_string(twice, '|') ELSE '' END AS evidence FROM p""",
+    "guarded_turns": f"""
+WITH c AS (SELECT conv_id, turn, text, 'Hi Ada, would you be open to it? No. ' || turn AS cited, CASE WHEN turn % 3 = 1 THEN '" Let me know if you agree' ELSE '"' END AS rest FROM conversations),
+s AS (SELECT *, text || ' He wrote: "' || cited || rest AS said, replace(text || ' He wrote: "' || cited || rest, cited, ' [quoted] ') AS bare,
+        replace(text || ' He wrote: "' || cited || rest, cited, '') AS cut FROM c)
+SELECT conv_id, turn, {_kind('said')} AS kind, {_kind('bare')} AS kind_without, md5(CASE WHEN {_kind('cut')} IS NULL THEN cut ELSE 'held' END) AS kept FROM s""",
     "dialect_differences": f"""
 WITH {_DOUBTED},
 every AS (SELECT doc_id, field, {half_even('t', 2)} AS t, CASE WHEN p IS NULL THEN NULL ELSE floor(p * 100 + 0.5) / 100 END AS p FROM b
