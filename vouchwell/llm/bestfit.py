@@ -27,12 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vouchwell.llm._shared import arrow_type, materialize, small_batches, whole_text
-from vouchwell.llm.packing import word_ids
+from vouchwell.llm.packing import ROWS, word_ids
 
 #: Above this many (partition, length) groups their slots are joined by a shuffle, not broadcast.
 MAX_BROADCAST_GROUPS = 300_000
-#: Rows that are tokenised at a time.
-ROWS = 2000
 
 _PIECES = "pid int, local_rank long, doc_id {id}, piece int, start long, length int, ids binary"
 

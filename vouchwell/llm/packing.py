@@ -29,9 +29,11 @@ from vouchwell.llm._shared import arrow_type, materialize, small_batches, whole_
 MAX_BROADCAST_BASES = 100_000
 #: Words that a worker remembers with their ids. Beyond it stay those that came up again since they
 #: were learned, and beyond that none.
-WORD_CACHE = 150_000
+WORD_CACHE = 300_000
 #: Bytes of text that are split into words at a time.
-SLAB_BYTES = 1 << 21
+SLAB_BYTES = 1 << 23
+#: Rows that are tokenised at a time.
+ROWS = 8000
 #: Words that go through the tokenizer as one text.
 WORDS_AT_ONCE = 2000
 _BREAK = "\x01"
@@ -168,7 +170,7 @@ def _tokenize(path: str, end_id: int, out: pa.Schema):
         coder, start = word_ids(path), 0
         width, tail = coder.dtype.itemsize, np.array([end_id], coder.dtype).tobytes()
         pid = TaskContext.get().partitionId()
-        for batch in small_batches(batches, 2000):
+        for batch in small_batches(batches, ROWS):
             ids = [x + tail for x in coder.encode(batch.column("text"))]
             n = np.array([len(x) // width for x in ids], np.int64)
             ends = start + np.cumsum(n)
