@@ -416,3 +416,37 @@ def test_mix_documents_repeats_rows(spark):
     docs = documents(spark, [(i, "w " * (i % 7), "ab"[i % 2]) for i in range(100)])
     taken = {r.doc_id: r._copies for r in mixing.mix(docs).collect() if r._copies}
     assert Counter(r.doc_id for r in mixing.mix_documents(docs).collect()) == taken
+
+
+def plain_targets(sizes, share, most, weights):
+    names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [None] * (None in sizes)
+    weight = {n: weights[i % len(weights)] for i, n in enumerate(names)}
+    target, full = {}, set()
+    while True:
+        rest = share * sum(sizes.values()) - sum(most * sizes[n] for n in full)
+        open_weight = sum(weight[n] for n in names if n not in full)
+        target = {n: most * sizes[n] if n in full else rest * weight[n] / open_weight for n in names}
+        over = {n for n in names if target[n] > most * sizes[n]}
+        if not over:
+            return target
+        full |= over
+
+
+@pytest.mark.parametrize("share", [1.5, 0.01, 1.99])
+def test_targets_of_many_sources(spark, share):
+    """Sizes from nothing to a third of all words, in more ranges than one."""
+    rng = np.random.default_rng(3)
+    sizes = {f"s{i}" if i % 3 else f"\u00e9{i}\U0001f600": int(x) for i, x in enumerate(rng.pareto(0.7, 3000) * 20)}
+    sizes |= {None: 40, "": 7, "hot": sum(sizes.values()) // 2, "\uff5e": 0}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(5)
+    got = {r.source: r.target for r in mixing.source_targets(rows, share).collect()}
+    want = plain_targets(sizes, share, 2.0, mixing.WEIGHTS)
+    assert got.keys() == want.keys()
+    assert all(got[n] == pytest.approx(want[n], rel=1e-9, abs=1e-9) for n in want)
+
+
+def test_targets_that_no_level_reaches(spark):
+    rows = spark.createDataFrame([("a", 10), ("b", 4), (None, 0)], "source string, size long")
+    assert {r.source: r.target for r in mixing.source_targets(rows, 2.5).collect()} == {"a": 20.0, "b": 8.0, None: 0.0}
+    assert mixing.source_targets(rows.filter("false")).count() == 0
+    assert [r.target for r in mixing.source_targets(rows.filter("size = 0")).collect()] == [0.0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -102,13 +103,23 @@ def discard(spark: SparkSession, path: str) -> None:
 ROWS_AT_ONCE = 1000
 
 
+def give_back() -> None:
+    """Free memory of a Python worker goes back to the system. Workers outlive their tasks, and those
+    that wait would hold what their largest task took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows: what a task makes of texts in memory is bounded by
-    these, and Arrow's pool gives back at the end what it no longer needs."""
+    these, and goes back to the system at the end."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+        batch = None
+    give_back()
 
 
 def arrow_type(kind: DataType) -> pa.DataType:

@@ -50,8 +50,8 @@ def long_prefixes(bwt: np.ndarray, length: int) -> np.ndarray:
     by_symbol = np.argsort(bwt.astype(np.uint16), kind="stable")  # by radix
     step_back = np.empty(n, np.int64)
     step_back[by_symbol] = np.arange(n)
-    places = bwt[by_symbol] * (n + 1) + by_symbol  # sorted; a search in it counts a symbol's rows
-    symbols = np.unique(bwt)
+    places = bwt[by_symbol].astype(np.int64) * (n + 1) + by_symbol  # sorted; a search in it counts a symbol's rows
+    symbols = np.unique(bwt).astype(np.int64)
     open_ = np.ones(n + 1, bool)
     open_[[0, n]] = False
     left, right = np.array([0]), np.array([n])
@@ -94,7 +94,7 @@ def repeated_starts(spans: list[bytes], starts: np.ndarray, length: int) -> list
         return []
     sizes = np.array([len(s) + 1 for s in spans])
     begin = np.cumsum(sizes) - sizes
-    text = np.frombuffer(b"\0".join(spans) + b"\0", np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\0".join(spans) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
     text[begin + sizes - 1] = 0
     order = rotation_order(text, length)
     bwt = text[order - 1]

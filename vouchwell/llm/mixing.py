@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vouchwell.llm._shared import WORD, materialize, packed, unpacked, whole_text
+from vouchwell.llm._shared import WORD, materialize, packed, partitions, unpacked, whole_text
 
 #: The weights that the sources take in turn.
 WEIGHTS = (5, 2, 1)
@@ -38,39 +38,58 @@ def uniform(seed: int) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws(":", *said)), 1, _HEX), 16, 10).cast("double") + 0.5) / float(16**_HEX)
 
 
+def source_turns(per_source: DataFrame) -> DataFrame:
+    """The rows with ``turn``, their source's number from 0 on, by code point, null last: sources are
+    ordered in ranges, numbered within their range, and ranges by their counts before."""
+    spark, name = per_source.sparkSession, F.col("source").asc_nulls_last()
+    ranged = per_source.repartitionByRange(partitions(spark), name).sortWithinPartitions(name)
+    at = materialize(ranged.withColumn("at", F.monotonically_increasing_id()), "ranged")
+    at = at.withColumn("range", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    held = at.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("held"))
+    return at.join(F.broadcast(held), "range").withColumn("turn", F.col("held") + F.col("at")).drop("range", "at", "held")
+
+
+def fill_level(weighted: DataFrame, share: float) -> float | None:
+    """The level ``t`` with sum(min(cap, t * weight)) = share * total; None if no level reaches that.
+
+    Newton's steps from below: each takes the sources whose cap lies under the level as full and deals
+    the rest to the others, one sum over all sources. The sum is concave in the level, so steps never
+    pass it, and end where no source fills up any more: in some steps, or at worst about as many as
+    the total has binary digits.
+    """
+    total, weight = weighted.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not total:
+        return None
+    want, full = share * total, 0
+    level = want / weight
+    while True:
+        under = F.col("ratio") <= F.lit(level)
+        sums = [F.count_if(under), F.sum(F.when(under, F.col("cap"))), F.sum(F.when(~under, F.col("weight")))]
+        now, filled, open_weight = weighted.agg(*sums).first()
+        if open_weight is None:
+            return None
+        if now <= full:
+            return level
+        full, level = now, (want - (filled or 0.0)) / open_weight
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> DataFrame:
     """Per source: size, number of documents with words, and target. ``share`` of all words is dealt
     by weight; a target stops at ``most`` times its source's size and the excess is dealt again by
-    weight.
-
-    The level ``t`` with sum(min(most * size, t * weight)) = share * total is found in closed form:
-    in order of cap per weight, a source is full while its cap lies below the level that the
-    sources from it on would share. The windows run over one row per source, not over documents.
-    """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everywhere = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.lit(share) * F.col("total") - F.col("filled")) / F.col("open_weight")
-    return (
-        sizes.groupBy("source")
-        .agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("worded"))
-        .withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int")))
+    weight. Sources are rows of a table of any length."""
+    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("worded"))
+    place = (F.pmod("turn", F.lit(len(weights))) + 1).cast("int")
+    weighted = (
+        source_turns(materialize(per_source, "sources"))
+        .withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place))
         .withColumn("cap", F.lit(most) * F.col("source_size"))
         .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(everywhere))
-        .withColumn("filled", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open_weight", F.sum("weight").over(onward))
-        .withColumn("level", F.first(F.when(F.col("ratio") > level, level), ignorenulls=True).over(everywhere))
-        .select(
-            "source",
-            "source_size",
-            "worded",
-            F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("weight")), F.col("cap")).alias("target"),
-        )
     )
+    weighted = materialize(weighted, "weighted")
+    level = fill_level(weighted, share)
+    target = F.col("cap") if level is None else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
+    return weighted.select("source", "source_size", "worded", target.alias("target"))
 
 
 def _bounded(small: DataFrame) -> DataFrame:

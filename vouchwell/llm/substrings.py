@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vouchwell.llm._shared import materialize, packed, small_batches, unpacked, whole_text
+from vouchwell.llm._shared import give_back, materialize, packed, small_batches, unpacked, whole_text
 from vouchwell.llm.bwt import repeated_starts
 
 LENGTH = 200
@@ -143,7 +143,7 @@ def _runs(texts: DataFrame, gram: int, length: int) -> DataFrame:
 
 def _slice(batches):
     """Cut the asked spans out of each document."""
-    for batch in batches:
+    for batch in small_batches(batches):
         out = []
         for text, row, row2, spans in zip(*(batch.column(c) for c in ("bytes", "row", "row2", "spans"))):
             raw, row, row2 = text.as_py(), row.as_py(), row2.as_py()
@@ -158,6 +158,7 @@ def _expand(length: int):
     """Repeated byte ranges of one block of distinct runs."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         spans = rows["bytes"].tolist()
         starts = np.array([len(s) - length + 1 for s in spans], np.int64)
         base, out = rows["base"].to_numpy(), []
