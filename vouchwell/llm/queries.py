@@ -68,9 +68,60 @@ def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-SELECT conv_id, turn, role, text, CAST(0 AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked, CAST(NULL AS BIGINT) AS parent_turn, turn AS root_turn,
-       CAST(0 AS BIGINT) AS depth, '<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS markup
-FROM conversations
+WITH RECURSIVE texts AS (
+  SELECT DISTINCT text FROM conversations WHERE text IS NOT NULL),
+lines AS (
+  SELECT text, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT text, string_split_regex(text, '\r\n|\n|\r') AS l FROM texts)),
+levels AS (
+  SELECT *, regexp_extract(line, '^[ \t>]*>[ \t]?') AS prefix, length(prefix) - length(replace(prefix, '>', '')) AS level, substr(line, length(prefix) + 1) AS body,
+         regexp_matches(line, '(?i)^[ \t]*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba (?-i:é)crit|el\b.*\bescribi(?-i:ó))[ \t]*:[ \t]*$') AS announces
+  FROM lines),
+marked AS (
+  SELECT *, coalesce(lag(level) OVER along <> level, TRUE) AS starts, announces AND coalesce(lead(level) OVER along > 0, FALSE) AS before_quote
+  FROM levels WINDOW along AS (PARTITION BY text ORDER BY pos)),
+own AS (
+  SELECT text, count(*) FILTER (level > 0) AS n_quotes,
+         CASE WHEN count(*) FILTER (level > 0) = 0 THEN text
+              ELSE trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT before_quote), ''), ' ' || chr(9) || chr(10)) END AS said
+  FROM marked GROUP BY text),
+passages AS (
+  SELECT text, passage, level, string_agg(body, chr(10) ORDER BY pos) AS quote
+  FROM (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY text ORDER BY pos) AS passage FROM marked) WHERE level > 0 GROUP BY text, passage, level),
+talk AS (
+  SELECT DISTINCT conv_id, turn, text FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations JOIN passages USING (text))),
+contents AS (
+  SELECT quote AS content FROM passages UNION SELECT own.said FROM talk JOIN own USING (text)),
+paragraphs AS (
+  SELECT content, trim(regexp_replace(lower(unnest(string_split_regex(content, '\r?\n[ \t]*\r?\n'))), '[ \t\r\n]+', ' ', 'g'), ' ') AS unit FROM contents),
+small AS (
+  SELECT content, trim(regexp_replace(lower(unnest(string_split_regex(content, '\r\n|\n|\r'))), '[ \t\r\n]+', ' ', 'g'), ' ') AS unit FROM contents
+  UNION SELECT content, unnest(string_split(regexp_replace(unit, '([.!?…]) ', '\1' || chr(0) || chr(1), 'g'), chr(0) || chr(1))) FROM paragraphs),
+units AS (
+  SELECT content, trim(regexp_replace(lower(content), '[ \t\r\n]+', ' ', 'g'), ' ') AS unit, 2 * length(unit) AS weight, FALSE AS short FROM contents WHERE unit <> ''
+  UNION SELECT content, unit, 2 * length(unit), FALSE FROM paragraphs WHERE unit <> ''
+  UNION SELECT content, unit, length(unit), length(unit) < 12 FROM small WHERE unit <> ''),
+first AS (
+  SELECT conv_id, unit, min(turn) AS quoted_turn, max(turn) AS last_turn
+  FROM talk JOIN own USING (text) JOIN units ON units.content = own.said GROUP BY conv_id, unit),
+found AS (
+  SELECT conv_id, turn, text, passage, level, quoted_turn, sum(weight) AS weight
+  FROM talk JOIN passages USING (text) JOIN units ON units.content = passages.quote JOIN first USING (conv_id, unit)
+  WHERE quoted_turn < turn AND (NOT short OR quoted_turn = last_turn) GROUP BY ALL),
+linked AS (
+  SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY conv_id, turn, text, passage, level ORDER BY weight DESC, quoted_turn DESC) = 1),
+parents AS (
+  SELECT conv_id, turn, quoted_turn AS parent, count(*) OVER (PARTITION BY conv_id, turn) AS n_linked
+  FROM linked QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, weight DESC, quoted_turn DESC) = 1),
+up AS (
+  SELECT conv_id, turn, parent AS root, 1 AS depth FROM parents
+  UNION ALL SELECT up.conv_id, up.turn, p.parent, depth + 1 FROM up JOIN parents p ON p.conv_id = up.conv_id AND p.turn = up.root),
+roots AS (
+  SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, role, own.said AS text, CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked,
+       parent AS parent_turn, coalesce(root, c.turn) AS root_turn, CAST(coalesce(depth, 0) AS BIGINT) AS depth,
+       '<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(own.said, '') || chr(10) || '<|end|>' || chr(10) AS markup
+FROM conversations c LEFT JOIN own ON own.text = c.text
+LEFT JOIN parents ON parents.conv_id = c.conv_id AND parents.turn = c.turn LEFT JOIN roots ON roots.conv_id = c.conv_id AND roots.turn = c.turn
 """
 
 REPLIES_SQL = r"""

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from vouchwell.llm._shared import materialize
 
 QUOTE = r"^[ \t]*>"
+_QUOTES = r"(?:^|[\r\n])[ \t]*>"  # a line that lines are split into, not one of Java's own kinds
 _PREFIX = r"^[ \t>]*>[ \t]?"  # no repeated group: Java's stack would grow with the marks
 _ANNOUNCES = r"(?i)^[ \t]*(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)[ \t]*:[ \t]*$"
 #: Normalised lines and sentences shorter than this are a link only where no other message says them.
@@ -47,12 +48,12 @@ def own_text(text: Column) -> Column:
     lines = _lines(text)
     following = lambda i: F.coalesce(F.try_element_at(lines, i + 2), F.lit(""))
     kept = F.filter(lines, lambda x, i: ~x.rlike(QUOTE) & ~(x.rlike(_ANNOUNCES) & following(i).rlike(QUOTE)))
-    return F.when(text.rlike("(?m)" + QUOTE), F.btrim(F.array_join(kept, "\n"), F.lit(_BLANKS))).otherwise(text)
+    return F.when(text.rlike(_QUOTES), F.btrim(F.array_join(kept, "\n"), F.lit(_BLANKS))).otherwise(text)
 
 
 def passages(messages: DataFrame) -> DataFrame:
     """Quoted passages: conv_id, turn, passage (its number), level, lines (without marks)."""
-    quoting = messages.filter(F.col("text").rlike("(?m)" + QUOTE)).select("conv_id", "turn", F.xxhash64("text").alias("said"), "text").distinct()
+    quoting = messages.filter(F.col("text").rlike(_QUOTES)).select("conv_id", "turn", F.xxhash64("text").alias("said"), "text").distinct()
     apart = quoting.select("conv_id", "turn", "said", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     prefix = F.regexp_extract("line", _PREFIX, 0)
     levelled = apart.select(
@@ -130,7 +131,7 @@ def format_messages(messages: DataFrame) -> DataFrame:
     slim = messages.select("conv_id", "turn", "role", "text")
     found = threads(links(slim)).select("conv_id", "turn", "parent_turn", "root_turn", "depth", "n_linked")
     own = own_text(F.col("text"))
-    quoted = F.when(F.col("text").rlike("(?m)" + QUOTE), F.size(F.filter(_lines(F.col("text")), lambda x: x.rlike(QUOTE)))).otherwise(F.lit(0))
+    quoted = F.when(F.col("text").rlike(_QUOTES), F.size(F.filter(_lines(F.col("text")), lambda x: x.rlike(QUOTE)))).otherwise(F.lit(0))
     clean = slim.select("conv_id", "turn", "role", own.alias("text"), quoted.alias("n_quotes"))
     return clean.join(found, ["conv_id", "turn"], "left").select(
         "conv_id",
