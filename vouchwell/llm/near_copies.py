@@ -1,14 +1,15 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
 
 A bit limit on 64-bit SimHash fingerprints that holds such pairs (about 10 bits at 0.8, 16 and more
-for the tail) leaves blocks of three or four bits, so all would meet all. Documents meet by bands of
+for the tail) leaves blocks of three or four bits, so all would meet all. Documents are dealt by bands of
 min-hashes instead: two sets with likeness s share one of ``BANDS`` bands of ``ROWS`` with
-probability 1 - (1 - s^ROWS)^BANDS, 0.9998 at 0.8. Within a band, neighbours in the Gray order of
-the fingerprints are compared first; bands whose sets they connect are done. The sets of any other
-band are compared with each other inside tasks, in parts of bounded size, by counting common shingles
-in bit sets; of the links found only a forest leaves a task. All links are by the exact
-likeness of the sets. A large group of near copies so costs some rows per member, and a part of a band
-as many rows as it has other parts to be compared with.
+probability 1 - (1 - s^ROWS)^BANDS, 0.9998 at 0.8. The fingerprints of a band are searched through the
+hierarchical index in Gray order of ``simhash``, at ``LIMIT`` bits; of the pairs found, those that connect
+a band's fingerprints, nearest first, are confirmed by the exact likeness of their sets. Bands that are
+connected by then are done. What is left apart is compared exactly inside tasks, in parts of bounded
+size, by counting common shingles in bit sets, so the limit loses no link; of the links found only
+a forest leaves a task. A large group of near copies so costs some rows per member, and a part of a
+band as many rows as it has other parts to be compared with.
 
 Edge cases: a null, empty or blank text has the empty set, and all of these are copies of each
 other; fewer than ``SHINGLE`` words form one shingle; repeated rows and texts with one set are one
@@ -23,13 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vouchwell.llm._shared import give_back, materialize, small_batches, whole_text
+from vouchwell.llm._shared import give_back, materialize, partitions, small_batches, whole_text
 from vouchwell.llm.components import connected_components
-from vouchwell.llm.simhash import first_of, forest, keep_named, majority, shingle_hashes
+from vouchwell.llm.simhash import GROUP_ROWS, GrayIndex, first_of, forest, gray_ranks, keep_named, majority, shingle_hashes
 
 SHINGLE = 5
 LIKENESS = 0.8
 BANDS, ROWS = 16, 4
+#: Differing bits up to which the index is searched: the mean at a likeness of 0.8 (9.7) and three deviations.
+LIMIT = 18
+#: Fingerprints of one band that one index holds; a larger band has one per range of Gray ranks.
+RANGE = 8192
+#: Pairs that a search may hold at once.
+HELD = 1 << 20
 #: Sets of usual size of one band that are compared at once with each other or with as many others;
 #: of long texts, fewer.
 PART = 512
@@ -100,8 +107,72 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def _may_be_alike(n: Column, m: Column) -> Column:
-    return F.least(n, m) >= F.greatest(n, m) * LIKENESS
+def spanning(i: np.ndarray, j: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (i, j) connect nodes that ``root`` doesn't, without a circle, earlier pairs
+    first; and the roots then."""
+    taken, at = [np.zeros(0, np.int64)], np.arange(len(i))
+    while True:
+        low, high = np.minimum(root[i[at]], root[j[at]]), np.maximum(root[i[at]], root[j[at]])
+        at, low, high = (x[low < high] for x in (at, low, high))
+        if not len(at):
+            return np.concatenate(taken), root
+        hung, first = np.unique(high, return_index=True)
+        taken.append(at[first])
+        up = np.arange(len(root))
+        up[hung] = low[first]
+        while (further := up[up]).tobytes() != up.tobytes():
+            up = further
+        root = up[root]
+
+
+def near_pairs(fp: np.ndarray, n: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that connect, nearest first, the fingerprints at most LIMIT bits apart whose sets'
+    sizes allow the likeness. ``fp`` stands in Gray order within each band; ``after`` is the end of a
+    row's band."""
+    index, own = GrayIndex(fp), np.arange(len(fp))
+    root, found = own, []
+    meets = np.cumsum(after - own + index.fanout * 2 * len(index.levels))
+    start = 0
+    while start < len(fp):
+        end = max(start + 1, int(np.searchsorted(meets, (meets[start - 1] if start else 0) + HELD, side="right")))
+        i, j = index.search(fp[start:end], LIMIT, (own[start:end] + 1, after[start:end]))
+        i = i + start
+        may = np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * LIKENESS
+        i, j = i[may], j[may]
+        nearest = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")
+        i, j = i[nearest], j[nearest]
+        taken, root = spanning(i, j, root)
+        found.append((i[taken], j[taken]))
+        start = end
+    if not found:
+        return own, own
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _searched(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs within the bands (or ranges of large ones) of one group, through one index of them all."""
+    fp = rows["fp"].to_numpy().view(np.uint64)
+    band, part = rows["band"].to_numpy(), rows["range"].to_numpy()
+    order = np.lexsort((rows["node"].to_numpy(), gray_ranks(fp), part, band))
+    band, part = band[order], part[order]
+    ends = np.append(np.flatnonzero((band[1:] != band[:-1]) | (part[1:] != part[:-1])) + 1, len(band))
+    after = np.repeat(ends, np.diff(ends, prepend=0))
+    i, j = near_pairs(fp[order], rows["n"].to_numpy()[order], after)
+    node = rows["node"].to_numpy()[order]
+    return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+
+def _index_pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that the indexes of the bands find."""
+    sizes = met.groupBy("band").agg(F.count("*").alias("members"))
+    large = F.broadcast(sizes.filter(F.col("members") > RANGE).select("band", F.lit(True).alias("large")))  # one in RANGE rows at most
+    marked = met.join(large, "band", "left")
+    order = Window.partitionBy("band").orderBy(gray_rank(F.col("fp")), "node")
+    whole = marked.filter("large is null").withColumn("range", F.lit(0))
+    ranged = marked.filter("large").withColumn("range", F.floor((F.row_number().over(order) - 1) / RANGE).cast("int"))
+    groups = max(partitions(met.sparkSession), met.count() // GROUP_ROWS + 1)
+    dealt = whole.unionByName(ranged).select(F.pmod(F.xxhash64("band", "range"), F.lit(groups)).alias("group"), "band", "range", "node", "fp", "n")
+    return dealt.groupBy("group").applyInPandas(_searched, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,11 +253,7 @@ def linked(met: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root) of every node whose component has a smaller one. ``met``: node, fp, n (its set's
     size) and band, one row for each band a node meets others by; ``sets``: node and shingles.
     Nodes of one band are linked if their sets are alike."""
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    order = Window.partitionBy("band").orderBy(gray_rank(F.col("fp")), "node")
-    beside = met.select("node", "n", F.lag("node").over(order).alias("other"), F.lag("n").over(order).alias("m"))
-    beside = beside.filter(F.col("other").isNotNull() & _may_be_alike(F.col("n"), F.col("m"))).select(*pair("node", "other")).distinct()
-    beside = materialize(beside, "beside")
+    beside = materialize(_index_pairs(met), "beside")
     links = materialize(_confirmed(beside, sets), "links")
     roots = connected_components(links).select(F.col("node").alias("_node"), "root")
 

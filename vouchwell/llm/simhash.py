@@ -103,24 +103,45 @@ class GrayIndex:
             pattern, mask = pattern[at] & up_mask, up_mask
         self.levels.append((pattern, mask))
 
-    def search(self, queries: np.ndarray, limit: int):
-        """Index pairs (query, entry) that differ in at most ``limit`` of the entry's fixed bits."""
+    def search(self, queries: np.ndarray, limit: int, within: tuple[np.ndarray, np.ndarray] | None = None):
+        """Index pairs (query, entry) that differ in at most ``limit`` of the entry's fixed bits.
+        ``within``: each query's first entry and the one after its last; by default it meets all."""
+        width = self.fanout ** (len(self.levels) - 1)  # entries under a node
         pattern, mask = self.levels[-1]
         q = np.repeat(np.arange(len(queries)), len(pattern))
         node = np.tile(np.arange(len(pattern)), len(queries))
+        q, node = _meeting(q, node, width, within)
         spent = np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
         near = spent <= limit
         q, node, spent = q[near], node[near], spent[near]
         for pattern, mask in reversed(self.levels[:-1]):
+            width //= self.fanout
             child = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
+            q, spent = np.repeat(q, self.fanout), np.repeat(spent, self.fanout)
             inside = child < len(pattern)
-            child, q = child[inside], np.repeat(q, self.fanout)[inside]
-            spent = np.repeat(spent, self.fanout)[inside] + np.bitwise_count((queries[q] ^ pattern[child]) & mask[child])
+            q, child, spent = _meeting(q[inside], child[inside], width, within, spent[inside])
+            spent = spent + np.bitwise_count((queries[q] ^ pattern[child]) & mask[child])
             near = spent <= limit
             q, node, spent = q[near], child[near], spent[near]
         return q, node
 
 
+def _meeting(q: np.ndarray, node: np.ndarray, width: int, within, *more: np.ndarray):
+    """The (query, node) pairs whose node covers entries that the query meets."""
+    if within is None:
+        return q, node, *more
+    first, after = within
+    kept = (node * width < after[q]) & ((node + 1) * width > first[q])
+    return q[kept], node[kept], *(m[kept] for m in more)
+
+
+def gray_ranks(patterns: np.ndarray) -> np.ndarray:
+    rank = patterns.copy()
+    for step in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(step)
+    return rank
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The least node that each of ``n`` nodes reaches through the links (a, b)."""
     root = np.arange(n)
@@ -158,10 +179,7 @@ def _links(limit: int, chunk: int = 1024):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy().view(np.uint64)
         turned = rows["turned"].to_numpy().view(np.uint64)
-        rank = turned.copy()
-        for step in (1, 2, 4, 8, 16, 32):
-            rank ^= rank >> np.uint64(step)
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(gray_ranks(turned), kind="stable")
         fp, turned = fp[order], turned[order]
         index = GrayIndex(turned)
         root = np.arange(len(fp))
