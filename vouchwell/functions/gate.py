@@ -37,7 +37,8 @@ def numbers(text: Column) -> Column:
 
 
 def missing_numbers(claim: Column, quote: Column) -> Column:
-    return F.array_sort(F.array_except(numbers(claim), numbers(quote)))
+    missing = lambda said: F.when((F.size(said) == 0) & quote.isNotNull(), said).otherwise(F.array_sort(F.array_except(said, numbers(quote))))
+    return let(numbers(claim), missing)
 
 
 def gate(claim: Column, quote: Column, modes=MODES, whole_words: bool = False) -> Column:

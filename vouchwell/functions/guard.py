@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vouchwell.functions.text import let
+
 # The patterns in the order they are tried, and what each finds.
 PATTERNS = (
     (r"(?iu)\b(hi|hey|hello|dear)\b[ ,]+[A-Z][a-z]+", "salutation"),
@@ -30,11 +32,14 @@ def without_quotes(text: Column, exempt: Column) -> Column:
 
 def sendable_kind(text: Column, exempt: Column | None = None) -> Column:
     """The kind of sendable text that the first matching pattern finds, or null."""
-    looked = F.coalesce(text, F.lit("")) if exempt is None else without_quotes(text, exempt)
-    found = F.when(looked.rlike(PATTERNS[0][0]), F.lit(PATTERNS[0][1]))
-    for pattern, kind in PATTERNS[1:]:
-        found = found.when(looked.rlike(pattern), F.lit(kind))
-    return found
+
+    def of(looked):
+        found = F.when(looked.rlike(PATTERNS[0][0]), F.lit(PATTERNS[0][1]))
+        for pattern, kind in PATTERNS[1:]:
+            found = found.when(looked.rlike(pattern), F.lit(kind))
+        return found
+
+    return of(F.coalesce(text, F.lit(""))) if exempt is None else let(without_quotes(text, exempt), of)
 
 
 def reject_sendable(text: Column, exempt: Column | None = None) -> Column:

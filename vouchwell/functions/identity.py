@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vouchwell.functions.lexicon import PROFILE_SECTIONS
-from vouchwell.functions.text import lines, strip
+from vouchwell.functions.text import let, lines, strip
 
 # Fixed values.
 HANDLE = r"(?i)linkedin\.com/in/([A-Za-z0-9\-_%]+)"
@@ -29,18 +29,17 @@ def emails(text: Column) -> Column:
 def repeated_sections(text: Column) -> Column:
     """Once-per-profile headings that stand twice or more, sorted."""
     bare = F.transform(lines(text), lambda x: F.lower(F.btrim(strip(x), F.lit(":"))))
-    found = F.filter(bare, lambda x: x.isin(*PROFILE_SECTIONS))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda x: F.size(F.filter(found, lambda y: y == x)) > 1)))
+    twice = lambda found: F.filter(found, lambda x: F.size(F.filter(found, lambda y: y == x)) > 1)
+    return F.array_sort(F.array_distinct(let(F.filter(bare, lambda x: x.isin(*PROFILE_SECTIONS)), twice)))
 
 
 def one_person(raw_text: Column) -> Column:
     """STRUCT<ok, reason, evidence>: two handles, else two addresses, else two repeated headings."""
-    text = F.coalesce(raw_text, F.lit(""))
-    h, e, r = handles(text), emails(text), repeated_sections(text)
     none = F.array().cast("array<string>")
-    found = (
-        F.when(F.size(h) > 1, F.struct(F.lit("handles").alias("reason"), F.transform(h, lambda x: F.concat(F.lit("linkedin.com/in/"), x)).alias("evidence")))
-        .when(F.size(e) > 1, F.struct(F.lit("emails").alias("reason"), e.alias("evidence")))
-        .when(F.size(r) > 1, F.struct(F.lit("sections").alias("reason"), r.alias("evidence")))
-    )
-    return F.struct(found.isNull().alias("ok"), found["reason"].alias("reason"), F.coalesce(found["evidence"], none).alias("evidence"))
+    named = lambda reason, evidence: F.struct(F.lit(reason).alias("reason"), evidence.alias("evidence"))
+    full = lambda h: F.transform(h, lambda x: F.concat(F.lit("linkedin.com/in/"), x))
+    sections = lambda t: let(repeated_sections(t), lambda r: F.when(F.size(r) > 1, named("sections", r)))
+    mails = lambda t: let(emails(t), lambda e: F.when(F.size(e) > 1, named("emails", e)).otherwise(sections(t)))
+    people = lambda t: let(handles(t), lambda h: F.when(F.size(h) > 1, named("handles", full(h))).otherwise(mails(t)))
+    told = lambda f: F.struct(f.isNull().alias("ok"), f["reason"].alias("reason"), F.coalesce(f["evidence"], none).alias("evidence"))
+    return let(let(F.coalesce(raw_text, F.lit("")), people), told)

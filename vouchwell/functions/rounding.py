@@ -18,17 +18,15 @@ def round_half_even(value: Column, digits: int) -> Column:
     apart), so a value just off a half isn't taken for one."""
     if not 0 <= digits <= MAX_DIGITS:
         raise ValueError(f"0 to {MAX_DIGITS} digits")
-    scale, value = float(10**digits), value.cast("double")
+    scale = float(10**digits)
 
     def of(x):
         big = x * _SPLIT
-        upper = big - (big - x)
-        product = x * scale
-        error = (upper * scale - product) + (x - upper) * scale
-        return let(F.struct(product.alias("p"), error.alias("e")), lambda s: _whole(s["p"], s["e"]) / scale)
+        parted = F.struct((big - (big - x)).alias("upper"), (x * scale).alias("p"))
+        error = lambda s: (s["upper"] * scale - s["p"]) + (x - s["upper"]) * scale
+        return let(let(parted, lambda s: F.struct(s["p"], error(s).alias("e"), F.floor(s["p"]).cast("double").alias("down"))), lambda s: _whole(s["p"], s["e"], s["down"]) / scale)
 
-    def _whole(p, e):
-        down = F.floor(p).cast("double")
+    def _whole(p, e, down):
         odd = F.pmod(down, F.lit(2.0)) == 1
         # p - down is a multiple of p's last place, and e less than that: the sums' signs are right
         above = lambda half: (p - down - half) + e
@@ -36,7 +34,10 @@ def round_half_even(value: Column, digits: int) -> Column:
         low = (above(-0.5) < 0) | ((above(-0.5) == 0) & odd)
         return F.when(up, down + 1).when(low, down - 1).otherwise(down)
 
-    size = F.abs(value)
-    plain = F.isnan(value) | (size * scale >= float(2**53)) | (value == 0)
-    rounded = let(size, of)
-    return F.when(plain, value).otherwise(F.when(value < 0, -rounded).otherwise(rounded))
+    def signed(x):
+        size = F.abs(x)
+        plain = F.isnan(x) | (size * scale >= float(2**53)) | (x == 0)
+        rounded = let(size, of)
+        return F.when(plain, x).otherwise(F.when(x < 0, -rounded).otherwise(rounded))
+
+    return let(value.cast("double"), signed)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\t-\r\x{1c}-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE = f"[{SPACE_CLASS}]"
 OTHER_SPACE = f"[{SPACE_CLASS}&&[^ ]]"
+#: Characters that are no white space are passed by one range test, not by one for each of its kinds.
+NO_LETTER = r"(?![!-~\x{a1}-\x{167f}])"
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TRIMMED_MARKS = " \t\r\n\"'“”‘’.,;:-—–"
@@ -32,21 +34,21 @@ def strip(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one space; the single spaces that a text mostly has are left alone."""
-    return F.regexp_replace(text, f" {SPACE}++|{OTHER_SPACE}{SPACE}*+", " ")
+    return F.regexp_replace(text, f"{NO_LETTER}(?: {SPACE}++|{OTHER_SPACE}{SPACE}*+)", " ")
 
 
 def normalize(text: Column) -> Column:
     """Straight quotes, single spaces, no spaces at the ends; null counts as empty."""
-    some = F.coalesce(text, F.lit(""))
-    straight = F.when(some.rlike("[’‘“”]"), F.translate(some, "’‘“”", "''\"\"")).otherwise(some)
-    return F.btrim(collapse(straight))
+    straight = lambda some: F.when(some.rlike("[’‘“”]"), F.translate(some, "’‘“”", "''\"\"")).otherwise(some)
+    return F.btrim(collapse(let(F.coalesce(text, F.lit("")), straight)))
 
 
 def _without_ellipses(text: Column) -> Column:
     """Without ellipses at the ends. The end is read backwards, so that no run of full stops is
     tried from each of its places."""
     ahead = lambda t: F.regexp_replace(t, ELLIPSES, "")
-    return F.when(F.endswith(text, F.lit("...")) | F.endswith(text, F.lit("…")), F.reverse(ahead(F.reverse(ahead(text))))).otherwise(ahead(text))
+    both = lambda t: F.when(F.endswith(t, F.lit("...")) | F.endswith(t, F.lit("…")), F.reverse(ahead(F.reverse(ahead(t))))).otherwise(ahead(t))
+    return let(text, both)
 
 
 def canonical(span: Column) -> Column:
@@ -75,9 +77,9 @@ def tidy_quote(evidence: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines as Python's splitlines gives them; an empty text has none."""
-    whole = F.regexp_replace(text, LINE_END, "\n")
-    closed = F.regexp_replace(whole, r"\n\z", "")
-    return F.when(F.length(whole) == 0, F.array().cast("array<string>")).otherwise(F.split(closed, "\n"))
+    closed = lambda whole: F.regexp_replace(whole, r"\n\z", "")
+    parted = lambda whole: F.when(F.length(whole) == 0, F.array().cast("array<string>")).otherwise(F.split(closed(whole), "\n"))
+    return let(F.regexp_replace(text, LINE_END, "\n"), parted)
 
 
 def _last_end(text: Column, mark: str) -> Column:
@@ -96,7 +98,8 @@ def _up_to(text: Column, end: Column, change) -> Column:
 
 def strip_thinking(text: Column) -> Column:
     """Without the parts between thinking marks; one that never ends stays."""
-    return _up_to(text, _last_end(text, "</think>"), lambda t: F.regexp_replace(t, r"(?is)<think>.*?</think>", ""))
+    without = lambda t: let(_last_end(t, "</think>"), lambda end: _up_to(t, end, lambda u: F.regexp_replace(u, r"(?is)<think>.*?</think>", "")))
+    return let(text, lambda t: F.when(F.contains(t, F.lit("</")), without(t)).otherwise(t))
 
 
 def word_count(text: Column) -> Column:

@@ -50,22 +50,20 @@ def _label_above(every: Column, i: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("stop"))
 
     def step(state, raw):
-        line = F.btrim(raw, F.lit(" ·•\t"))
         out, n = state["out"], F.size(state["out"])
-        blank = line == ""
-        bad = (
+        bad = lambda line: (
             F.btrim(F.lower(line), F.lit(":")).isin(_NO_LABEL)
             | (F.length(line) > MAX_LABEL_CHARS)
             | line.rlike(r"[.!?]\z")
             | line.rlike(RANGE)
         )
-        done = state["stop"] | (n >= LABEL_LINES)
-        return (
-            F.when(done, F.struct(out.alias("out"), F.lit(True).alias("stop")))
-            .when(blank, F.struct(out.alias("out"), (n > 0).alias("stop")))
-            .when(bad, F.struct(out.alias("out"), F.lit(True).alias("stop")))
+        read = lambda line: (
+            F.when(line == "", F.struct(out.alias("out"), (n > 0).alias("stop")))
+            .when(bad(line), F.struct(out.alias("out"), F.lit(True).alias("stop")))
             .otherwise(F.struct(F.concat(F.array(line), out).alias("out"), F.lit(False).alias("stop")))
         )
+        done = state["stop"] | (n >= LABEL_LINES)
+        return F.when(done, F.struct(out.alias("out"), F.lit(True).alias("stop"))).otherwise(let(F.btrim(raw, F.lit(" ·•\t")), read))
 
     scan = lambda first, n: F.aggregate(F.reverse(F.slice(every, first, n)), start, step)
     n = F.least(i, F.lit(NEAR_LINES))
@@ -79,20 +77,18 @@ def spans(text: Column) -> Column:
     every = lines(F.when(F.coalesce(text, F.lit("")).rlike(ANY_YEAR), text).otherwise(F.lit("")))
 
     def of_line(every, raw, i):
-        bare = four_digit_years(strip(raw))
+        return F.when(~raw.rlike(ANY_YEAR), F.lit(None).cast(SPAN)).otherwise(let(four_digit_years(strip(raw)), lambda bare: dated(every, bare, i)))
+
+    def dated(every, bare, i):
         end = lambda group, pattern: F.regexp_extract(bare, pattern, group).try_cast("int")
-        inline = F.btrim(F.regexp_extract(bare, INLINE, 1), F.lit(" ,;·•-–"))
+        inline = lambda: F.btrim(F.regexp_extract(bare, INLINE, 1), F.lit(" ,;·•-–"))
         span = lambda label, start, stop: F.struct(
             label.alias("label"), start.cast("int").alias("start"), stop.cast("int").alias("end"), i.cast("int").alias("line")
         )
-        above = _label_above(every, i)
-        return (
-            F.when(~raw.rlike(ANY_YEAR), F.lit(None).cast(SPAN))
-            .when(bare.rlike(RANGE), span(above, end(1, RANGE), end(2, RANGE)))
-            .when(bare.rlike(SINCE), span(above, end(1, SINCE), F.lit(None)))
-            .when(
-                bare.rlike(INLINE) & ~F.lower(inline).isin(_NO_LABEL), span(inline, end(2, INLINE), end(3, INLINE))
-            )
+        ranged, since = bare.rlike(RANGE), bare.rlike(SINCE)
+        labelled = lambda label: F.when(ranged, span(label, end(1, RANGE), end(2, RANGE))).otherwise(span(label, end(1, SINCE), F.lit(None)))
+        return F.when(ranged | since, let(_label_above(every, i), labelled)).when(
+            bare.rlike(INLINE), let(inline(), lambda label: F.when(~F.lower(label).isin(_NO_LABEL), span(label, end(2, INLINE), end(3, INLINE))))
         )
 
     found = let(every, lambda all_: F.transform(all_, lambda raw, i: of_line(all_, raw, i)))
@@ -119,8 +115,7 @@ def distinctive_words(text: Column) -> Column:
 def stem(word: Column) -> Column:
     """One ending less, if three characters stay, then no e at the end."""
     cut = F.regexp_replace(word, rf"^(.{{{MIN_STEM},}}?)(?:{'|'.join(SUFFIXES)})$", "$1")
-    bare = F.rtrim(cut, F.lit("e"))
-    return F.when(bare == "", cut).otherwise(bare)
+    return let(cut, lambda c: F.coalesce(F.nullif(F.rtrim(c, F.lit("e")), F.lit("")), c))
 
 
 def stems(text: Column) -> Column:
@@ -148,12 +143,11 @@ def _meeting(text: Column, stemmed: Column) -> Column:
 
 def owning_span(quote: Column, found: Column, text: Column) -> Column:
     """The span whose date line is nearest above the place where the quote stands in the text."""
-    sought = strip(F.coalesce(quote, F.lit("")))
-    at = F.when((sought != "") & (F.coalesce(text, F.lit("")) != ""), F.instr(text, sought))
-    line = F.regexp_count(F.substring(text, F.lit(1), at - 1), F.lit("\n"))
-    above = F.filter(found, lambda s: (at > 0) & (s["line"] >= 0) & (s["line"] <= line))
-    latest = F.array_max(F.transform(above, lambda s: F.struct(s["line"].alias("line"), s.alias("span"))))
-    return F.when(F.size(above) > 0, latest["span"])
+    place = lambda sought: F.when((sought != "") & (F.coalesce(text, F.lit("")) != ""), F.instr(text, sought))
+    line = lambda at: F.when(at > 0, F.regexp_count(F.substring(text, F.lit(1), at - 1), F.lit("\n")))
+    above = lambda last: F.filter(found, lambda s: (s["line"] >= 0) & (s["line"] <= last))
+    latest = lambda last: F.array_max(F.transform(above(last), lambda s: F.struct(s["line"].alias("line"), s.alias("span"))))
+    return let(let(let(strip(F.coalesce(quote, F.lit(""))), place), line), latest)["span"]
 
 
 def departure_shown(quote: Column, stemmed: Column, text: Column) -> Column:

@@ -12,7 +12,7 @@ from vouchwell.functions.text import strip_thinking
 from vouchwell.operators import brief, fit, profile_lines, prompts, records
 from vouchwell.plans import cases as C
 from vouchwell.plans import pipeline
-from vouchwell.plans.queries import spread
+from vouchwell.plans.queries import keyed, spread
 from vouchwell.sources import accounts, decode, files, intake
 
 
@@ -20,7 +20,7 @@ def _table(spark, sf_dir, name, *columns) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns or "*")
 
 
-def dealt(spark, sf_dir, rows, schema: str) -> DataFrame:
+def dealt(spark, sf_dir, rows, schema: str, spread=spread) -> DataFrame:
     """Every customer with the case that its key comes to, and its name put in."""
     table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"_i int, {schema}")
     customers = spread(_table(spark, sf_dir, "customer", "c_custkey", "c_name"))
@@ -135,7 +135,7 @@ def response_cases(spark, sf_dir):
 
 
 def _profiles(spark, sf_dir):
-    d = dealt(spark, sf_dir, [(C.PROFILE, r, f) for r, f in zip(C.RESPONSES, C.FITS)], "raw_text string, content string, fit string")
+    d = dealt(spark, sf_dir, [(C.PROFILE, r, f) for r, f in zip(C.RESPONSES, C.FITS)], "raw_text string, content string, fit string", lambda c: keyed(c, "c_custkey"))
     none = F.lit(None)
     profiles = d.select(
         F.col("c_custkey").alias("profile_id"), "raw_text", F.col("c_name").alias("name"), F.array(F.lit("Baker"), F.lit("Teacher")).alias("known_roles"), none.cast("string").alias("source_notes")

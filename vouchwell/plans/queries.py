@@ -32,6 +32,13 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def keyed(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out by their key over all cores. What is joined by that key stays where it lies,
+    and rows of few bytes but much work aren't put into few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return spread(read(spark, sf_dir, "documents", "doc_id", "text", *more))
 
