@@ -1,5 +1,6 @@
 """Plans in which what is dear is computed once, and by as many tasks as there are cores."""
 
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from tests.conftest import DATA
 from vouchwell.functions import guard, identity, rounding
 from vouchwell.functions import responses as R
 from vouchwell.functions import text as T
+from vouchwell.operators import fit
 from vouchwell.plans import case_queries as cases
 
 SF = f"{DATA}/sf0.001"
@@ -17,6 +19,9 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def nodes(plan):
+    """The plan's nodes, a text each, with the lines that belong to it."""
+    return re.split(r"\n(?=[ :]*[:+]- )", plan)
 
 
 ONCE = {
@@ -45,3 +50,14 @@ def test_few_bytes_stay_on_all_cores(spark):
         assert met.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_are_not_computed_for_each_partition_of_the_roles(spark):
+    assert "Cartesian" not in cases.fit_cases(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_fit_responses_are_read_before_a_filter_on_them(spark):
+    rows = spark.range(5).select(F.col("id").alias("profile_id"), F.lit(1).alias("role_id"), F.concat(F.lit('{"reasoning": "zqx'), "id", F.lit('"}')).alias("content"))
+    arcs, profiles = rows.select("profile_id", F.lit(0.5).alias("confidence")), rows.select("profile_id", F.lit("x").alias("raw_text"))
+    fits, _ = fit.assess(arcs, rows.select("role_id", F.lit("x").alias("raw_description")).limit(1), profiles, rows)
+    assert not any(re.match(r"[ :+-]*(Filter|Join) ", n) and "zqx" in n for n in nodes(optimized(fits)))

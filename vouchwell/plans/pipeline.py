@@ -49,9 +49,14 @@ class Run(Verified):
         super().__init__(profiles, responses, whole_words)
         self._roles, self._fit_responses = roles, fit_responses
 
+    @cached_property
+    def judged(self) -> DataFrame:
+        """Every pair, with the failure of its response or else its fit: one pass over the arcs for both."""
+        return fit.judge(self.arcs, self._roles, self._profiles, self._fit_responses, carry=brief.SAYS)
+
     @cached_property
     def _assessed(self) -> tuple[DataFrame, DataFrame]:
-        return fit.assess(self.arcs, self._roles, self._profiles, self._fit_responses, carry=brief.SAYS)
+        return fit.parted(self.judged)
 
     @cached_property
     def fits(self) -> DataFrame:
