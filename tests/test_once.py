@@ -61,3 +61,9 @@ def test_fit_responses_are_read_before_a_filter_on_them(spark):
     arcs, profiles = rows.select("profile_id", F.lit(0.5).alias("confidence")), rows.select("profile_id", F.lit("x").alias("raw_text"))
     fits, _ = fit.assess(arcs, rows.select("role_id", F.lit("x").alias("raw_description")).limit(1), profiles, rows)
     assert not any(re.match(r"[ :+-]*(Filter|Join) ", n) and "zqx" in n for n in nodes(optimized(fits)))
+
+
+def test_prompts_compute_arcs_once(spark):
+    df = cases.fit_prompt_cases(spark, SF)
+    assert sum("Generate inline" in n for n in nodes(optimized(df))) == 1
+    assert "Cartesian" not in df._jdf.queryExecution().sparkPlan().toString()

@@ -201,7 +201,7 @@ def fit_prompt_cases(spark, sf_dir):
     """What a model would be shown of an arc and a role."""
     profiles, said, role, _ = _profiles(spark, sf_dir)
     arcs = pipeline.verify(profiles, said).arcs
-    p = prompts.fit_prompts(arcs, role, fit.pair_up(arcs, role))
+    p = prompts.fit_prompts(arcs, role, fit.pair_up(profiles, role))  # pairs without an arc have no prompt: arcs are computed once
     return p.select(F.col("profile_id").alias("c_custkey"), "prompt")
 
 
