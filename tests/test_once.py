@@ -11,6 +11,7 @@ from vouchwell.functions import responses as R
 from vouchwell.functions import text as T
 from vouchwell.operators import fit
 from vouchwell.plans import case_queries as cases
+from vouchwell.plans import data_queries as data
 
 SF = f"{DATA}/sf0.001"
 
@@ -67,3 +68,8 @@ def test_prompts_compute_arcs_once(spark):
     df = cases.fit_prompt_cases(spark, SF)
     assert sum("Generate inline" in n for n in nodes(optimized(df))) == 1
     assert "Cartesian" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_fits_and_failures_come_out_of_one_pass(spark):
+    plan = optimized(data.career_fits(spark, SF))
+    assert "Union" not in plan and len(re.findall("Relation", plan)) == 4  # profiles twice, both kinds of responses
