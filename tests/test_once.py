@@ -73,3 +73,13 @@ def test_prompts_compute_arcs_once(spark):
 def test_fits_and_failures_come_out_of_one_pass(spark):
     plan = optimized(data.career_fits(spark, SF))
     assert "Union" not in plan and len(re.findall("Relation", plan)) == 4  # profiles twice, both kinds of responses
+
+
+def test_careers_are_dealt_out_once_a_table(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = data.career_briefs(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#.*?(ENSURE_REQUIREMENTS|REPARTITION_BY_NUM)", plan)
+    assert {k for k, why in dealt if why == "ENSURE_REQUIREMENTS"} == {"o_custkey"}  # only to make the profiles

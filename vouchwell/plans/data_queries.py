@@ -17,7 +17,7 @@ from vouchwell.plans import pipeline
 from vouchwell.plans import sql_values as V
 from vouchwell.plans.made_pdfs import STYLES, make_pdf
 from vouchwell.plans.oracle import half_even
-from vouchwell.plans.queries import read, spread, texts
+from vouchwell.plans.queries import keyed, read, spread, texts
 from vouchwell.sources import accounts, files
 
 
@@ -157,7 +157,7 @@ def _careers(spark, sf_dir):
         )
     )
     made = wide.select(F.col("o_custkey").alias("profile_id"), F.concat_ws("\n", F.lit("Somebody"), teacher, baker, sailor).alias("raw_text"), body.alias("content"))
-    made = spread(made)
+    made = keyed(made, "profile_id")
     return made.select("profile_id", "raw_text"), made.select("profile_id", "content")
 
 
