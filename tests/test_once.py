@@ -1,12 +1,13 @@
 """Plans in which what is dear is computed once, and by as many tasks as there are cores."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from vouchwell.functions import guard, identity, rounding
+from vouchwell.functions import entities, guard, identity, rounding
 from vouchwell.functions import responses as R
 from vouchwell.functions import text as T
 from vouchwell.operators import fit
@@ -83,3 +84,11 @@ def test_careers_are_dealt_out_once_a_table(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     dealt = re.findall(r"Exchange hashpartitioning\((\w+)#.*?(ENSURE_REQUIREMENTS|REPARTITION_BY_NUM)", plan)
     assert {k for k, why in dealt if why == "ENSURE_REQUIREMENTS"} == {"o_custkey"}  # only to make the profiles
+
+
+def test_references_take_time_by_their_number(spark):
+    n = 6000
+    text = spark.range(1).select(F.repeat(F.lit("a &amp; &eacute; &#232; "), n).alias("t"))
+    began = time.perf_counter()
+    (got,) = text.select(entities.unescape(F.col("t")).alias("t")).collect()
+    assert got.t == "a & é è " * n and time.perf_counter() - began < 60

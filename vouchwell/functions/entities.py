@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import html
 import json
+import zlib
 from functools import lru_cache
 from html.entities import html5
 
@@ -15,18 +16,19 @@ from vouchwell.functions.text import let
 
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 _REPLACED = "�"
-_HEAD = 2
+#: Places of the table of names: a map is searched from its start, so each holds few names.
+_PLACES = 4096
 
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[str, int, int]:
-    """The standard's names by their first two characters, as JSON, and the lengths of the shortest
-    and the longest name without semicolon."""
-    by_head: dict[str, dict[str, str]] = {}
+    """The standard's names, each at the place that its checksum comes to, as JSON, and the lengths of
+    the shortest and the longest name without semicolon."""
+    places: list[dict[str, str]] = [{} for _ in range(_PLACES)]
     for name, text in html5.items():
-        by_head.setdefault(name[:_HEAD], {})[name] = text
+        places[zlib.crc32(name.encode()) % _PLACES][name] = text
     bare = [len(n) for n in html5 if not n.endswith(";")]
-    return json.dumps(by_head), min(bare), max(bare)
+    return json.dumps(places), min(bare), max(bare)
 
 
 def _numbered(digits: Column, base: int) -> Column:
@@ -43,20 +45,21 @@ def _numbered(digits: Column, base: int) -> Column:
         none = n.between(1, 8) | (n == 11) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (low >= 0xFFFE)
         lone = n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
         plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-        return F.when(old.isNotNull(), old).when(lone, F.lit(_REPLACED)).when(none, F.lit("")).otherwise(plain)
+        return F.coalesce(old, F.when(lone, F.lit(_REPLACED)).when(none, F.lit("")).otherwise(plain))
 
     return let(sized, of)
 
 
 def _named(name: Column, table: Column, shortest: int, longest: int) -> Column:
     """The text of a name, or of the longest part from its start that is one, with the rest."""
-    of = lambda part: F.try_element_at(F.try_element_at(table, F.substring(part, 1, _HEAD)), part)
+    place = lambda part: F.get(table, (F.crc32(part.cast("binary")) % _PLACES).cast("int"))
+    of = lambda part: F.try_element_at(place(part), part)
 
-    def begun(n: int) -> Column:
-        found = of(F.substring(name, 1, n))
-        return F.when(F.length(name) > n, F.concat(found, F.substring(name, F.lit(n + 1), F.length(name))))
+    def begun(whole: Column, n: int) -> Column:
+        found = let(F.substring(whole, 1, n), of)
+        return F.when(F.length(whole) > n, F.concat(found, F.substring(whole, F.lit(n + 1), F.length(whole))))
 
-    return F.coalesce(of(name), *[begun(n) for n in range(longest, shortest - 1, -1)], F.concat(F.lit("&"), name))
+    return let(name, lambda w: F.coalesce(of(w), *[begun(w, n) for n in range(longest, shortest - 1, -1)], F.concat(F.lit("&"), w)))
 
 
 def _decoded(reference: Column, table: Column, shortest: int, longest: int) -> Column:
@@ -71,13 +74,13 @@ def _decoded(reference: Column, table: Column, shortest: int, longest: int) -> C
 def unescape(text: Column) -> Column:
     """All references decoded; texts without an ampersand are left as they are."""
     names, shortest, longest = _tables()
-    table = F.from_json(F.lit(names), "map<string, map<string, string>>")  # a constant: parsed once
+    table = F.from_json(F.lit(names), "array<map<string, string>>")  # a constant: parsed once
 
     def of(t):
         found = F.transform(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)), lambda r: _decoded(r, table, shortest, longest))
-        return _woven(F.split(t, _REFERENCE, -1), found)
+        return let(found, lambda f: _woven(F.split(t, _REFERENCE, -1), f))  # bound: once a text, not once a reference
 
-    return F.when(F.contains(text, F.lit("&")), let(text, of)).otherwise(text)
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), of(t)).otherwise(t))
 
 
 def _woven(between: Column, found: Column) -> Column:
